@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.functions import hashing, text
@@ -70,19 +70,18 @@ class Tables:
     @cached_property
     def media_hashes(self) -> DataFrame:
         """Long form: one row per file and hash type. A filter on one type reads that type alone."""
-        d = self.read("documents")
-        typed = lambda df, key, name, value: df.select(
-            F.col(key).alias("file_id"), F.lit(name).alias("hash_type"), value.alias("hash_value")
-        )
-        parts = [typed(d, "doc_id", "sha256", F.sha2("text", 256)), typed(d, "doc_id", "md5", F.md5("text"))]
-        parts += [typed(self.media_hashes_wide, "file_id", h, F.col(h)) for h in ("dhash", "ahash", "phash", "whash")]
+        parts = [self.crypto_hashes]
+        parts += [self._typed(self.media_hashes_wide, "file_id", h, F.col(h)) for h in ("dhash", "ahash", "phash", "whash")]
         return reduce(DataFrame.unionByName, parts)
 
     @cached_property
     def crypto_hashes(self) -> DataFrame:
-        return self.read("documents").select(
-            F.col("doc_id").alias("file_id"), F.lit("sha256").alias("hash_type"), F.sha2("text", 256).alias("hash_value")
-        )
+        d = self.read("documents")
+        return self._typed(d, "doc_id", "sha256", F.sha2("text", 256)).unionByName(self._typed(d, "doc_id", "md5", F.md5("text")))
+
+    @staticmethod
+    def _typed(df: DataFrame, key: str, name: str, value: Column) -> DataFrame:
+        return df.select(F.col(key).alias("file_id"), F.lit(name).alias("hash_type"), value.alias("hash_value"))
 
     # ---- frames and faces ------------------------------------------------------------------------
 
