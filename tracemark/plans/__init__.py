@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "similarity",
     "catalog",
+    "reporting",
 )
 
 
