@@ -8,6 +8,7 @@ MODULES = (
     "similarity",
     "catalog",
     "reporting",
+    "text",
 )
 
 

@@ -41,6 +41,7 @@ def _digits(col: str) -> str:
     )
 
 
+NAME_SQL = r"\p{Lu}[\p{L}''-]+(?: \p{Lu}[\p{L}''-]+)*"
 STOP_LIST = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -125,6 +126,56 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN quality = 0 THEN 'Misleading' WHEN quality = 1 THEN 'Genuine' END AS xgb_label,
                CASE WHEN quality IS NOT NULL THEN 0.5::DOUBLE + (n_chars % 40) / 80.0::DOUBLE END AS xgb_prob
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""),
+    "claims": ((), f"""
+        SELECT doc_id, claim_no, claim FROM (
+            WITH base AS (SELECT doc_id, text, {sentences_sql('text')} AS s FROM documents
+                          WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
+            sent AS (SELECT doc_id, len(s) AS n, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM base WHERE len(s) > 3),
+            tok AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM sent),
+            tf AS (SELECT doc_id, pos, term, count(*) AS tf FROM tok WHERE term NOT IN ({STOP_LIST}) GROUP BY ALL),
+            dfq AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY ALL),
+            w AS (SELECT tf.doc_id, tf.pos, tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w
+                  FROM tf JOIN dfq USING (doc_id, term) JOIN (SELECT doc_id, len(s) AS n FROM base) USING (doc_id)),
+            sc AS (SELECT doc_id, pos, round(sum(w) / sqrt(sum(w * w)), 9) AS score FROM w GROUP BY ALL),
+            rk AS (SELECT sent.doc_id, sentence, row_number() OVER (PARTITION BY sent.doc_id ORDER BY coalesce(score, 0) DESC, sent.pos) AS r
+                   FROM sent LEFT JOIN sc ON sc.doc_id = sent.doc_id AND sc.pos = sent.pos)
+            SELECT doc_id, CAST(r - 1 AS INT) AS claim_no, sentence AS claim FROM rk WHERE r <= 3
+            UNION ALL SELECT doc_id, CAST(unnest(range(len(s))) AS INT), unnest(s) FROM base WHERE len(s) BETWEEN 1 AND 3
+            UNION ALL SELECT doc_id, 0, text[1:500] FROM base WHERE len(s) = 0)"""),
+    "evidence": (("claims", "corpus"), f"""
+        SELECT doc_id, claim_no, tier, item_id, df, rank FROM (
+            WITH cp AS (SELECT DISTINCT doc_id, claim_no, unnest({_shingles((0, 1, 2))}) AS phrase
+                        FROM (SELECT doc_id, claim_no, {words_sql('claim')} AS w FROM claims)),
+            ip AS (SELECT DISTINCT tier, item_id, unnest({_shingles((0, 1, 2))}) AS phrase
+                   FROM (SELECT tier, item_id, {words_sql('body')} AS w FROM corpus)),
+            dfq AS (SELECT tier, phrase, count(*) AS df FROM ip GROUP BY ALL),
+            met AS (SELECT cp.doc_id, cp.claim_no, ip.tier, ip.item_id, min(df) AS df
+                    FROM cp JOIN ip ON cp.phrase = ip.phrase JOIN dfq ON dfq.tier = ip.tier AND dfq.phrase = ip.phrase
+                    WHERE NOT (ip.tier = 2 AND ip.item_id = cp.doc_id) GROUP BY ALL),
+            t AS (SELECT *, min(tier) OVER (PARTITION BY doc_id, claim_no) AS best FROM met)
+            SELECT doc_id, claim_no, tier, item_id, df,
+                   CAST(row_number() OVER (PARTITION BY doc_id, claim_no ORDER BY df, item_id) AS INT) AS rank
+            FROM t WHERE tier = best) WHERE rank <= 5"""),
+    "gazetteer": ((), f"""
+        SELECT DISTINCT unnest(regexp_extract_all(text, '{NAME_SQL}')) AS name FROM benchmark"""),
+    "claim_entities": (("claims", "gazetteer"), f"""
+        SELECT doc_id, claim_no, claim, list_filter(regexp_extract_all(claim, '{NAME_SQL}'),
+               lambda e: list_contains(g, e)) AS ents FROM claims, (SELECT list(name) AS g FROM gazetteer)"""),
+    "item_entities": (("corpus", "evidence", "gazetteer"), f"""
+        SELECT tier, item_id, list_filter(regexp_extract_all(body, '{NAME_SQL}'),
+               lambda e: list_contains(g, e)) AS ents
+        FROM corpus SEMI JOIN (SELECT DISTINCT tier, item_id FROM evidence) e USING (tier, item_id), (SELECT list(name) AS g FROM gazetteer)"""),
+    "entity_pairs": (("claim_entities", "item_entities", "evidence"), """
+        SELECT doc_id, claim_no, ce, ie, list_filter(ce, lambda e: list_contains(ie, e)) AS common
+        FROM (SELECT c.doc_id, c.claim_no, c.ents AS ce, coalesce(i.ents, []) AS ie FROM claim_entities c
+              LEFT JOIN evidence v ON v.doc_id = c.doc_id AND v.claim_no = c.claim_no
+              LEFT JOIN item_entities i ON i.tier = v.tier AND i.item_id = v.item_id)"""),
+    "entity_checks": (("entity_pairs",), """
+        SELECT doc_id, claim_no, bool_or(len(ce) >= 2 AND len(common) >= 2) AS checked,
+               bool_or(len(ce) >= 2 AND len(common) >= 2 AND list_filter(ce, lambda e: list_contains(common, e))[1:2]
+                       <> list_filter(ie, lambda e: list_contains(common, e))[1:2]) AS order_mismatch,
+               max(len(ce)) AS n_entities
+        FROM entity_pairs GROUP BY ALL"""),
     "training": ((), """
         SELECT d.doc_id AS id, text, 1 - quality AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""),
 }

@@ -56,3 +56,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key into the configured number of shuffle partitions.
+
+    The explicit number keeps small but compute-heavy inputs from being packed into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

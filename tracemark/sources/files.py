@@ -77,7 +77,7 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
 def labelled_texts(raw: DataFrame) -> DataFrame:
     """One `text` column: title and first text-like column joined by a full stop, trimmed, empty rows dropped."""
     lowered = {c.lower(): c for c in raw.columns}
-    body = next((lowered[c] for c in TEXT_COLUMNS if c in lowered), None)
+    body = next((c for c in raw.columns if c.lower() in TEXT_COLUMNS), None)
     if body is None:
         raise ValueError(f"no text column among {raw.columns}")
     content = F.coalesce(F.col(f"`{body}`").cast("string"), F.lit(""))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.functions import hashing, text
+from tracemark.operators import claims as claim_ops
 from tracemark.session import materialise, spread
 
 BASE_TIME = "2024-01-01 00:00:00"
@@ -258,3 +259,27 @@ class Tables:
         return self.read("documents").join(self.read("labels"), "doc_id").select(
             F.col("doc_id").alias("id"), "text", (1 - F.col("quality")).alias("label")
         )
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        """Three best sentences of every document, stored once for the steps that follow."""
+        return materialise(claim_ops.rank_claims(self.read("documents").select("doc_id", "text")), "claims")
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return materialise(claim_ops.search_evidence(self.claims, self.corpus), "evidence")
+
+    @cached_property
+    def gazetteer(self) -> DataFrame:
+        """Known names: the capitalised spans of the benchmark passages."""
+        return self.read("benchmark").select(F.explode(claim_ops.name_spans(F.col("text"))).alias("name")).distinct()
+
+    @cached_property
+    def entity_checks(self) -> DataFrame:
+        """Entity-order check of every claim against the text of its evidence."""
+        key = ["doc_id", "claim_no"]
+        named = claim_ops.entity_sequences(self.claims, key, "claim", self.gazetteer)
+        items = self.corpus.join(self.evidence.select("tier", "item_id").distinct(), ["tier", "item_id"], "left_semi")
+        bodies = claim_ops.entity_sequences(items.select("tier", "item_id", "body"), ["tier", "item_id"], "body", self.gazetteer)
+        snippets = self.evidence.join(bodies, ["tier", "item_id"]).select(*key, F.col("entities").alias("snippet_entities"))
+        return claim_ops.check_entity_order(named, snippets, key)
