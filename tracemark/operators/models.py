@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemark.functions import text as tx
+from tracemark.operators.ranking import positions
+
 
 def softmax_label(rows: DataFrame, genuine: Column, misleading: Column, text: Column | None = None) -> DataFrame:
     """Label and confidence from two logits; an empty text is Genuine with confidence 0."""
@@ -14,3 +25,111 @@ def softmax_label(rows: DataFrame, genuine: Column, misleading: Column, text: Co
         "label": F.when(~empty & (F.col("_p") > 0.5), "Misleading").otherwise("Genuine"),
         "confidence": F.when(empty, 0.0).otherwise(F.greatest(F.col("_p"), 1.0 - F.col("_p"))),
     }).drop("_p")
+
+
+def stratified_split(rows: DataFrame, key: str, label: str, share: float = 0.85, seed: int = 42) -> DataFrame:
+    """`train` or `test` per row: the first `share` of each label in the order of a digest of key and seed."""
+    drawn = rows.withColumn("_draw", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
+    placed = positions(drawn, [label], ["_draw"], F.substring("_draw", 1, 4))
+    cut = F.ceil(F.round(F.col("group_size") * share, 6))
+    return placed.withColumn("split", F.when(F.col("position") <= cut, "train").otherwise("test")).drop("_draw", "position", "group_size")
+
+
+def split_videos(videos: DataFrame, key: str, val_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Whole videos into `train` and `val`."""
+    halves = stratified_split(videos.withColumn("_all", F.lit(1)), key, "_all", 1 - val_share, seed)
+    return halves.withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train")).drop("_all")
+
+
+def baseline_pipeline(max_features: int = 20_000, trees: int = 200, depth: int = 6, stop_words: list[str] | None = None, seed: int = 42) -> Pipeline:
+    """TF-IDF of words and word pairs, then boosted trees."""
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
+        StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=list(tx.STOP_WORDS if stop_words is None else stop_words)),
+        NGram(inputCol="_words", outputCol="_pairs", n=2),
+        SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
+        CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_features),
+        IDF(inputCol="_counts", outputCol="features"),
+        GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed),
+    ])
+
+
+def train_baseline(training: DataFrame, **settings) -> PipelineModel:
+    return baseline_pipeline(**settings).fit(training.select("text", F.col("label").cast("double").alias("label")))
+
+
+def baseline_rule(p_misleading: Column, text: Column, undecided_band: bool = False) -> Column:
+    """Label and probability of the likelier class; empty texts are Genuine with 0, a near tie Genuine with 0.5."""
+    fake = p_misleading > 0.5
+    label = F.when(fake, "Misleading").otherwise("Genuine")
+    probability = F.greatest(p_misleading, 1.0 - p_misleading)
+    if undecided_band:
+        near = (p_misleading > 0.45) & (p_misleading < 0.55)
+        label, probability = F.when(near, "Genuine").otherwise(label), F.when(near, 0.5).otherwise(probability)
+    empty = tx.strip(F.coalesce(text, F.lit(""))) == ""
+    return F.struct(F.when(empty, "Genuine").otherwise(label).alias("label"), F.when(empty, 0.0).otherwise(probability).alias("probability"))
+
+
+def predict_baseline(model: PipelineModel, rows: DataFrame, undecided_band: bool = False) -> DataFrame:
+    """`rows` (…, text) with the predicted label and probability."""
+    scored = model.transform(rows).withColumn("_p", vector_to_array("probability").getItem(1))
+    return scored.withColumn("_r", baseline_rule(F.col("_p"), F.col("text"), undecided_band)).select(
+        *rows.columns, F.col("_r.label").alias("predicted"), F.col("_r.probability").alias("probability"))
+
+
+def evaluate(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """Precision, recall, F1 and support of every class, with the overall accuracy on each row."""
+    cells = rows.groupBy(F.col(label).alias("l"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    sides = cells.select("n", F.explode(F.array(
+        F.struct(F.col("l").alias("class"), F.col("n").alias("actual"), F.lit(0).cast("long").alias("claimed"), F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("actual"), F.col("n").alias("claimed"), F.lit(0).cast("long").alias("hit")),
+    )).alias("s")).select("s.*")
+    per_class = sides.groupBy("class").agg(F.sum("actual").alias("support"), F.sum("claimed").alias("claimed"), F.sum("hit").alias("hit"))
+    total = cells.agg((F.sum(F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    rated = per_class.withColumns({"precision": ratio("hit", "claimed"), "recall": ratio("hit", "support")})
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return rated.withColumn("f1", f1).select("class", "precision", "recall", "f1", "support").join(total, F.lit(True))
+
+
+def token_weights(training: DataFrame, max_features: int = 20_000) -> DataFrame:
+    """Log-odds of the commonest words between misleading and genuine texts: a linear token model (word, weight)."""
+    seen = training.select("label", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("word"))
+    counts = seen.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("fake"), F.count_if(F.col("label") == 0).alias("real"))
+    top = counts.orderBy(F.desc(F.col("fake") + F.col("real")), "word").limit(max_features)
+    return top.select("word", F.log((F.col("fake") + 1.0) / (F.col("real") + 1.0)).alias("weight"))
+
+
+def attribute_tokens(docs: DataFrame, weights: DataFrame, samples: int = 300, top: int = 10, seed: int = 42) -> DataFrame:
+    """The `top` words that move the score of each text most, from random word removals and a local linear fit.
+
+    Word weights are joined in Spark; each text then carries its distinct words and their contributions, so a
+    task fits one text at a time whatever the size of the corpus.
+    """
+    words = docs.select("doc_id", F.explode(tx.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    parts = words.join(weights, "word", "left").select("doc_id", "word", (F.col("n") * F.coalesce("weight", F.lit(0.0))).alias("part"))
+    packed = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "part"))).alias("w")).select(
+        "doc_id", F.transform("w", lambda e: e["word"]).alias("words"), F.transform("w", lambda e: e["part"]).alias("parts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, names, contributions in batch.itertuples(index=False):
+                coefficients = _local_fit(np.asarray(contributions), samples, [seed, int(doc_id) & 0x7FFFFFFF])
+                best = sorted(range(len(names)), key=lambda i: (-round(abs(coefficients[i]), 9), names[i]))[:top]
+                yield pd.DataFrame({"doc_id": doc_id, "rank": np.arange(1, len(best) + 1), "word": [names[i] for i in best],
+                                    "weight": [float(coefficients[i]) for i in best]})
+
+    return packed.mapInPandas(run, "doc_id long, rank int, word string, weight double")
+
+
+def _local_fit(parts: np.ndarray, samples: int, seed: list[int]) -> np.ndarray:
+    """Ridge coefficients of the score over random word masks, nearer masks weighing more (dual form, samples x samples)."""
+    masks = (np.random.default_rng(seed).random((samples, len(parts))) < 0.5).astype(float)
+    masks[0] = 1
+    score = 1 / (1 + np.exp(-np.clip(masks @ parts, -50, 50)))
+    distance = 1 - np.sqrt(masks.mean(axis=1))
+    near = np.sqrt(np.exp(-(distance**2) / 0.25**2))
+    centre = np.average(masks, axis=0, weights=near**2)
+    x = (masks - centre) * near[:, None]
+    y = (score - np.average(score, weights=near**2)) * near
+    return x.T @ np.linalg.solve(x @ x.T + np.eye(samples), y)

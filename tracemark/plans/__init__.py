@@ -9,6 +9,8 @@ MODULES = (
     "catalog",
     "reporting",
     "text",
+    "frames",
+    "models",
 )
 
 
