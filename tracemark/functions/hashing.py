@@ -91,22 +91,20 @@ def sketch_fingerprint(features: Column) -> Column:
 
     The first digit of a feature's digest picks one of sixteen slots and the smallest digest of a slot
     gives the slot's digit. An empty slot takes a digit of the overall smallest digest, so that tiny inputs
-    keep distinct fingerprints. One pass over the sorted digests keeps the first of each slot.
+    keep distinct fingerprints. One pass over the sorted digests strings together the first of each slot,
+    newest in front, where it is cheap to look at.
     """
     digests = F.sort_array(F.array_distinct(F.transform(features, lambda x: F.md5(x))))
     slots = F.array(*[F.lit(c) for c in HEX_DIGITS])
-    slot_of = lambda d: F.substring(d, 1, 1)
 
     def digits(firsts: Column) -> Column:
-        by_slot = F.map_from_arrays(F.transform(firsts, slot_of), F.transform(firsts, lambda d: F.substring(d, 32, 1)))
+        starts = F.sequence(F.lit(1), F.length(firsts), F.lit(32))
+        by_slot = F.map_from_arrays(
+            F.transform(starts, lambda i: F.substr(firsts, i, F.lit(1))), F.transform(starts, lambda i: F.substr(firsts, i + 31, F.lit(1))))
         found = F.transform(slots, lambda s: F.element_at(by_slot, s))
-        spare = F.split(F.substring(F.get(firsts, F.lit(0)), 17, 16), "")
+        spare = F.split(F.substring(firsts, -16, 16), "")
         return F.array_join(F.zip_with(found, spare, lambda a, b: F.coalesce(a, b)), "")
 
     return F.aggregate(
-        digests,
-        F.array().cast("array<string>"),
-        lambda acc, d: F.when(slot_of(F.element_at(F.concat(F.array(F.lit(" ")), acc), -1)) == slot_of(d), acc)
-        .otherwise(F.concat(acc, F.array(d))),
-        digits,
-    )
+        digests, F.lit(""),
+        lambda acc, d: F.when(F.substring(acc, 1, 1) == F.substring(d, 1, 1), acc).otherwise(F.concat(d, acc)), digits)

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemark.functions import text as tx
@@ -85,11 +85,12 @@ def evaluate(rows: DataFrame, label: str, predicted: str) -> DataFrame:
         F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("actual"), F.col("n").alias("claimed"), F.lit(0).cast("long").alias("hit")),
     )).alias("s")).select("s.*")
     per_class = sides.groupBy("class").agg(F.sum("actual").alias("support"), F.sum("claimed").alias("claimed"), F.sum("hit").alias("hit"))
-    total = cells.agg((F.sum(F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    everything = Window.partitionBy(F.lit(1))
+    accuracy = F.sum("hit").over(everything) / F.sum("support").over(everything)
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     rated = per_class.withColumns({"precision": ratio("hit", "claimed"), "recall": ratio("hit", "support")})
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
-    return rated.withColumn("f1", f1).select("class", "precision", "recall", "f1", "support").join(total, F.lit(True))
+    return rated.withColumns({"f1": f1, "accuracy": accuracy}).select("class", "precision", "recall", "f1", "support", "accuracy")
 
 
 def token_weights(training: DataFrame, max_features: int = 20_000) -> DataFrame:
@@ -113,23 +114,26 @@ def attribute_tokens(docs: DataFrame, weights: DataFrame, samples: int = 300, to
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for doc_id, names, contributions in batch.itertuples(index=False):
-                coefficients = _local_fit(np.asarray(contributions), samples, [seed, int(doc_id) & 0x7FFFFFFF])
-                best = sorted(range(len(names)), key=lambda i: (-round(abs(coefficients[i]), 9), names[i]))[:top]
-                yield pd.DataFrame({"doc_id": doc_id, "rank": np.arange(1, len(best) + 1), "word": [names[i] for i in best],
-                                    "weight": [float(coefficients[i]) for i in best]})
+                fit = np.round(_local_fit(np.asarray(contributions), samples, [seed, int(doc_id) & 0x7FFFFFFF]), 9)
+                best = np.lexsort((np.arange(len(names)), -np.abs(fit)))[:top]
+                out += [(doc_id, n + 1, names[i], float(fit[i])) for n, i in enumerate(best)]
+            yield pd.DataFrame(out, columns=["doc_id", "rank", "word", "weight"])
 
     return packed.mapInPandas(run, "doc_id long, rank int, word string, weight double")
 
 
 def _local_fit(parts: np.ndarray, samples: int, seed: list[int]) -> np.ndarray:
-    """Ridge coefficients of the score over random word masks, nearer masks weighing more (dual form, samples x samples)."""
+    """Ridge coefficients of the score over random word masks, nearer masks weighing more."""
     masks = (np.random.default_rng(seed).random((samples, len(parts))) < 0.5).astype(float)
     masks[0] = 1
     score = 1 / (1 + np.exp(-np.clip(masks @ parts, -50, 50)))
     distance = 1 - np.sqrt(masks.mean(axis=1))
-    near = np.sqrt(np.exp(-(distance**2) / 0.25**2))
-    centre = np.average(masks, axis=0, weights=near**2)
-    x = (masks - centre) * near[:, None]
-    y = (score - np.average(score, weights=near**2)) * near
+    weight = np.exp(-(distance**2) / 0.25**2)
+    near = np.sqrt(weight)
+    x = (masks - weight @ masks / weight.sum()) * near[:, None]
+    y = (score - weight @ score / weight.sum()) * near
+    if len(parts) < samples:
+        return np.linalg.solve(x.T @ x + np.eye(len(parts)), x.T @ y)
     return x.T @ np.linalg.solve(x @ x.T + np.eye(samples), y)

@@ -177,7 +177,7 @@ def model_input(picture: np.ndarray, size: int = 224) -> tuple:
     """Resized, scaled and channel-normalised picture, red plane first."""
     rgb = np.repeat(picture, 3, axis=2) if picture.shape[2] == 1 else picture[:, :, 2::-1]
     planes = [(_shrink(rgb[:, :, c], size, size) / 255 - m) / s for c, (m, s) in enumerate(zip((0.485, 0.456, 0.406), (0.229, 0.224, 0.225)))]
-    return (np.concatenate([p.ravel() for p in planes]).astype(np.float32).tolist(),)
+    return (np.concatenate([p.ravel() for p in planes]).astype(np.float32),)
 
 
 Kernel = Callable[[np.ndarray], tuple]

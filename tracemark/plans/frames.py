@@ -211,7 +211,7 @@ def patch_score(t):
 
 @query("I22_model_input")
 def model_input(t):
-    s = px.with_features(t.frames, "model_input", ["video_id", "frame_idx"])
+    s = px.with_features(spread(t.frames), "model_input", ["video_id", "frame_idx"])
     return s.select("video_id", "frame_idx", F.size("model_input").alias("n"), F.array_min("model_input").alias("low"), F.array_max("model_input").alias("high"))
 
 

@@ -159,7 +159,7 @@ def upload_check(t):
     from tracemark.functions import hashing
 
     words = F.filter(F.split(F.lower("text"), tx.NON_WORD), lambda w: w != "")
-    uploads = _stream(t, "documents").select(
+    uploads = _stream(t, "documents").repartition(t.spark.sparkContext.defaultParallelism).select(
         F.col("doc_id").alias("file_id"), F.sha2("text", 256).alias("sha256"),
         hashing.sketch_fingerprint(tx.shingles(words, (0, 1))).alias("phash"))
     folder = _work(t, "registry")

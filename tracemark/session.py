@@ -50,9 +50,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the idle cores before heavy row-local work.
+    """Spread a plain scan over the idle cores before heavy row-local work.
 
     A small table sits in fewer splits than there are cores; a large one does not and is left as it is.
+    Only for scans and projections of scans: counting the splits of a plan with a shuffle would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -232,10 +232,10 @@ class Tables:
     def corpus(self) -> DataFrame:
         """Searchable passages: web pages with their tags removed (tier 1), then documents (tier 2)."""
         page_text = F.regexp_replace(F.regexp_replace("html", "<(script|style)[^>]*>[^<]*</(script|style)>", " "), "<[^>]*>", " ")
-        pages = self.read("pages").select(
+        pages = spread(self.read("pages")).select(
             F.lit(1).alias("tier"), F.col("page_id").alias("item_id"), page_text.alias("body"), F.col("url").alias("url")
         )
-        docs = self.read("documents").select(
+        docs = spread(self.read("documents")).select(
             F.lit(2).alias("tier"), F.col("doc_id").alias("item_id"), F.col("text").alias("body"),
             F.concat(F.lit("doc:"), "doc_id").alias("url"),
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,10 @@ class UploadRegistry:
         self.spark, self.folder, self.max_distance = spark, folder, max_distance
 
     def _read(self, table: str, schema: str, before: int | None = None) -> DataFrame:
-        path = f"{self.folder}/{table}"
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        try:
+            rows = self.spark.read.schema(schema + ", epoch long").parquet(f"{self.folder}/{table}")
+        except AnalysisException:  # nothing written yet
             return self.spark.createDataFrame([], schema + ", epoch long")
-        rows = self.spark.read.schema(schema + ", epoch long").parquet(path)
         return rows if before is None else rows.filter(F.col("epoch") < before)
 
     def verdicts(self) -> DataFrame:
