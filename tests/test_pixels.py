@@ -1,0 +1,65 @@
+import numpy as np
+
+from tracemark.operators import pixels as px
+
+
+def picture(array):
+    return np.asarray(array, dtype=float)[:, :, None]
+
+
+def test_area_average():
+    grey = np.arange(64, dtype=float).reshape(8, 8)
+    assert np.allclose(px._shrink(grey, 8, 8), grey)
+    assert np.allclose(px._shrink(grey, 4, 4), grey.reshape(4, 2, 4, 2).mean(axis=(1, 3)))
+    assert np.allclose(px._shrink(np.full((5, 7), 3.0), 9, 8), 3.0)
+
+
+def test_hashes_of_ramp_and_scaling():
+    ramp = np.tile(np.arange(32) * 4.0, (32, 1))
+    dhash, ahash, phash, whash = px.perceptual_hashes(picture(ramp))
+    assert dhash == "ff" * 8 and ahash == "0f" * 8 and whash == "0f" * 8
+    doubled = px.perceptual_hashes(picture(np.kron(ramp, np.ones((2, 2)))))
+    assert doubled == (dhash, ahash, phash, whash)
+    assert px.perceptual_hashes(picture(ramp + 10))[:2] == (dhash, ahash)
+    rng = np.random.default_rng(1)
+    noise = [px.perceptual_hashes(picture(rng.integers(0, 255, (40, 40))))[2] for _ in range(2)]
+    assert noise[0] != noise[1]
+
+
+def test_flat_picture():
+    flat = picture(np.full((40, 40), 100.0))
+    mean, deviation, low, high, ratio, means, stds, edges, texture = px.picture_statistics(flat)
+    assert (mean, deviation, low, high, ratio, edges, texture) == (100, 0, 100, 100, 0, 0, 0)
+    assert px.sharpness(flat) == (0, 100, 0)
+    variance, blocking = px.block_artifacts(flat)
+    assert abs(variance) < 1e-12 and blocking == 0
+    edges, colours = px.patches(np.repeat(flat, 3, axis=2))
+    assert len(edges) == 4 and set(edges) == {0.0} and set(colours) == {1.0}
+    noise, edge_density, regular, contrast, uniform, spread = px.frame_texture(flat)
+    assert (noise, edge_density, regular, contrast, uniform) == (0, 0, 1, 0, 1)
+
+
+def test_closed_forms():
+    stripes = np.tile([0.0, 200.0], (16, 8))
+    assert px.frame_texture(picture(stripes))[3] == 200.0**2
+    step = np.zeros((16, 16))
+    step[:, 7:] = 80
+    assert px.block_artifacts(picture(step))[1] == 20.0  # columns 7 (80) and 15 (0), rows without steps
+    basis = px._cosines(8)
+    assert np.allclose(basis @ basis.T, np.eye(8))
+    wave = np.outer(np.ones(16), np.cos(2 * np.pi * np.arange(16) / 4)) * 100 + 120
+    assert px.spectral_texture(picture(wave))[0] > 0
+    out = px.model_input(picture(np.full((10, 12), 255.0)))[0]
+    assert len(out) == 3 * 224 * 224 and np.isclose(out[0], (1 - 0.485) / 0.229, atol=1e-5)
+
+
+def test_uniform_patterns_of_flat_interior():
+    codes = px._uniform_patterns(np.full((6, 6), 50.0))
+    assert (codes[1:-1, 1:-1] == 8).all() and (codes <= 9).all()
+
+
+def test_colour_pictures_are_blue_first():
+    red = np.zeros((8, 8, 3))
+    red[:, :, 2] = 255
+    assert px.picture_statistics(red)[5] == [0, 0, 255] and np.isclose(px._grey(red).mean(), 76)
+    assert px.model_input(red)[0][0] > 2

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemark.functions import text as tx
-from tracemark.session import by_key
+from tracemark.session import by_key, materialise
 
 TERM = r"[\p{L}\p{N}_]{2,}"
+MAX_BROADCAST_PHRASES = 1_000_000
 NO_MATCH = "No match found"
 # Capitalised words, neighbours joined into one name.
 NAME_SPAN = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*"
@@ -98,12 +99,17 @@ def search_evidence(claims: DataFrame, corpus: DataFrame, k: int = 5, own_tier:
     the items before it in that phrase rank before it as well. So each phrase keeps its count and k+1 items.
     """
     asked = claims.select("doc_id", "claim_no", F.explode(phrases(F.col("claim"))).alias("phrase"))
-    wanted = asked.select("phrase").distinct()
-    held = corpus.select("tier", "item_id", F.explode(phrases(F.col("body"))).alias("phrase")).join(wanted, "phrase", "left_semi")
+    held = corpus.select("tier", "item_id", F.explode(phrases(F.col("body"))).alias("phrase"))
+    wanted = materialise(asked.select("phrase").distinct(), "phrases")
+    if wanted.limit(MAX_BROADCAST_PHRASES + 1).count() <= MAX_BROADCAST_PHRASES:
+        # Beyond this size the corpus is indexed whole: counting and cutting both shrink a common phrase
+        # before its rows are shuffled, which a shuffled filter on the phrase would not.
+        held = held.join(F.broadcast(wanted), "phrase", "left_semi")
     df = held.groupBy("tier", "phrase").agg(F.count("*").alias("df"))
     first = Window.partitionBy("tier", "phrase").orderBy("item_id")
     heads = held.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1)
     index = heads.groupBy("tier", "phrase").agg(F.collect_list("item_id").alias("items")).join(df, ["tier", "phrase"])
+    index = materialise(index, "phrase-index")
     met = asked.join(index, "phrase").select("doc_id", "claim_no", "tier", "df", F.explode("items").alias("item_id"))
     if own_tier is not None:
         met = met.filter(~((F.col("tier") == own_tier) & (F.col("item_id") == F.col("doc_id"))))

@@ -23,7 +23,7 @@ def exact_copies(hashes: DataFrame, hash_type: str = "sha256") -> DataFrame:
     """Files whose digest occurs more than once, each with the first file of its group and the group size."""
     typed = hashes.filter(F.col("hash_type") == hash_type).select("file_id", "hash_value")
     groups = typed.groupBy("hash_value").agg(F.min("file_id").alias("original_id"), F.count("*").alias("copies"))
-    repeated = groups.filter(F.col("copies") > 1)
+    repeated = materialise(groups.filter(F.col("copies") > 1), "copies")
     return typed.join(repeated, "hash_value").select("file_id", "original_id", "copies", "hash_value")
 
 
@@ -36,7 +36,7 @@ def exact_matches(hashes: DataFrame, probes: DataFrame, hash_type: str = "sha256
     typed = hashes.filter(F.col("hash_type") == hash_type).select("file_id", "hash_value")
     groups = typed.groupBy("hash_value").agg(F.min("file_id").alias("first_id"), F.count("*").alias("copies"))
     asked = typed.join(probes.select("file_id").distinct(), "file_id", "left_semi")
-    return asked.join(groups.filter(F.col("copies") > 1), "hash_value").select(
+    return asked.join(materialise(groups.filter(F.col("copies") > 1), "copies"), "hash_value").select(
         F.col("file_id").alias("probe_id"),
         "first_id",
         (F.col("copies") - 1).alias("matches"),
@@ -92,7 +92,7 @@ def fingerprint_classes(wide: DataFrame) -> DataFrame:
 def class_members(wide: DataFrame) -> DataFrame:
     """Every file with the class it belongs to."""
     first = wide.groupBy(*FINGERPRINTS).agg(F.min("file_id").alias("class_id"), F.count("*").alias("copies"))
-    return wide.join(first, list(FINGERPRINTS)).select("file_id", "class_id", "copies")
+    return wide.join(materialise(first, "classes"), list(FINGERPRINTS)).select("file_id", "class_id", "copies")
 
 
 def best_pairs(classes: DataFrame, rows: int, thresholds: dict[str, int] | None = None) -> DataFrame:

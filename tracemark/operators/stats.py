@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemark.session import materialise
+
 
 def hash_statistics(hashes: DataFrame) -> DataFrame:
     """Number of hashes and of files per hash type, and over all types (hash_type `all`).
@@ -64,7 +66,7 @@ def exact_median(rows: DataFrame, key: str, value: str, name: str, accuracy: int
     bounds = F.percentile_approx("v", [0.5 - step, 0.5 + step], accuracy)
     lows = valued.groupBy("k").agg(bounds.alias("b"), F.count("*").alias("n")).select(
         "k", "n", F.get("b", F.lit(0)).alias("low"), F.get("b", F.lit(1)).alias("high"))
-    placed = valued.join(lows, "k").withColumn("v", F.when(F.col("v") >= F.col("low"), F.col("v"))).filter("v is null or v <= high")
+    placed = valued.join(materialise(lows, "median-brackets"), "k").withColumn("v", F.when(F.col("v") >= F.col("low"), F.col("v"))).filter("v is null or v <= high")
     counts = placed.groupBy("k", "v", "n").agg(F.count("*").alias("c"))
     order = Window.partitionBy("k").orderBy(F.asc_nulls_first("v"))
     ranked = counts.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -12,7 +12,7 @@ from tracemark.operators import frames as fr
 from tracemark.operators import hooks, models
 from tracemark.operators import pixels as px
 from tracemark.plans.registry import query
-from tracemark.session import shared_folder, spread
+from tracemark.session import by_key, shared_folder, spread
 from tracemark.streaming import cache as ttl
 from tracemark.streaming import jobs
 from tracemark.streaming.registry import UploadRegistry, watch_uploads
@@ -29,7 +29,7 @@ def stratified_split(t):
 @query("T05_T06_baseline_predictions")
 def baseline_predictions(t):
     rows = models.stratified_split(t.training, "id", "label")
-    model = models.train_baseline(spread(rows.filter("split = 'train'")), max_features=2000, trees=5, depth=3)
+    model = models.train_baseline(by_key(rows.filter("split = 'train'"), "id"), max_features=2000, trees=5, depth=3)
     return models.predict_baseline(model, rows.filter("split = 'test'").select("id", "label", "text")).select("id", "label", "predicted", F.round("probability", 6).alias("probability"))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,7 +42,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Used where several branches of one plan need the same expensive intermediate: the rows survive
-    the loss of any executor, and the rewritten scan carries real sizes for the join planner.
+    the loss of any executor, and the rewritten scan carries real sizes for the join planner. Used as well for
+    one-row-per-group tables that are joined back to their rows: adaptive execution splits a hot group of a join
+    between two scans, but not of a join with an aggregation on one side.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tracemark/{label}-{uuid.uuid4().hex}"
@@ -49,6 +52,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_broadcast(stored: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a stored table of short rows when it is small enough, else leave the join to the planner."""
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a plain scan over the idle cores before heavy row-local work.
 

@@ -41,15 +41,20 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
                       F.col("image.nChannels").alias("channels"), "image.data")
 
 
-def validate_files(listing: DataFrame, images: DataFrame) -> DataFrame:
-    """Size, format and corruption checks of listed files."""
+def validate_files(listing: DataFrame, images: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Existence, size, format and corruption checks.
+
+    Spark lists no empty files, so a missing and an empty file look alike: both are absent from the listing. Pass
+    the `expected` paths to get a row for those as well.
+    """
     p = F.col("file_path")
     decoded = images.select("file_path", "height")
-    checked = listing.join(decoded, "file_path", "left")
+    rows = listing if expected is None else expected.select("file_path").join(listing, "file_path", "left")
+    checked = rows.join(decoded, "file_path", "left")
     is_picture = ff.media_type(p) == "image"
     return checked.select(
-        "file_path", (F.col("file_size") > 0).alias("file_size_valid"), ff.magic_matches(F.col("content"), p).alias("format_matches_extension"),
-        F.when(is_picture & (F.coalesce("height", F.lit(-1)) < 0), "failed").when(is_picture, "passed").otherwise("unknown").alias("corruption_check"))
+        "file_path", F.col("content").isNotNull().alias("exists"), (F.coalesce("file_size", F.lit(0)) > 0).alias("file_size_valid"), ff.magic_matches(F.col("content"), p).alias("format_matches_extension"),
+        F.when(F.col("content").isNull(), "unknown").when(is_picture & (F.coalesce("height", F.lit(-1)) < 0), "failed").when(is_picture, "passed").otherwise("unknown").alias("corruption_check"))
 
 
 def is_valid(path: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.functions import hashing
-from tracemark.operators.blocking import near_pairs
+from tracemark.operators.blocking import TILE_ROWS, near_pairs
 
 STORED = "file_id long, sha256 string, h long"
 
@@ -53,8 +53,11 @@ class UploadRegistry:
         values = lambda df: df.groupBy("h").agg(F.min("file_id").alias("id"))
         seen = values(stored.select("h", "file_id").unionByName(fresh.select("h", "file_id")))
         asked = values(fresh)
-        rows = stored.count() + fresh.count()
-        near = near_pairs(seen, self.max_distance, rows, probes=asked)
+        new_rows = fresh.count()
+        rows = stored.count() + new_rows
+        # A small batch is broadcast against the stored blocks, which stay where they are; only a large one
+        # needs crowded blocks cut into tiles.
+        near = near_pairs(seen, self.max_distance, rows, probes=asked, tile_rows=TILE_ROWS if new_rows > TILE_ROWS else rows)
         # Earliest content near each fingerprint value; the value itself is always among them.
         earliest = near.groupBy("ha").agg(F.min("b").alias("near_id")).withColumnRenamed("ha", "h")
         same = stored.select("sha256", "file_id").unionByName(fresh.select("sha256", "file_id")).groupBy("sha256").agg(F.min("file_id").alias("same_id"))
