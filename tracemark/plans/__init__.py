@@ -11,6 +11,7 @@ MODULES = (
     "text",
     "frames",
     "models",
+    "exports",
 )
 
 

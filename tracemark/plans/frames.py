@@ -167,13 +167,12 @@ def image_hashes(t):
 
 @query("A16_video_fingerprint", f"""
     {_FH},
-    l AS (SELECT video_id, frame_idx, 'ahash' AS hash_type, left(ahash, 1) AS hash_value FROM fh UNION ALL SELECT video_id, frame_idx, 'whash', left(whash, 1) FROM fh),
+    l AS (SELECT video_id, frame_idx, 'ahash' AS hash_type, ahash AS hash_value FROM fh UNION ALL SELECT video_id, frame_idx, 'whash', whash FROM fh),
     c AS (SELECT video_id, hash_type, hash_value, count(*) AS n, min(frame_idx) AS f FROM l GROUP BY ALL)
     SELECT video_id, hash_type, hash_value FROM (SELECT *, row_number() OVER (PARTITION BY video_id, hash_type ORDER BY n DESC, f) AS r FROM c) WHERE r = 1""", ("frames",))
 def video_fingerprint(t):
     hashes = px.with_features(t.frames, "hashes", ["video_id", "frame_idx"])
-    short = hashes.select("video_id", "frame_idx", *[F.left(c, F.lit(1)).alias(c) for c in ("ahash", "whash")])
-    return fr.modal_hashes(short, ["ahash", "whash"])
+    return fr.modal_hashes(hashes, ["ahash", "whash"])
 
 
 @query("A16_video_hashes_sampled")
