@@ -104,7 +104,7 @@ def search_evidence(claims: DataFrame, corpus: DataFrame, k: int = 5, own_tier:
     if wanted.limit(MAX_BROADCAST_PHRASES + 1).count() <= MAX_BROADCAST_PHRASES:
         # Beyond this size the corpus is indexed whole: counting and cutting both shrink a common phrase
         # before its rows are shuffled, which a shuffled filter on the phrase would not.
-        held = held.join(F.broadcast(wanted), "phrase", "left_semi")
+        held = materialise(held.join(F.broadcast(wanted), "phrase", "left_semi"), "postings")
     df = held.groupBy("tier", "phrase").agg(F.count("*").alias("df"))
     first = Window.partitionBy("tier", "phrase").orderBy("item_id")
     heads = held.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1)
@@ -136,9 +136,9 @@ def name_spans(content: Column) -> Column:
 
 
 def entity_sequences(rows: DataFrame, key: list[str], content: str, gazetteer: DataFrame) -> DataFrame:
-    """Names of the gazetteer (column `name`) in text order per row; rows without any get an empty list."""
+    """Names of the gazetteer (one row per `name`) in text order per row; rows without any get an empty list."""
     spans = rows.select(*key, F.posexplode(name_spans(F.col(content))).alias("pos", "name"))
-    known = spans.join(gazetteer.select("name").distinct(), "name")
+    known = spans.join(gazetteer.select("name"), "name")
     names = known.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda e: e["name"]).alias("entities"))
     empty = F.array().cast("array<string>")
     return rows.join(names, key, "left").withColumn("entities", F.coalesce("entities", empty))

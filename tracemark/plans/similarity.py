@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemark.functions import hashing
 from tracemark.operators import similarity as sim
 from tracemark.plans.registry import query
+from tracemark.session import materialise
 
 _CLASSES = """classes AS (SELECT dhash, ahash, phash, whash, min(file_id) AS class_id, count(*) AS copies
                           FROM media_hashes_wide GROUP BY ALL)"""
@@ -147,7 +148,7 @@ def compare_with_cache(t):
     e = t.read("events").filter("user_id <> event_id")
     cache = e.groupBy(F.least("user_id", "event_id").alias("low"), F.greatest("user_id", "event_id").alias("high")).agg(
         (F.max("value") / 500).alias("similarity"))
-    answers = sim.score_requests(_requests(t), t.media_hashes_wide, cache)
+    answers = sim.score_requests(_requests(t), t.media_hashes_wide, materialise(cache, "scores"))
     return answers.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -121,9 +121,7 @@ def entity_order(t):
 def common_entities(t):
     key = ["doc_id", "claim_no"]
     named = cl.entity_sequences(t.claims, key, "claim", t.gazetteer).select(*key, F.col("entities").alias("ce"))
-    items = t.corpus.join(t.evidence.select("tier", "item_id").distinct(), ["tier", "item_id"], "left_semi")
-    bodies = cl.entity_sequences(items.select("tier", "item_id", "body"), ["tier", "item_id"], "body", t.gazetteer)
-    pairs = named.join(t.evidence.join(bodies, ["tier", "item_id"]).select(*key, F.col("entities").alias("ie")), key)
+    pairs = named.join(t.evidence.join(t.evidence_entities, ["tier", "item_id"]).select(*key, F.col("entities").alias("ie")), key)
     shared = pairs.select(*key, cl.common_entities(F.col("ce"), F.col("ie")).alias("c")).filter(F.size("c") > 0)
     return shared.groupBy(*key, F.array_join("c", "|").alias("common")).agg(F.count("*").alias("n"))
 

@@ -161,15 +161,16 @@ class Tables:
 
     @cached_property
     def cache_entries(self) -> DataFrame:
-        return self.events.groupBy("event_type", "user_id").agg(
-            F.count("*").alias("access_count"), F.max("ts").alias("created_at")
-        ).select(
+        counted = self.events.groupBy("event_type", "user_id").agg(
+            F.count("*").alias("access_count"), F.max("ts").alias("created_at"))
+        entries = counted.select(
             hashing.cache_key(F.col("event_type"), F.col("user_id")).alias("cache_key"),
             F.col("event_type").alias("cache_type"),
             "access_count",
             "created_at",
             hashing.expires_at(F.col("created_at"), 24).alias("expires_at"),
         )
+        return materialise(entries, "cache-entries")
 
     @cached_property
     def result_envelope(self) -> DataFrame:
@@ -221,12 +222,13 @@ class Tables:
         """Fact-check records: the sentences of the benchmark passages; one record per sentence."""
         i = F.col("item_id")
         rows = self.read("benchmark").select("item_id", F.explode(text.sentences(F.col("text"))).alias("claim"))
-        return rows.groupBy("claim").agg(F.min("item_id").alias("item_id")).select(
+        records = rows.groupBy("claim").agg(F.min("item_id").alias("item_id")).select(
             "claim",
             F.when(i % 4 == 1, "CheckDesk").when(i % 4 == 2, "System").when(i % 4 == 3, "FactWire").alias("source"),
             F.when(i % 3 == 0, "False").when(i % 3 == 1, "True").otherwise("Mostly False").alias("verdict"),
             F.concat(F.lit("https://facts.example/"), i).alias("url"),
         )
+        return materialise(records, "facts")
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -272,14 +274,20 @@ class Tables:
     @cached_property
     def gazetteer(self) -> DataFrame:
         """Known names: the capitalised spans of the benchmark passages."""
-        return self.read("benchmark").select(F.explode(claim_ops.name_spans(F.col("text"))).alias("name")).distinct()
+        names = self.read("benchmark").select(F.explode(claim_ops.name_spans(F.col("text"))).alias("name")).distinct()
+        return materialise(names, "gazetteer")
 
     @cached_property
     def entity_checks(self) -> DataFrame:
         """Entity-order check of every claim against the text of its evidence."""
         key = ["doc_id", "claim_no"]
         named = claim_ops.entity_sequences(self.claims, key, "claim", self.gazetteer)
-        items = self.corpus.join(self.evidence.select("tier", "item_id").distinct(), ["tier", "item_id"], "left_semi")
-        bodies = claim_ops.entity_sequences(items.select("tier", "item_id", "body"), ["tier", "item_id"], "body", self.gazetteer)
-        snippets = self.evidence.join(bodies, ["tier", "item_id"]).select(*key, F.col("entities").alias("snippet_entities"))
+        snippets = self.evidence.join(self.evidence_entities, ["tier", "item_id"]).select(*key, F.col("entities").alias("snippet_entities"))
         return claim_ops.check_entity_order(named, snippets, key)
+
+    @cached_property
+    def evidence_entities(self) -> DataFrame:
+        """Names in every corpus item that serves as evidence."""
+        items = self.corpus.join(self.evidence.select("tier", "item_id").distinct(), ["tier", "item_id"], "left_semi")
+        named = claim_ops.entity_sequences(items.select("tier", "item_id", "body"), ["tier", "item_id"], "body", self.gazetteer)
+        return materialise(named.select("tier", "item_id", "entities"), "evidence-entities")

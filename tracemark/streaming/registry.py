@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracemark.functions import hashing
 from tracemark.operators.blocking import TILE_ROWS, near_pairs
+from tracemark.session import materialise
 
 STORED = "file_id long, sha256 string, h long"
 
@@ -61,7 +62,7 @@ class UploadRegistry:
         # Earliest content near each fingerprint value; the value itself is always among them.
         earliest = near.groupBy("ha").agg(F.min("b").alias("near_id")).withColumnRenamed("ha", "h")
         same = stored.select("sha256", "file_id").unionByName(fresh.select("sha256", "file_id")).groupBy("sha256").agg(F.min("file_id").alias("same_id"))
-        judged = batch.join(earliest, "h", "left").join(same, "sha256", "left").withColumn("first", F.least("near_id", "same_id"))
+        judged = batch.join(materialise(earliest, "earliest"), "h", "left").join(materialise(same, "same"), "sha256", "left").withColumn("first", F.least("near_id", "same_id"))
         earlier = F.col("first") < F.col("file_id")
         return judged.select("file_id", F.coalesce(earlier, F.lit(False)).alias("is_duplicate"), F.when(earlier, F.col("first")).alias("original_id"))
 
