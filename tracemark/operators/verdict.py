@@ -54,7 +54,7 @@ def _fake_score(label: str, confidence: str) -> Column:
 
 
 def _rate(name: str, label: str, value: str) -> Column:
-    return F.concat(F.lit(name + ": "), F.col(label), F.format_string(" (%.0f%% confidence)", F.col(value) * 100))
+    return F.concat(F.lit(name + ": "), F.col(label), F.format_string(" (%.0f%% confidence)", F.bround(F.col(value) * 100, 0)))
 
 
 def _weighted(parts: list[tuple[float | Column, Column]]) -> tuple[Column, Column]:

@@ -230,6 +230,16 @@ def video_scores(t):
     return _r(_video_scores(t).select("video_id", "temporal", "spatial", "texture", "compression"))
 
 
+@query("I19_compression_scores", """
+    b AS (SELECT video_id, (list_avg(list_transform(range(1, 9), lambda i: CAST(abs(pixels[56 + i] - pixels[48 + i]) AS DOUBLE)))
+                 + list_avg(list_transform(range(8), lambda i: CAST(abs(pixels[8 * i + 8] - pixels[8 * i + 7]) AS DOUBLE)))) / 2 AS step
+          FROM frames WHERE frame_idx < 5)
+    SELECT video_id, round(avg(least(1.0::DOUBLE, step / 50)) * 0.4::DOUBLE, 6) AS compression FROM b GROUP BY 1""", ("frames",))
+def compression_scores(t):
+    blocks = px.with_features(t.frames.filter(_idx() < 5), "blocks", ["video_id", "frame_idx"])
+    return _r(blocks.groupBy("video_id").agg(F.avg(px.compression_score()).alias("compression")))
+
+
 @query("I20_ai_video_verdict")
 def ai_video_verdict(t):
     return _r(fr.ai_video_verdict(_video_scores(t)).select("video_id", "frames_analyzed", "confidence", "is_ai_generated", "explanation"))

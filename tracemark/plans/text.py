@@ -163,7 +163,23 @@ def verdict_five(t):
     return v.select("doc_id", F.round("raw_score", 6).alias("raw_score"), "label")
 
 
-@query("T13_reasoning")
+_RATE = "'{n}: ' || {l} || ' (' || printf('%.0f', round_even({p} * 100, 0)) || '% confidence)'"
+
+
+@query("T13_reasoning", f"""
+    {_FACT}, {_WEB},
+    w AS (SELECT doc_id, count(*) AS n, count(*) FILTER (match_count > 0) AS hit FROM web GROUP BY 1),
+    en AS (SELECT doc_id, count(*) FILTER (checked) AS chk, count(*) FILTER (checked AND order_mismatch) AS mis FROM entity_checks GROUP BY 1)
+    SELECT m.doc_id, concat_ws('; ', {_RATE.format(n='BERT classifier', l='bert_label', p='bert_conf')}, {_RATE.format(n='Baseline (XGBoost)', l='xgb_label', p='xgb_prob')},
+        CASE WHEN hits > 0 THEN 'Fact-check databases: ' || bad || '/' || hits || ' matched claim(s) rated false'
+             ELSE 'Fact-check databases: no matching records found for any claim' END,
+        CASE WHEN n > 0 THEN 'Live web search: ' || hit || '/' || n || ' claim(s) have current online corroboration (strength-weighted by match count)'
+             ELSE 'Live web search: no claims were searched' END,
+        CASE WHEN mis > 0 THEN 'Entity-order check: ' || mis || '/' || chk || ' comparable claim(s) name entities in another order than the evidence'
+             WHEN chk > 0 THEN 'Entity-order check: ' || chk || ' claim(s) compared, no swapped-entity contradictions detected'
+             ELSE 'Entity-order check: not enough named entities to evaluate' END) AS reasoning
+    FROM model_scores m LEFT JOIN fc ON fc.doc_id = m.doc_id LEFT JOIN w ON w.doc_id = m.doc_id LEFT JOIN en ON en.doc_id = m.doc_id""",
+       ("claims", "facts", "model_scores", "entity_checks", "evidence"))
 def reasoning(t):
     checked, web = cl.check_facts(t.claims, t.facts), cl.corroboration(t.claims, t.evidence)
     v = vd.five_signal_verdict(t.model_scores, checked, web, t.entity_checks)

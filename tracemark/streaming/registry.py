@@ -58,7 +58,8 @@ class UploadRegistry:
         rows = stored.count() + new_rows
         # A small batch is broadcast against the stored blocks, which stay where they are; only a large one
         # needs crowded blocks cut into tiles.
-        near = near_pairs(seen, self.max_distance, rows, probes=asked, tile_rows=TILE_ROWS if new_rows > TILE_ROWS else rows)
+        near = near_pairs(seen, self.max_distance, rows, probes=asked, probe_rows=new_rows,
+                          tile_rows=TILE_ROWS if new_rows > TILE_ROWS else rows)
         # Earliest content near each fingerprint value; the value itself is always among them.
         earliest = near.groupBy("ha").agg(F.min("b").alias("near_id")).withColumnRenamed("ha", "h")
         same = stored.select("sha256", "file_id").unionByName(fresh.select("sha256", "file_id")).groupBy("sha256").agg(F.min("file_id").alias("same_id"))
