@@ -173,7 +173,7 @@ def route_keys(t):
 
 
 @query("F14_flatten", """
-    SELECT event_id, user_id AS info_user, event_type AS info_type, value AS scores_0, CAST(k AS DOUBLE) AS scores_1, NULL AS scores_rest FROM ev""", ("ev",))
+    SELECT event_id, user_id AS info_user, event_type AS info_type, value AS scores_0, CAST(k AS DOUBLE) AS scores_1, CAST(NULL AS VARCHAR) AS scores_rest FROM ev""", ("ev",))
 def flatten(t):
     nested = t.events.select("event_id", F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("type")).alias("info"),
                              F.array("value", F.col("k").cast("double")).alias("scores"))

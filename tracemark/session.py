@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-    scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    return _local_scratch(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_scratch(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
