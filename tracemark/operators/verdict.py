@@ -50,7 +50,9 @@ def entity_signal(entities: DataFrame) -> DataFrame:
 
 
 def _fake_score(label: str, confidence: str) -> Column:
-    return F.when(F.col(label) == "Misleading", F.col(confidence)).otherwise(1.0 - F.col(confidence))
+    """Suspicion of one model; NULL at confidence 0, which only an empty text gets, so that it carries no signal."""
+    score = F.when(F.col(label) == "Misleading", F.col(confidence)).otherwise(1.0 - F.col(confidence))
+    return F.when(F.col(confidence) > 0, score)
 
 
 def _rate(name: str, label: str, value: str) -> Column:
