@@ -1,0 +1,16 @@
+"""The registered queries: thin wrappers that turn an operator's output into the columns to report."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracemark.llm.common import table
+from tracemark.llm.near_dups import near_duplicates
+from tracemark.llm.registry import ORACLES, QUERIES, query
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+@query("op5_near_duplicates")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
