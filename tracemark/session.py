@@ -42,6 +42,11 @@ def _local_scratch(application: str) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/tracemark/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -51,7 +56,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     between two scans, but not of a join with an aggregation on one side.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tracemark/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
