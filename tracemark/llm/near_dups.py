@@ -1,14 +1,15 @@
 """MinHash near-duplicates, verified by odd sketches and then on the full sets.
 
 Documents become sets of word shingles. Documents with equal sets form a class, and all later work is on classes, so a group of
-exact copies costs one row. Each class has `BANDS` keys of `ROWS` MinHash samples; classes that share a key are candidates. All its
-samples are also folded into an odd sketch, a bitmap in which each (sample, value) toggles one bit: the population count of
-the XOR of two sketches tells how many samples differ, precisely so for the high similarities asked for here. Candidates whose
-sketches rule out the threshold go; the rest is confirmed on the sets themselves.
+exact copies costs one row. Each class has `BANDS` keys of `ROWS` MinHash samples; classes that share a key are candidates. The samples of one more
+permutation, cut into `BINS` bins with the smallest value of each, are folded into an odd sketch, a bitmap in which every sample toggles one
+bit: the population count of the XOR of two sketches tells how many samples differ, precisely so for the high similarities asked for here.
+Candidates whose sketches rule out the threshold go; the rest is confirmed on the sets themselves.
 
-Groups of near copies are not turned into all their pairs. Each key first links its members to one leader. After that only members
-of different components meet, first with a second leader, and at the end all pairs of a key that are still in different
-components and pass the sketch test inside the join. No partner is capped.
+Groups of near copies are not turned into all their pairs. Each key first links its members to one leader, the member that shares its
+keys with most classes: of copies made from one text that is the text itself, or the closest to it. After that only members of different
+components meet, first with further leaders from outside the largest component of a key, and at the end all pairs of a key that are
+still in different components and pass the sketch test inside the join. No partner is capped.
 
 Edge cases: null or empty texts have an empty set, link with nothing and are their own component. With fewer words than a shingle has,
 the whole word sequence is the one shingle. Rows that repeat an id are judged one by one. Other columns are ignored. Empty tables give empty results.
@@ -30,18 +31,17 @@ SHINGLE = 5
 #: A pair at similarity 0.75 shares none of 36 keys of 5 samples with probability 6e-5, at 0.8 with 6e-7.
 BANDS, ROWS = 36, 5
 SAMPLES = BANDS * ROWS
-SKETCH_WORDS = 8
-SKETCH_BITS = 64 * SKETCH_WORDS
-#: Sketches must estimate this much less than the threshold before a pair is dropped unseen: over seven standard deviations.
-SLACK = 0.33
+BINS = 1024
+SKETCH_WORDS = BINS // 64
+#: Standard deviations by which sketches must differ too much before a pair is dropped unseen.
+SIGMAS = 4.5
 #: Star rounds before the last one, which compares whatever is left.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-_SALTS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
@@ -87,11 +87,13 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Rows of samples to rows of `SKETCH_WORDS` words: every (number of the sample, value) toggles one bit."""
-    place = (mix(samples ^ _SALTS) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    counts = np.bincount((place + np.arange(len(samples))[:, None] * SKETCH_BITS).ravel(), minlength=len(samples) * SKETCH_BITS)
-    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1).view(np.uint64)
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a sorted set: the smallest value of each bin (the top bits of a hash) toggles the bit that its mix names."""
+    bins = s >> np.uint64(54)
+    least = np.ones(len(s), bool)
+    least[1:] = bins[1:] != bins[:-1]
+    odd = np.bincount((mix(s[least]) >> np.uint64(54)).astype(np.int64), minlength=BINS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -101,16 +103,30 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketch_limit(threshold: float, slack: float = SLACK) -> int:
-    """Most bits in which the sketches of a pair may differ to be worth a check on the sets."""
-    differing = 2 * SAMPLES * (1 - max(0.0, threshold - slack))
-    return int(SKETCH_BITS / 2 * (1 - np.exp(-2 * differing / SKETCH_BITS))) + 30
+def estimated_similarity(xor_bits: int, n_a: int, n_b: int) -> float:
+    """Similarity of two sets of these sizes that the population count of their sketches' XOR speaks for."""
+    filled = lambda n: BINS * (1 - np.exp(-n / BINS))
+    differing = -BINS / 2 * np.log(max(1 - 2 * xor_bits / BINS, 1e-9))
+    equal, share = (filled(n_a) + filled(n_b) - differing) / 2, 1.0
+    for _ in range(30):  # the union's size depends on the similarity that is looked for
+        share = float(np.clip(equal / max(filled((n_a + n_b) / (1 + share)), 1e-9), 0, 1))
+    return share
 
 
-def estimated_similarity(xor_bits: int) -> float:
-    """Similarity that the population count of two sketches' XOR speaks for."""
-    rest = max(1 - 2 * xor_bits / SKETCH_BITS, 1e-9)
-    return max(0.0, 1 + SKETCH_BITS / (4 * SAMPLES) * float(np.log(rest)))
+def sketch_limit(n, threshold: float):
+    """Most bits in which the sketches of two sets of size `n` may differ to be worth a check on the sets; it grows with `n`.
+
+    At the threshold the sets' union has 2 n / (1 + threshold) elements, which fill a known number of bins on average; the share `threshold` of
+    these have equal samples. Their number varies like draws without replacement, and the bits vary through samples that meet in one.
+    """
+    union = 2 * n / (1 + threshold)
+    filled = lambda x: BINS * (1 - F.exp(-x / BINS))
+    bins = filled(union)
+    differ = F.greatest(2 * filled(n * 1.0) - 2 * threshold * bins, F.lit(0.0))
+    drawn = bins * threshold * (1 - threshold) * F.greatest(union - bins, F.lit(1.0)) / union
+    fade = F.exp(-2 * differ / BINS)
+    spread = F.greatest(BINS / 4 * (1 - fade * fade) - differ * fade * fade, F.lit(1.0)) + 4 * drawn * fade * fade
+    return F.ceil(BINS / 2 * (1 - fade) + SIGMAS * F.sqrt(spread) + 2).cast("int")
 
 
 def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -121,7 +137,7 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             sets = list(shingle_sets(part, shingle))
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             samples = np.stack([minhash(s) for s in sets])
-            sketches = odd_sketches(samples).view(np.int64)
+            sketches = np.stack([odd_sketch(s) for s in sets]).view(np.int64)
             keys = band_keys(samples).view(np.int64)
             cls = pa.array(set_digest(sets).view(np.int64), mask=sizes == 0)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
@@ -163,8 +179,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(100 * both.cast("long") >= percent * union.cast("long")).select("a", "b")
 
 
-def sketch_near(left: str, right: str, limit: int):
-    return sum((F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SKETCH), F.lit(0)) <= limit
+def sketch_near(left: str, right: str, percent: int):
+    """Whether sizes and sketches leave the threshold within reach."""
+    n_a, n_b = F.col(f"{left}.n"), F.col(f"{right}.n")
+    bits = sum((F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{left}.s0").bitwiseXOR(F.col(f"{right}.s0"))))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (bits <= F.greatest(F.col(f"{left}.most"), F.col(f"{right}.most")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -204,44 +223,56 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE)
     `n_copies`, the number of documents with the same set."""
     rows = materialise(profiles(docs, shingle), "profiles")
     classes = materialise(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "classes")
-    keys = rows.where("cls is not null").select("cls", F.explode("bands").alias("key"))
+    keys = rows.where("cls is not null").select("cls", F.posexplode("bands").alias("band", "key"))
     keys = materialise(keys.join(keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key"), "key", "left_semi").distinct(), "keys")
-    sketches = materialise(rows.join(keys.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(*(F.first(s).alias(s) for s in SKETCH)), "sketches")
+    sketches = materialise(rows.join(keys.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in SKETCH))
+                           .withColumn("most", sketch_limit(F.col("n"), percent / 100)), "sketches")
     sets = _store_sets(docs, classes, sketches.select("cls"), shingle)
-    limit = sketch_limit(percent / 100)
-
-    links = None
-    tested = None
-    label = None
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
+    popular = keys.join(sizes, "key").groupBy("cls").agg(F.sum("size").alias("popular"))
+    keys = materialise(keys.join(popular, "cls"), "popular-keys")
+    links, tested, label, leaders = None, None, None, None
     for turn in range(STAR_ROUNDS + 1):
-        here = keys if label is None else keys.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left")
-        here = here.select("key", "cls", F.coalesce("label", "cls").alias("label") if label is not None else F.col("cls").alias("label"))
-        if label is not None:
+        if label is None:
+            here = keys.withColumn("label", F.col("cls"))
+        else:
+            here = keys.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
             mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
             here = materialise(here.join(mixed, "key", "left_semi"), "mixed")
         if turn < STAR_ROUNDS:
-            # a leader of the smallest component of the key, which all others are held against
-            lead = here.groupBy("key").agg(F.min(F.struct("label", "cls")).alias("lead")).select("key", F.col("lead.label").alias("lead_label"), F.col("lead.cls").alias("lead"))
+            most = F.max(F.struct("popular", "cls", "label")).alias("lead")
+            lead = here.groupBy("key").agg(most)
+            if leaders is not None:  # one that has not led yet, outside the component of the most popular member
+                fresh = here.join(lead.select("key", F.col("lead.label").alias("main")), "key").where("label <> main").join(bounded_broadcast(leaders), "cls", "left_anti")
+                lead = fresh.groupBy("key").agg(most)
+            lead = materialise(lead.select("key", F.col("lead.label").alias("lead_label"), F.col("lead.cls").alias("lead")), "leads")
+            now = lead.select(F.col("lead").alias("cls")).distinct()
+            leaders = materialise(now if leaders is None else leaders.unionByName(now), "leaders")
             pairs = here.join(lead, "key").where("label <> lead_label").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
         else:
             full = here.join(sketches, "cls")
+            # a pair comes under the first key it shares only, so nothing has to be made distinct
+            before = F.arrays_overlap(F.slice(F.col("l.bands"), F.lit(1), F.col("l.band")), F.slice(F.col("r.bands"), F.lit(1), F.col("l.band")))
             pairs = (full.alias("l").join(full.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.cls") < F.col("r.cls"))
-                     & (F.col("l.label") != F.col("r.label")) & sketch_near("l", "r", limit)).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")))
-        pairs = pairs.distinct()
+                     & (F.col("l.label") != F.col("r.label")) & sketch_near("l", "r", percent) & ~before).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")))
+        if turn < STAR_ROUNDS:
+            pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
-            if label is None:
+            if not turn:  # no two classes share a key
                 break
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         if turn < STAR_ROUNDS:
-            a, b = sketches.withColumnRenamed("cls", "a").alias("l"), sketches.withColumnRenamed("cls", "b").alias("r")
-            pairs = pairs.join(a, "a").join(b, "b").where(sketch_near("l", "r", limit)).select("a", "b")
+            light = sketches.drop("bands")
+            a, b = light.withColumnRenamed("cls", "a").alias("l"), light.withColumnRenamed("cls", "b").alias("r")
+            pairs = pairs.join(a, "a").join(b, "b").where(sketch_near("l", "r", percent)).select("a", "b")
         found = materialise(confirm(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            label = components(links)
 
     of_class = classes.select("cls", "doc_id", "n_copies")
     if label is None:
