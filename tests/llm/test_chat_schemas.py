@@ -1,0 +1,55 @@
+import hashlib
+import json
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tracemark.llm import chat_schemas
+from tracemark.llm.chat_schemas import END, START
+
+TEXTS = st.lists(st.one_of(st.sampled_from([*"<|>\\\nn", END, START, "<\\|", END + "\n"]), st.characters(exclude_categories=["Cs"])), max_size=15).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(TEXTS, TEXTS), max_size=5))
+def test_round_trip(turns):
+    made = [chat_schemas.format_turn(*t) for t in turns]
+    assert chat_schemas.parse("".join(m[0] for m in made)) == turns
+    for (role, text), (segment, start, end) in zip(turns, made):
+        assert chat_schemas.unescape(segment[start:end]) == (text if role == "assistant" else "")
+        assert segment.count(END) == 1
+
+
+def digest(turns):
+    loss = "".join(t for r, t in turns if r == "assistant")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss)
+
+
+def test_layouts_become_the_same_turns(spark):
+    turns = [("system", "be kind"), ("user", "hello\n\nthere"), ("assistant", "<|im_end|> hi")]
+    records = [
+        {"messages": [{"role": r, "content": t} for r, t in turns]},
+        {"conversations": [{"from": {"user": "human", "assistant": "gpt"}.get(r, r), "value": t} for r, t in turns]},
+        {"system": "be kind", "instruction": "hello", "input": "there", "output": "<|im_end|> hi"},
+    ]
+    rows = [(i, 0, json.dumps(r), "x") for i, r in enumerate(records)] + [(3, 0, json.dumps({"prompt": "q", "response": None}), "x"), (4, 0, '{"odd": {"deep": [1]}}', "x"), (5, 0, "not json", "x"), (6, 0, None, "x")]
+    found = chat_schemas.turns(spark.createDataFrame(rows, "conv_id long, turn long, record string, layout string"))
+    by_conv = {}
+    for r in found.collect():
+        by_conv.setdefault(r["conv_id"], []).append((r["part"], r["role"], r["text"], r["layout"], r["schema"]))
+    for i in range(3):
+        assert [x[1:3] for x in sorted(by_conv[i])] == turns
+    assert [x[1:3] for x in sorted(by_conv[3])] == [("user", "q"), ("assistant", "")]
+    assert by_conv[4][0][3] is None and by_conv[4][0][4] == chat_schemas.fingerprint(["odd", "odd.deep"]) and by_conv[5][0][3] is None
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat_schemas.digests(chat_schemas.formatted(found)).collect()}
+    assert got == {**{i: digest(turns) for i in range(3)}, 3: digest([("user", "q"), ("assistant", "")])}
+
+
+def test_turn_table(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 1, "assistant", "z" * 100_000), (2, 0, None, "é"), (None, 0, "user", "x"), (3, 5, "user", "same"), (3, 5, "user", "same"), (4, None, "assistant", "<\\|")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "conv_id long, turn long, role string, text string, segment string")
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat_schemas.digests(chat_schemas.formatted(chat_schemas.turns(chat_schemas.turn_records(df)))).collect()}
+    want = {1: [("user", "a"), ("assistant", "")], 2: [("", "é"), ("assistant", "z" * 100_000)], None: [("user", "x")], 3: [("user", "same")] * 2, 4: [("assistant", "<\\|")]}
+    assert got == {k: digest(v) for k, v in want.items()}
+    assert chat_schemas.digests(chat_schemas.formatted(chat_schemas.turns(chat_schemas.turn_records(df.where("false"))))).count() == 0

@@ -1,0 +1,96 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import sentencepiece
+
+from tracemark.llm import lattice
+
+from .conftest import EDGES, make
+
+
+def library(texts):
+    sp = sentencepiece.SentencePieceProcessor(model_file=lattice.default_model())
+    return [sp.encode(t) for t in texts]
+
+
+def noise(n, seed=5):
+    rng = random.Random(seed)
+    alphabet = ["the", "ing", "e", "t", "in", "er", " ", " ", "  ", "   ", "\n", "\t", "▁", "é", "ü", "日本", "\U0001f600", "<0x41>", "<s>", "12", "...", "aaaa", "ououou", "\x00", "A", "://"]
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+def test_ids_equal_the_library(spark, edges):
+    texts = noise(400) + [" " * k for k in range(40)] + ["a" * k for k in range(40)]
+    docs = make(spark, [(i, t, None) for i, t in enumerate(texts)])
+    for most in (0, 150, 100_000):
+        got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in lattice.encode(docs, most=most).collect()}
+        wrong = [(t, got[i], w) for i, (t, w) in enumerate(zip(texts, library(texts))) if got[i] != w]
+        assert not wrong, wrong[:2]
+    digests = sorted(((r["doc_id"], r["n_pieces"], r["ids_crc32"], r["restored"]) for r in lattice.encode(edges, digest=True).collect()), key=str)
+    want = [(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True) for (i, _, _), ids in zip(EDGES, library([t or "" for _, t, _ in EDGES]))]
+    assert digests == sorted(want, key=str)
+
+
+def test_decoding_restores_texts():
+    pieces = lattice.load_pieces(lattice.default_model())
+    for text in noise(300, 6):
+        ids = np.array(library([text])[0], np.uint32)
+        assert lattice.decode(ids, pieces) == text.replace("▁", " ")
+
+
+def toy():
+    score = {"a": -1.0, "b": -1.5, "c": -2.0, "ab": -1.8, "bc": -2.1, "abc": -4.0, "ca": -2.5, "cab": -3.0, "▁": -1.0, "▁a": -1.2}
+    names = ["<unk>", *score]
+    return lattice.make_pieces(score, {p: i + 1 for i, p in enumerate(score)}, [], names, "unigram")
+
+
+def best_total(unit, pieces):
+    low = min(pieces.score.values()) - lattice.UNKNOWN_PENALTY
+    best = [0.0] + [-np.inf] * len(unit)
+    for e in range(1, len(unit) + 1):
+        for s in range(e):
+            piece = unit[s:e]
+            x = pieces.score.get(piece, low if e - s == 1 else None)
+            if x is not None:
+                best[e] = max(best[e], best[s] + x)
+    return best[-1]
+
+
+def test_unigram_fold_is_the_best_path(spark):
+    rng, pieces = random.Random(3), toy()
+    words = sorted({"".join(rng.choice("abcabcx▁") for _ in range(rng.randint(1, 12))) for _ in range(200)})
+    df = spark.createDataFrame([(w,) for w in words], "unit string")
+    got = {r["unit"]: r["path"] for r in lattice.best_paths(lattice.edges(spark, df, pieces), pieces).collect()}
+    local = lattice.Lattice(pieces)
+    low = min(pieces.score.values()) - lattice.UNKNOWN_PENALTY
+    for w in words:
+        assert "".join(got[w]) == w and got[w] == local.path(w)
+        assert abs(sum(pieces.score.get(p, low) for p in got[w]) - best_total(w, pieces)) < 1e-9
+
+
+def test_bpe_fold_equals_merging(spark):
+    pieces = lattice.load_pieces(lattice.default_model())
+    units, _ = lattice.units(pa.array([t for t in noise(150, 8) if len(t) < 60]))
+    words = sorted({u for u in units.to_pylist() if len(u) <= lattice.UNIT_CHARS})
+    df = spark.createDataFrame([(w,) for w in words], "unit string")
+    got = {r["unit"]: r["path"] for r in lattice.best_paths(lattice.edges(spark, df, pieces), pieces).collect()}
+    assert got == {w: lattice.merged(w, pieces.score) for w in words}
+
+
+def test_units_join_to_the_text():
+    texts = noise(200, 9) + ["", " ", "\n\n", "a\x00b c\n d"]
+    values, bounds = lattice.units(pa.array(texts))
+    rows = values.to_pylist()
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:]):
+        assert "".join(rows[a:b]) == (("▁" + t.replace(" ", "▁")) if t else "")
+
+
+def test_dictionary_is_bounded(spark, nothing):
+    docs = make(spark, [(i, f"common words here and rare{i}", None) for i in range(50)])
+    counts = lattice.unit_counts(docs)
+    assert {r["unit"]: r["n"] for r in counts.collect()}["▁common"] == 50
+    assert lattice.frequent(counts, 3).count() in (0, 3) or lattice.frequent(counts, 3).count() <= 3
+    assert lattice.frequent(counts, 4).count() == 4
+    assert lattice.encode(nothing).count() == 0

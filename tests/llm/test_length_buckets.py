@@ -1,0 +1,65 @@
+import itertools
+import random
+
+from tracemark.llm import length_buckets
+
+from .conftest import EDGES, make
+
+
+def padding(histogram, tops):
+    return sum(n * (min(t for t in tops if t >= k) - k) for k, n in histogram.items())
+
+
+def test_boundaries_are_optimal():
+    rng = random.Random(8)
+    for _ in range(40):
+        histogram = {rng.randint(1, 60): rng.randint(1, 50) for _ in range(rng.randint(1, 9))}
+        buckets = rng.randint(1, 4)
+        tops = length_buckets.boundaries(histogram, buckets)
+        lengths = sorted(histogram)
+        best = min(padding(histogram, (*c, lengths[-1])) for k in range(min(buckets, len(lengths))) for c in itertools.combinations(lengths[:-1], k))
+        assert len(tops) <= buckets and tops == sorted(tops) and padding(histogram, tops) == best
+
+
+def test_batches(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1, 5, 30, 31, 100, 999])) for i in range(2000)] + [(2000, 5000), (2001, None), (2002, -3), (5, 30)]
+    lengths = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, n_tokens long, bucket int")
+    got = length_buckets.pack(lengths, buckets=3, max_length=1024, batch_tokens=4096).collect()
+    by_doc = {}
+    for r in got:
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    for i, n in rows:
+        n = max(n or 1, 1)
+        assert sorted(set(by_doc[i]))[-1][0] // 1024 == len({s for s, _ in by_doc[i]}) - 1
+        if i != 5:
+            assert sum(x for _, x in by_doc[i]) == n
+    assert sorted(x for _, x in by_doc[5]) == sorted([30, dict(rows[:2000])[5]])
+    batches = {}
+    for r in got:
+        assert r["length"] <= r["padded_length"]
+        batches.setdefault((r["bucket"], r["batch"]), []).append(r)
+    last = {b: max(n for c, n in batches if c == b) for b, _ in batches}
+    for (bucket, batch), members in batches.items():
+        fits = max(4096 // members[0]["padded_length"], 1)
+        assert sorted(m["slot"] for m in members) == list(range(len(members))) and len(members) <= fits
+        assert len(members) == fits or batch == last[bucket]
+    assert {n for _, n in batches} and all(set(range(last[b] + 1)) == {n for c, n in batches if c == b} for b in last)
+
+
+def test_documents(spark, edges, nothing):
+    from tracemark.llm.tokens import token_counts
+
+    got = length_buckets.pack_documents(edges).collect()
+    want = sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts(edges).collect())
+    assert sum(r["length"] for r in got) == sum(n for _, n in want)
+    assert {r["length"] for r in got if r["doc_id"] in (1, 2)} == {1}
+    assert len({r["doc_id"] for r in got}) == len({i for i, _, _ in EDGES})
+    assert length_buckets.pack_documents(nothing).count() == 0
+
+
+def test_places_number_a_hot_key(spark):
+    df = spark.range(5000).selectExpr("if(id % 10 < 9, 0, id) AS k", "id AS v").repartition(5)
+    got = length_buckets.places(df, "k", "v").where("k = 0").orderBy("v").collect()
+    assert [r["place"] for r in got] == list(range(len(got)))
+    assert make(spark, []).count() == 0

@@ -1,0 +1,114 @@
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from tracemark.llm import near_dups
+
+from .conftest import WORD, make
+
+
+def shingles(text):
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
+def brute(rows):
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(j)] = find(i)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    out = []
+    for members in groups.values():
+        least = min((rows[i][0] for i in members if rows[i][0] is not None), default=None)
+        out += [(rows[i][0], len(sets[i]), least if least is not None else rows[i][0]) for i in members]
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()), key=str)
+
+
+def test_groups_of_copies_equal_brute_force(spark):
+    rng, rows = random.Random(1), []
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for base in range(12):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([4, 6, 30, 80, 400]))]
+        for copy in range(rng.choice([1, 2, 3, 25])):
+            changed = list(words)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, len(words) // 40, len(words) // 20])):
+                changed[rng.randrange(len(words))] = "new" + str(rng.random())
+            rows.append((len(rows), " ".join(changed)))
+    rng.shuffle(rows)
+    assert got(near_dups.near_duplicates(make(spark, [(i, t, None) for i, t in rows]))) == brute(rows)
+
+
+def test_chain_reaches_its_end(spark):
+    words = [f"c{i}" for i in range(120)]
+    rows = [(100 - k, " ".join(words[5 * k : 5 * k + 60])) for k in range(12)]
+    assert got(near_dups.near_duplicates(make(spark, [(i, t, None) for i, t in rows]))) == brute(rows)
+
+
+def test_edges(spark, edges, nothing):
+    from .conftest import EDGES
+
+    assert got(near_dups.near_duplicates(edges)) == brute([(i, t) for i, t, _ in EDGES])
+    assert near_dups.near_duplicates(nothing).count() == 0
+    kept = near_dups.keep_first(edges)
+    assert kept.columns == edges.columns
+    ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
+    assert ids.count(7) == 1 and 8 not in ids and None in ids and 1 in ids
+    assert near_dups.keep_first(nothing).count() == 0
+
+
+def test_sketch_estimates_similarity():
+    rng = np.random.default_rng(2)
+    for n in (100, 1000, 20000):
+        for share in (0.75, 0.9, 0.97):
+            union = np.sort(near_dups.mix(rng.integers(0, 1 << 62, n, dtype=np.uint64)))
+            both = int(n * share)
+            order = rng.permutation(n)
+            a = np.sort(np.concatenate([union[order[:both]], union[order[both : both + (n - both) // 2]]]))
+            b = np.sort(np.concatenate([union[order[:both]], union[order[both + (n - both) // 2 :]]]))
+            bits = int(np.bitwise_count(near_dups.odd_sketch(a) ^ near_dups.odd_sketch(b)).sum())
+            assert abs(near_dups.estimated_similarity(bits, len(a), len(b)) - both / n) < 0.08
+
+
+def test_sketch_limit_keeps_pairs_at_the_threshold(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    sizes = [20, 150, 600, 3000]
+    limits = {r["n"]: r["most"] for r in spark.createDataFrame([(n,) for n in sizes], "n int").select("n", near_dups.sketch_limit(F.col("n"), 0.75).alias("most")).collect()}
+    for n in sizes:
+        for _ in range(60):
+            both = -(-6 * n // 7)
+            pool = near_dups.mix(rng.integers(0, 1 << 62, 2 * n - both, dtype=np.uint64))
+            a, b = np.sort(pool[:n]), np.sort(pool[n - both :])
+            assert int(np.bitwise_count(near_dups.odd_sketch(a) ^ near_dups.odd_sketch(b)).sum()) <= limits[n]
+
+
+def test_shingles_of_a_batch():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c d e f a b c d e", "A B C D E", "a b", "", "b a"])], ["text"])
+    sets = list(near_dups.shingle_sets(batch, 5))
+    assert [len(s) for s in sets] == [6, 1, 1, 0, 1]
+    assert sets[1][0] in sets[0] and sets[2][0] != sets[4][0]
+
+
+def test_components_of_long_chains(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(200, 100), (100, 200), (7, 7)], "a long, b long")
+    found = {r["node"]: r["label"] for r in near_dups.components(links).collect()}
+    assert found == {**{i: 0 for i in range(61)}, 100: 100, 200: 100}

@@ -1,0 +1,82 @@
+import corpus_pipeline
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from tracemark.llm import language_codes, near_dups, quality_rules, queries
+
+from .conftest import make
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return duckdb.connect().execute(f"SELECT doc_id, text, lang FROM '{FOLDER}/documents.parquet' ORDER BY doc_id").fetchall()
+
+
+def test_all_queries_are_registered():
+    names = list(entry.queries())
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert set(queries.QUERIES) < set(names)
+
+
+def test_stages_equal_their_brute_force(spark, documents):
+    """Each stage on what its predecessor kept."""
+    from .test_near_dups import brute
+    from .test_quality_rules import base
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns = docs.columns
+    text = {i: t for i, t, _ in documents}
+    known = corpus_pipeline.identify_language(spark, docs, FOLDER)
+    ids = {r["doc_id"] for r in known.select("doc_id").collect()}
+    assert known.columns == columns
+    assert all(any(c.isalpha() for c in text[i]) for i in ids) and len(ids) > 0.99 * len(text)
+    good = corpus_pipeline.judge_quality(spark, known, FOLDER)
+    kept = {r["doc_id"] for r in good.select("doc_id").collect()}
+    assert good.columns == columns and kept <= ids and not any(base(text[i])[5] for i in kept)
+    once = corpus_pipeline.drop_near_duplicates(spark, good, FOLDER)
+    alone = {r["doc_id"] for r in once.select("doc_id").collect()}
+    assert once.columns == columns
+    assert alone == {i for i, _, c in brute([(i, text[i]) for i in sorted(kept)]) if i == c}
+    packed = corpus_pipeline.pack(spark, once, FOLDER)
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == alone
+
+
+def test_run_equals_its_stages(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 50 and {"doc_id", "bucket", "batch", "slot"} <= set(out.columns)
+
+
+def test_edges(spark, edges, nothing):
+    for df in (edges, nothing):
+        docs = df
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, FOLDER)
+            if name != "packing":
+                assert docs.columns == df.columns
+        docs.count()
+
+
+def test_held_out_quality_of_labels(spark):
+    found = queries.QUERIES["op6_nb_svm"](spark, FOLDER).toPandas().merge(duckdb.connect().execute(f"SELECT doc_id, quality FROM '{FOLDER}/labels.parquet'").df(), on="doc_id")
+    held = found[found["held_out"]]
+    assert (held["predicted"] == held["quality"]).mean() > 0.93
+
+
+def test_held_out_languages(spark, documents):
+    lang = {i: x for i, _, x in documents}
+    held = [r for r in queries.QUERIES["op4_language_codes"](spark, FOLDER).collect() if r["held_out"]]
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.99
+
+
+def test_repeated_runs_agree(spark, prose):
+    docs = make(spark, [(i, prose(lang), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 10)])
+    model = language_codes.fit(docs)
+    p = language_codes.predictor(model)(F.col("text")).alias("p")
+    assert docs.repartition(3).select("doc_id", p).orderBy("doc_id").collect() == docs.repartition(5).select("doc_id", p).orderBy("doc_id").collect()
+    assert near_dups.near_duplicates(docs.repartition(3)).orderBy("doc_id").collect() == near_dups.near_duplicates(docs.repartition(5)).orderBy("doc_id").collect()
+    assert quality_rules.judged(docs).where("kept").count() == 40

@@ -1,0 +1,67 @@
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from tracemark.llm import simhash
+
+from .conftest import EDGES, make
+
+
+def test_neighbours_and_edits_equal_brute_force(spark, edges):
+    got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in simhash.compared_with_next(edges).collect()), key=str)
+    rows = sorted(((i, t or "") for i, t, _ in EDGES), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        cut = len(t) // 3
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + following[:cut]).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
+def test_many_partitions_and_one_row(spark, nothing):
+    rows = [(i, f"text number {i} " * 4, None) for i in range(300)]
+    got = {r["doc_id"]: r["edited_sha256"] for r in simhash.compared_with_next(make(spark, rows).repartition(7)).collect()}
+    for i, t, _ in rows:
+        following = rows[i - 1][1]
+        assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 3] + following[: len(t) // 3]).encode()).hexdigest()
+    one = simhash.compared_with_next(make(spark, [(5, "abcdef", None)])).first()
+    assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["hi"] == one["next_hi"]
+    assert simhash.compared_with_next(nothing).count() == 0
+
+
+def test_fingerprints_follow_the_text():
+    a = "the quick brown fox jumps over the lazy dog while the cat sleeps on the warm stone " * 3
+    fp = simhash.fingerprints(pa.array([a, a, a.replace("cat", "bird"), "quite another text with other words in it, nothing like the first", "", "  "]))
+    bits = lambda x, y: int(np.bitwise_count(fp[x] ^ fp[y]).sum())
+    assert bits(0, 1) == 0 and bits(4, 5) == 0 and not fp[4].any()
+    assert bits(0, 2) < 40 < bits(0, 3)
+
+
+def test_search_finds_all_within_the_radius(spark):
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 1 << 63, (60, 2), dtype=np.int64)
+    rows = [tuple(map(int, b)) for b in base for _ in range(2)]
+    for b in base[:30]:
+        for flips in range(1, 9):
+            x = [int(b[0]), int(b[1])]
+            for bit in rng.choice(128, flips, replace=False):
+                x[int(bit) // 64] ^= 1 << (int(bit) % 64)
+            rows.append(tuple(v - (1 << 64) if v >= 1 << 63 else v for v in (y & (1 << 64) - 1 for y in x)))
+    df = spark.createDataFrame(rows, "hi long, lo long")
+    for radius in (0, 3, 5):
+        got = {(r["hi"], r["lo"]): r["n_near"] for r in simhash.near_counts(df, df, radius).collect()}
+        near = lambda p, q: ((p[0] ^ q[0]) & (1 << 64) - 1).bit_count() + ((p[1] ^ q[1]) & (1 << 64) - 1).bit_count()
+        assert got == {q: sum(near(q, r) <= radius for r in rows) for q in set(rows)}
+
+
+def test_search_of_nothing(spark):
+    empty = spark.createDataFrame([], "hi long, lo long")
+    assert simhash.near_counts(empty, empty).count() == 0
+
+
+def test_likeness_bounds(spark):
+    row = spark.createDataFrame([(0, 0, 0, 0, -1, -1)], "a long, b long, c long, d long, e long, f long").select(
+        simhash.likeness(("a", "b"), ("c", "d")).alias("same"), simhash.likeness(("a", "b"), ("e", "f")).alias("opposite"), F.length(simhash.text_of(("a", "e"))).alias("n")).first()
+    assert (row["same"], row["opposite"], row["n"]) == (1.0, 0.0, 32)
