@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracemark.functions.text import percent
 from tracemark.operators.ranking import positions
+from tracemark.session import bounded_broadcast, materialise
 
 RUN = 256
 
@@ -25,10 +26,15 @@ def _ceil_div(a: Column, b: Column) -> Column:
     return _div(a + b - 1, b)
 
 
+def stride_slot(idx: Column, n: Column, limit: int) -> Column:
+    """Number of a frame in the stride sample, from 0: the sample's first k frames are those with a slot below k."""
+    return _div(idx, F.greatest(F.lit(1), _div(n, F.lit(limit))))
+
+
 def stride_sample(idx: Column, n: Column, limit: int) -> Column:
     """Every (n // limit)-th frame, at most `limit` frames."""
     step = F.greatest(F.lit(1), _div(n, F.lit(limit)))
-    return (idx % step == 0) & (_div(idx, step) < limit)
+    return (idx % step == 0) & (stride_slot(idx, n, limit) < limit)
 
 
 def interval_sample(idx: Column, every: int = 30) -> Column:
@@ -61,16 +67,19 @@ def timestamp_sample(frames: DataFrame, videos: DataFrame, wanted: DataFrame) ->
 
 
 def with_previous(frames: DataFrame, value: str, name: str) -> DataFrame:
-    """`value` of the preceding frame of the same video, as column `name`.
+    """`value` of the preceding frame of the same video, whatever the gap between their numbers, as column `name`.
 
-    Videos are cut into runs of 256 frame numbers and the last frame of a run is repeated in the next one, so
-    that a very long video is worked on by many tasks.
+    Videos are cut into runs of 256 frame numbers, so that a very long one is worked on by many tasks. The last frame of a run is
+    repeated in the next run that has frames.
     """
     run = _div(F.col("frame_idx"), F.lit(RUN))
-    runs = F.when(F.col("frame_idx") % RUN == RUN - 1, F.array(run, run + 1)).otherwise(F.array(run))
-    spread = frames.withColumn("_run", F.explode(runs))
+    lasts = frames.groupBy("video_id", run.alias("_run")).agg(F.max("frame_idx").alias("frame_idx"))
+    follows = F.lead("_run").over(Window.partitionBy("video_id").orderBy("_run"))  # one row per run
+    borders = materialise(lasts.select("video_id", "frame_idx", follows.alias("_run")).filter("_run is not null"), "run-borders")
+    repeated = frames.join(bounded_broadcast(borders), ["video_id", "frame_idx"])
+    spread = frames.withColumn("_run", run).withColumn("_own", F.lit(True)).unionByName(repeated.withColumn("_own", F.lit(False)))
     before = F.lag(value).over(Window.partitionBy("video_id", "_run").orderBy("frame_idx"))
-    return spread.withColumn(name, before).filter(F.col("_run") == run).drop("_run")
+    return spread.withColumn(name, before).filter("_own").drop("_run", "_own")
 
 
 def _differences(a: str, b: str) -> Column:
@@ -81,13 +90,15 @@ def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / F.size(values)
 
 
-def scene_cuts(frames: DataFrame, quality: DataFrame, threshold: float = 30.0, min_quality: float = 0.0, limit: int = 100) -> DataFrame:
-    """Frames that differ strongly from the one before, of sufficient quality; the first `limit` of each video."""
+def scene_cuts(frames: DataFrame, quality: DataFrame, threshold: float = 30.0, min_quality: float = 0.0, limit: int | None = None) -> DataFrame:
+    """Frames that differ strongly from the one before, of sufficient quality; with a `limit` the first ones of each video."""
     pairs = with_previous(frames, "pixels", "before").filter(F.col("before").isNotNull())
     changed = pairs.select("video_id", "frame_idx", "fps", _mean(_differences("pixels", "before")).alias("change")).filter(F.col("change") > threshold)
     good = changed.join(quality.filter(F.col("quality") >= min_quality), ["video_id", "frame_idx"])
-    first = Window.partitionBy("video_id").orderBy("frame_idx")
-    return good.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit).select(
+    if limit is not None:
+        first = Window.partitionBy("video_id").orderBy("frame_idx")
+        good = good.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit)
+    return good.select(
         "video_id", "frame_idx", F.try_divide("frame_idx", "fps").alias("timestamp"), "quality", "change")
 
 
@@ -210,9 +221,9 @@ def face_table(frames: DataFrame, faces: DataFrame, frame_skip: int = 1) -> Data
     return faces.filter("is_high_quality").join(kept, ["video_id", "frame_idx"])
 
 
-def batch_positions(rows: DataFrame, batch: str, order: str, block: int = 65_536) -> DataFrame:
-    """Position and share `file_index / total_files` of every row in its batch, by an integer order column."""
-    placed = positions(rows, [batch], [order], _div(F.col(order), F.lit(block)))
+def batch_positions(rows: DataFrame, batch: str, order: str) -> DataFrame:
+    """Position and share `file_index / total_files` of every row in its batch, by any order column."""
+    placed = positions(rows, [batch], [order])
     return placed.withColumnsRenamed({"position": "file_index", "group_size": "total_files"}).withColumn(
         "progress", F.col("file_index") / F.col("total_files"))
 

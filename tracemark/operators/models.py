@@ -30,7 +30,7 @@ def softmax_label(rows: DataFrame, genuine: Column, misleading: Column, text: Co
 def stratified_split(rows: DataFrame, key: str, label: str, share: float = 0.85, seed: int = 42) -> DataFrame:
     """`train` or `test` per row: the first `share` of each label in the order of a digest of key and seed."""
     drawn = rows.withColumn("_draw", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
-    placed = positions(drawn, [label], ["_draw"], F.substring("_draw", 1, 4))
+    placed = positions(drawn, [label], ["_draw"])
     cut = F.ceil(F.round(F.col("group_size") * share, 6))
     return placed.withColumn("split", F.when(F.col("position") <= cut, "train").otherwise("test")).drop("_draw", "position", "group_size")
 
@@ -93,12 +93,16 @@ def evaluate(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     return rated.withColumns({"f1": f1, "accuracy": accuracy}).select("class", "precision", "recall", "f1", "support", "accuracy")
 
 
-def token_weights(training: DataFrame, max_features: int = 20_000) -> DataFrame:
-    """Log-odds of the commonest words between misleading and genuine texts: a linear token model (word, weight)."""
+def token_weights(training: DataFrame, max_features: int | None = None) -> DataFrame:
+    """Log-odds of the words between misleading and genuine texts: a linear token model (word, weight).
+
+    All words count; `max_features` keeps the commonest ones only.
+    """
     seen = training.select("label", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("word"))
     counts = seen.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("fake"), F.count_if(F.col("label") == 0).alias("real"))
-    top = counts.orderBy(F.desc(F.col("fake") + F.col("real")), "word").limit(max_features)
-    return top.select("word", F.log((F.col("fake") + 1.0) / (F.col("real") + 1.0)).alias("weight"))
+    if max_features is not None:
+        counts = counts.orderBy(F.desc(F.col("fake") + F.col("real")), "word").limit(max_features)
+    return counts.select("word", F.log((F.col("fake") + 1.0) / (F.col("real") + 1.0)).alias("weight"))
 
 
 def attribute_tokens(docs: DataFrame, weights: DataFrame, samples: int = 300, top: int = 10, seed: int = 42) -> DataFrame:

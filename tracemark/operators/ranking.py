@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemark.session import materialise
 
-def positions(rows: DataFrame, group: list[str], order: list[str], block: Column) -> DataFrame:
+
+def positions(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Adds `position` (from 1) of every row in its group by `order`, and `group_size`.
 
-    `block` must rise with `order`. Rows are counted per block; the position is the count of the group's earlier
-    blocks plus the rank inside the own block. A group holding a third of all rows is ranked by as many tasks as
-    it has blocks, and only its block counts meet in one place.
+    Rows are ranged by the order columns into blocks of like size, whatever their values are, and counted per block;
+    the position is the count of the group's earlier blocks plus the rank inside the own block. A group holding a third of all
+    rows is ranked by as many tasks as there are blocks, and only its block counts meet in one place.
     """
-    blocked = rows.withColumn("_block", block)
+    blocked = materialise(rows.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()), "ranged")
     counts = blocked.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
     per_group = Window.partitionBy(*group)
     before = per_group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

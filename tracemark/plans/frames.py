@@ -28,7 +28,7 @@ _LONG = """lv AS (SELECT user_id AS video_id, CAST(row_number() OVER (PARTITION
 
 
 def _long(t):
-    placed = positions(t.read("events").select(F.col("user_id").alias("video_id"), "event_id"), ["video_id"], ["event_id"], F.floor(F.col("event_id") / 4096))
+    placed = positions(t.read("events").select(F.col("user_id").alias("video_id"), "event_id"), ["video_id"], ["event_id"])
     return placed.select("video_id", (F.col("position") - 1).alias("frame_idx"), F.col("group_size").alias("n_frames"))
 
 
@@ -76,7 +76,7 @@ def segment_sample(t):
            round(row_number() OVER (PARTITION BY job_id ORDER BY item_id) / count(*) OVER (PARTITION BY job_id), 6) AS progress
     FROM result_envelope""", ("result_envelope",))
 def batch_positions(t):
-    return _r(fr.batch_positions(t.result_envelope.select("item_id", "job_id"), "job_id", "item_id", block=512))
+    return _r(fr.batch_positions(t.result_envelope.select("item_id", "job_id"), "job_id", "item_id"))
 
 
 _LAG = """lg AS (SELECT video_id, frame_idx, fps, pixels, lag(pixels) OVER (PARTITION BY video_id ORDER BY frame_idx) AS before FROM frames),
@@ -215,9 +215,10 @@ def model_input(t):
 
 
 def _video_scores(t):
-    sampled = _positions(t).filter(fr.stride_sample(_idx(), _n(), 100)).select("video_id", "frame_idx").join(t.frames, ["video_id", "frame_idx"])
+    picked = _positions(t).filter(fr.stride_sample(_idx(), _n(), 100)).select("video_id", "frame_idx", fr.stride_slot(_idx(), _n(), 100).alias("slot"))
+    sampled = picked.join(t.frames, ["video_id", "frame_idx"])
     key = ["video_id", "frame_idx"]
-    first = lambda n: sampled.filter(_idx() < n)
+    first = lambda n: sampled.filter(F.col("slot") < n)
     texture = px.with_features(first(10), "texture", key).groupBy("video_id").agg(F.avg(px.spatial_score()).alias("spatial"), F.avg(px.texture_score()).alias("texture"))
     blocks = px.with_features(first(5), "blocks", key).groupBy("video_id").agg(F.avg(px.compression_score()).alias("compression"))
     counted = sampled.groupBy("video_id").agg(F.count("*").alias("frames_analyzed"))

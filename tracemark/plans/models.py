@@ -161,22 +161,28 @@ def upload_check(t):
     words = F.filter(F.split(F.lower("text"), tx.NON_WORD), lambda w: w != "")
     uploads = _stream(t, "documents").repartition(t.spark.sparkContext.defaultParallelism).select(
         F.col("doc_id").alias("file_id"), F.sha2("text", 256).alias("sha256"),
-        hashing.sketch_fingerprint(tx.shingles(words, (0, 1))).alias("phash"))
+        hashing.word_fingerprint(words, (0, 1)).alias("phash"))
     folder = _work(t, "registry")
     registry = UploadRegistry(t.spark, folder)
     watch_uploads(uploads, registry, f"{folder}/checkpoint").awaitTermination()
     return registry.verdicts()
 
 
-@query("R02_expiring_cache", "SELECT DISTINCT md5(event_type || '|' || user_id) AS cache_key FROM events")
+@query("R02_expiring_cache", """
+    WITH RECURSIVE
+    e AS (SELECT DISTINCT md5(event_type || '|' || user_id) AS cache_key, ts FROM events),
+    n AS (SELECT cache_key, ts, min(ts) OVER (PARTITION BY cache_key ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS FOLLOWING AND UNBOUNDED FOLLOWING) AS next_ts FROM e),
+    s AS (SELECT cache_key, min(ts) AS ts FROM e GROUP BY 1
+          UNION ALL SELECT s.cache_key, n.next_ts FROM s JOIN n ON s.cache_key = n.cache_key AND s.ts = n.ts WHERE n.next_ts IS NOT NULL)
+    SELECT cache_key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS stored_at FROM s""")
 def expiring_cache(t):
     from tracemark.functions import hashing
 
     keyed = _stream(t, "events").select(hashing.cache_key(F.col("event_type"), F.col("user_id")).alias("cache_key"), F.col("ts").cast("timestamp").alias("ts"))
     folder = _work(t, "cache")
-    stream = ttl.first_within(keyed).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+    stream = ttl.entries(keyed).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
     stream.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{folder}/rows").select("cache_key")
+    return t.spark.read.parquet(f"{folder}/rows").select("cache_key", F.date_format("stored_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("stored_at"))
 
 
 @query("R03_job_counters", "SELECT user_id AS job_id, count(*) AS processed, count(*) FILTER (event_type <> 'error') AS completed, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1")

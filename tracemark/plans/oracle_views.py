@@ -196,5 +196,5 @@ def with_views(body: str, names: tuple[str, ...]) -> str:
     body = body.strip()
     ctes = ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
     if not ctes:
-        return body if body.startswith("SELECT") else f"WITH {body}"
+        return body if body.startswith(("SELECT", "WITH")) else f"WITH {body}"
     return f"WITH {ctes} {body}" if body.startswith("SELECT") else f"WITH {ctes}, {body}"

@@ -64,7 +64,7 @@ class Tables:
         )
         offsets = {"dhash": (0, 1, 2), "ahash": (0,), "phash": (0, 1), "whash": (0, 2)}
         prints = tokens.select(
-            "file_id", *[hashing.sketch_fingerprint(text.shingles(F.col("w"), o)).alias(h) for h, o in offsets.items()]
+            "file_id", *[hashing.word_fingerprint(F.col("w"), o).alias(h) for h, o in offsets.items()]
         )
         return materialise(prints, "fingerprints")
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemark.functions import hashing
 from tracemark.operators.blocking import TILE_ROWS, near_pairs
-from tracemark.session import materialise
+from tracemark.session import folder_exists, materialise
 
 STORED = "file_id long, sha256 string, h long"
 
@@ -26,10 +25,9 @@ class UploadRegistry:
         self.spark, self.folder, self.max_distance = spark, folder, max_distance
 
     def _read(self, table: str, schema: str, before: int | None = None) -> DataFrame:
-        try:
-            rows = self.spark.read.schema(schema + ", epoch long").parquet(f"{self.folder}/{table}")
-        except AnalysisException:  # nothing written yet
+        if not folder_exists(self.spark, f"{self.folder}/{table}"):  # nothing written yet
             return self.spark.createDataFrame([], schema + ", epoch long")
+        rows = self.spark.read.schema(schema + ", epoch long").parquet(f"{self.folder}/{table}")
         return rows if before is None else rows.filter(F.col("epoch") < before)
 
     def verdicts(self) -> DataFrame:
