@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemark.functions import text as tx
-from tracemark.session import by_key, materialise
+from tracemark.session import bounded_broadcast, by_key, materialise
 
 TERM = r"[\p{L}\p{N}_]{2,}"
-MAX_BROADCAST_PHRASES = 1_000_000
 NO_MATCH = "No match found"
 # Capitalised words, neighbours joined into one name.
 NAME_SPAN = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*"
@@ -83,9 +82,14 @@ def check_facts(claims: DataFrame, facts: DataFrame) -> DataFrame:
     return keyed.join(known, "_claim", "left").withColumn("verdict", verdict).drop("_claim", "_verdict")
 
 
-def phrases(content: Column, n: int = 3) -> Column:
-    """Distinct n-word phrases of a text; a shorter text is one phrase."""
-    return F.array_distinct(tx.shingles(tx.words(content), tuple(range(n))))
+def phrase_hashes(content: Column, n: int = 3) -> Column:
+    """64-bit hashes of the distinct n-word phrases of a text; a shorter text is one phrase."""
+    def hashed(words: Column) -> Column:
+        window = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)])
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), window)).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
+
+    # the list of words is bound to a name, so that it is made once and not for every phrase
+    return F.when(content.isNotNull(), F.array_distinct(F.get(F.transform(F.array(tx.words(content)), hashed), F.lit(0))))
 
 
 def search_evidence(claims: DataFrame, corpus: DataFrame, k: int = 5, own_tier: int | None = 2) -> DataFrame:
@@ -98,13 +102,11 @@ def search_evidence(claims: DataFrame, corpus: DataFrame, k: int = 5, own_tier:
     claim if it is among the first k (k+1 to allow for the claim's own item) of the phrase that ranks it, because
     the items before it in that phrase rank before it as well. So each phrase keeps its count and k+1 items.
     """
-    asked = claims.select("doc_id", "claim_no", F.explode(phrases(F.col("claim"))).alias("phrase"))
-    held = corpus.select("tier", "item_id", F.explode(phrases(F.col("body"))).alias("phrase"))
+    asked = claims.select("doc_id", "claim_no", F.explode(phrase_hashes(F.col("claim"))).alias("phrase"))
     wanted = materialise(asked.select("phrase").distinct(), "phrases")
-    if wanted.limit(MAX_BROADCAST_PHRASES + 1).count() <= MAX_BROADCAST_PHRASES:
-        # Beyond this size the corpus is indexed whole: counting and cutting both shrink a common phrase
-        # before its rows are shuffled, which a shuffled filter on the phrase would not.
-        held = materialise(held.join(F.broadcast(wanted), "phrase", "left_semi"), "postings")
+    # The corpus is read once: what is kept of it are ids under the hashes of wanted phrases.
+    held = corpus.select("tier", "item_id", F.explode(phrase_hashes(F.col("body"))).alias("phrase"))
+    held = materialise(held.join(bounded_broadcast(wanted), "phrase", "left_semi"), "postings")
     df = held.groupBy("tier", "phrase").agg(F.count("*").alias("df"))
     first = Window.partitionBy("tier", "phrase").orderBy("item_id")
     heads = held.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1)
