@@ -179,7 +179,8 @@ def near_counts(queries: DataFrame, rows: DataFrame, radius: int = RADIUS) -> Da
         keyed = F.array(*(F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *(F.col(f"b{i}") for i in c)).alias("key")) for t, c in enumerate(choices)))
         return cut.withColumn("at", F.explode(keyed)).select("hi", "lo", *more, *(f"b{i}" for i in range(n)), "at.t", "at.key")
 
-    a, b = tables(queries.select("hi", "lo").distinct()).alias("q"), tables(stored, "n").alias("r")
+    # the tables multiply the rows, which a broadcast chosen by the size before would not see
+    a, b = tables(queries.select("hi", "lo").distinct()).hint("merge").alias("q"), tables(stored, "n").alias("r")
     equal = [F.col(f"q.b{i}") == F.col(f"r.b{i}") for i in range(n)]
     # the first table that finds the pair: all its blocks are equal and no other block before its last one
     first = F.coalesce(*(F.when(F.col("q.t") == t, _all(equal[i] if i in c else ~equal[i] for i in range(max(c) + 1))) for t, c in enumerate(choices)))
