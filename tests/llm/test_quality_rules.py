@@ -59,6 +59,8 @@ def test_estimation_equals_brute_force(spark):
         for k in rows:
             good, bad = math.log(want["prior"]), math.log(1 - want["prior"])
             for r, v in zip(rules, k):
+                if v == NONE:
+                    continue
                 good, bad = good + math.log(want["rules"][r]["good"][v]), bad + math.log(want["rules"][r]["bad"][v])
             q[k] = 1 / (1 + math.exp(bad - good))
         n, up = sum(rows.values()), sum(c * q[k] for k, c in rows.items())

@@ -87,14 +87,15 @@ def _vote(bad: Column, good: Column | None = None) -> Column:
 
 
 def votes(s: Column) -> dict[str, Column]:
-    """Name of each rule and its vote. Rules that only know faults abstain where they find none."""
+    """Name of each rule and its vote. Rules that only know faults abstain where they find none; what
+    may happen once in a short clean text has to come back to count."""
     return {
         "symbols": _vote(s["n_symbols"] > 0.04 * s["word_chars"]),
         "capitals": _vote(s["n_upper"] > 0.4 * s["n_letters"]),
-        "shouting": _vote(s["n_exclaims"] > 0.15 * s["n_words"]),
-        "doubled_words": _vote(s["n_doubled"] > 0.05 * s["n_words"]),
-        "repeated_windows": _vote(s["n_repeat_words"] > 0.1 * s["n_words"]),
-        "repeated_lines": _vote(s["n_dup_lines"] > 0.3 * s["n_lines"]),
+        "shouting": _vote((s["n_exclaims"] >= 3) & (s["n_exclaims"] > 0.15 * s["n_words"])),
+        "doubled_words": _vote((s["n_doubled"] >= 3) & (s["n_doubled"] > 0.05 * s["n_words"])),
+        "repeated_windows": _vote(s["n_repeat_words"] > 0.15 * s["n_words"]),
+        "repeated_lines": _vote((s["n_dup_lines"] >= 2) & (s["n_dup_lines"] > 0.3 * s["n_lines"])),
         "plain_words": _vote(s["n_plain"] < 0.75 * s["n_words"], s["n_plain"] >= 0.93 * s["n_words"]),
         "letters": _vote(s["n_letters"] < 0.75 * s["word_chars"], s["n_letters"] >= 0.9 * s["word_chars"]),
         "ended_lines": _vote(s["n_ended"] < 0.1 * s["n_lines"], s["n_ended"] >= 0.6 * s["n_lines"]),
@@ -105,12 +106,12 @@ RULES = ["symbols", "capitals", "shouting", "doubled_words", "repeated_windows",
 
 
 def posterior(model: dict, vote: dict[str, Column]) -> Column:
-    """Probability of a good document, given the votes."""
+    """Probability of a good document, given the votes. A rule that abstains has no say."""
     logit = F.lit(math.log(model["prior"]) - math.log1p(-model["prior"]))
     for rule, column in vote.items():
         p = model["rules"][rule]
-        weight = {v: math.log(p["good"][v]) - math.log(p["bad"][v]) for v in (BAD, NONE, GOOD)}
-        logit = logit + F.when(column == BAD, weight[BAD]).when(column == GOOD, weight[GOOD]).otherwise(weight[NONE])
+        weight = {v: math.log(p["good"][v]) - math.log(p["bad"][v]) for v in (BAD, GOOD)}
+        logit = logit + F.when(column == BAD, weight[BAD]).when(column == GOOD, weight[GOOD]).otherwise(0.0)
     return 1 / (1 + F.exp(-logit))
 
 
