@@ -192,6 +192,8 @@ FEATURES: dict[str, tuple[Kernel, str]] = {
     "blocks": (block_artifacts, "dct_variance double, blocking double"),
     "model_input": (model_input, "model_input array<float>"),
 }
+#: Rows of results that a task holds at once; a model input takes 600 KB.
+OUTPUT_ROWS = {name: 32 if name == "model_input" else 2048 for name in FEATURES}
 
 
 def with_features(pictures: DataFrame, feature: str, keys: list[str]) -> DataFrame:
@@ -204,8 +206,10 @@ def with_features(pictures: DataFrame, feature: str, keys: list[str]) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = [kernel(_picture(row)) for row in batch.itertuples(index=False)]
-            yield pd.concat([batch[keys].reset_index(drop=True), pd.DataFrame(values, columns=names)], axis=1)
+            for at in range(0, len(batch), OUTPUT_ROWS[feature]):
+                part = batch.iloc[at:at + OUTPUT_ROWS[feature]]
+                values = [kernel(_picture(row)) for row in part.itertuples(index=False)]
+                yield pd.concat([part[keys].reset_index(drop=True), pd.DataFrame(values, columns=names)], axis=1)
 
     return pictures.filter(F.col("height") > 0).select(*keys, *inputs).mapInPandas(run, schema)
 

@@ -101,7 +101,8 @@ class Tables:
 
     @cached_property
     def videos(self) -> DataFrame:
-        return self.frames.groupBy("video_id").agg(F.count("*").alias("n_frames"), F.max("fps").alias("fps"))
+        """One row per video, stored: joined back to its frames, a long video can then be split between tasks."""
+        return materialise(self.frames.groupBy("video_id").agg(F.count("*").alias("n_frames"), F.max("fps").alias("fps")), "videos")
 
     @cached_property
     def faces(self) -> DataFrame:
