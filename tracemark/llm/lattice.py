@@ -37,7 +37,9 @@ UNIT_CHARS = 32
 SPACE = "▁"
 _CUT = "\x00"
 UNKNOWN_PENALTY = 10.0
+#: Units and pairs that a worker remembers.
 KNOWN_UNITS = 300_000
+KNOWN_PAIRS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -95,26 +97,75 @@ class Lattice:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.merges: dict[str, list[tuple[float, str, str]]] = {}
+
+    def steps(self, piece: str) -> list[tuple[float, str, str]]:
+        """The merges that make a piece, in their order: score, first and last part afterwards."""
+        found = self.merges.get(piece)
+        if found is None:
+            score, parts, found = self.pieces.score, list(piece), []
+            while len(parts) > 1:
+                joined = [score.get(x + y, -np.inf) for x, y in zip(parts, parts[1:])]
+                best = max(joined)
+                at = joined.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                found.append((best, parts[0], parts[-1]))
+            self.merges[piece] = found
+        return found
+
+    def _fits(self, left: str, right: str) -> bool:
+        """Whether merging both texts joined gives them back. Until a merge crosses the border, the merges of either side come in their own
+        order, the better one first; the crossing one wins if it is better than the next of both, or equal to that on the right."""
+        score, a, b = self.pieces.score, self.steps(left), self.steps(right)
+        i, j, x, y = 0, 0, left[-1], right[0]
+        crossing = score.get(x + y)
+        while True:
+            next_a = a[i][0] if i < len(a) else None
+            next_b = b[j][0] if j < len(b) else None
+            if crossing is not None and (next_a is None or crossing > next_a) and (next_b is None or crossing >= next_b):
+                return False
+            if next_a is None and next_b is None:
+                return True
+            if next_b is None or (next_a is not None and next_a >= next_b):
+                last = a[i][2]
+                i += 1
+                if last != x:
+                    x = last
+                    crossing = score.get(x + y)
+            else:
+                first = b[j][1]
+                j += 1
+                if first != y:
+                    y = first
+                    crossing = score.get(x + y)
 
     def fits(self, left: str, right: str) -> bool:
         key = (left, right)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > KNOWN_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[key] = merged(left + right, self.pieces.score) == [left, right]
+            found = self.pairs[key] = self._fits(left, right)
         return found
 
     def path(self, unit: str) -> list[str]:
         n, longest, score = len(unit), self.pieces.longest, self.pieces.score
         if self.pieces.kind == "bpe":
             last: list[str] = [""] * (n + 1)
+            pairs = self.pairs
             for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
+                for start in range(end - longest if end > longest else 0, end):
                     piece = unit[start:end]
-                    if (piece in score or end - start == 1) and (not start or self.fits(last[start], piece)):
-                        last[end] = piece
-                        break
+                    if piece in score or end - start == 1:
+                        if not start:
+                            last[end] = piece
+                            break
+                        fits = pairs.get((last[start], piece))
+                        if fits is None:
+                            fits = self.fits(last[start], piece)
+                        if fits:
+                            last[end] = piece
+                            break
         else:
             low = min(score.values(), default=0.0) - UNKNOWN_PENALTY
             total, last = [0.0] + [-np.inf] * n, [""] * (n + 1)
@@ -220,7 +271,7 @@ def fitting_pairs(lattice: DataFrame, pieces: Pieces) -> DataFrame:
     def run(batches):
         judge = Lattice(pieces)
         for batch in batches:
-            keep = [merged(x + y, judge.pieces.score) == [x, y] for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
+            keep = [judge.fits(x, y) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return a.join(b, ["unit", "at"]).select("left", "right").distinct().mapInArrow(run, "left string, right string")
@@ -275,6 +326,15 @@ def dictionary(docs: DataFrame, model: str, kind: str = "bpe", most: int = DICTI
     return materialise(best_paths(edges(docs.sparkSession, materialise(frequent(unit_counts(docs), most), "frequent"), pieces), pieces), "unit-paths")
 
 
+_MEMORY: dict[tuple[str, str], tuple[Lattice, dict[str, bytes]]] = {}
+
+
+def _memory(model: str, kind: str, pieces: Pieces) -> tuple[Lattice, dict[str, bytes]]:
+    if (model, kind) not in _MEMORY:
+        _MEMORY[model, kind] = Lattice(pieces), {}
+    return _MEMORY[model, kind]
+
+
 def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe", most: int = DICTIONARY, digest: bool = False) -> DataFrame:
     """`doc_id` and `ids` (little-endian unsigned 32-bit integers) per document; with `digest` instead of `ids` their number `n_pieces`, their `ids_crc32`, and
     `restored`, whether decoding them gives the text."""
@@ -283,7 +343,7 @@ def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe", most: i
     held = docs.sparkSession.sparkContext.broadcast(dict(dictionary(docs, model, kind, most).toArrow().to_pandas().itertuples(index=False, name=None)))  # at most `most` units
 
     def run(batches):
-        local, known = Lattice(pieces), {}
+        local, known = _memory(model, kind, pieces)  # kept from task to task
         ready = {u: np.array([i for p in path for i in piece_ids(pieces, p)], np.uint32).tobytes() for u, path in held.value.items()}
         for part in slices(batches, "text", 4 << 20):
             values, bounds = units(part.column("text"))
