@@ -118,8 +118,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "corpus": ((), """
         SELECT 1 AS tier, page_id AS item_id,
                regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS body,
-               url FROM pages
-        UNION ALL SELECT 2, doc_id, text, 'doc:' || doc_id FROM documents"""),
+               url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages
+        UNION ALL SELECT 2, doc_id, text, 'doc:' || doc_id, regexp_extract(text, '^([^\n]*)', 1) FROM documents"""),
     "model_scores": ((), """
         SELECT d.doc_id, CASE WHEN toxic = 1 OR n_chars % 5 = 0 THEN 'Misleading' ELSE 'Genuine' END AS bert_label,
                0.5::DOUBLE + (n_chars % 50) / 100.0::DOUBLE AS bert_conf,
@@ -162,9 +162,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT doc_id, claim_no, claim, list_filter(regexp_extract_all(claim, '{NAME_SQL}'),
                lambda e: list_contains(g, e)) AS ents FROM claims, (SELECT list(name) AS g FROM gazetteer)"""),
     "item_entities": (("corpus", "evidence", "gazetteer"), f"""
-        SELECT tier, item_id, list_filter(regexp_extract_all(body, '{NAME_SQL}'),
+        SELECT tier, item_id, list_filter(regexp_extract_all(content, '{NAME_SQL}'),
                lambda e: list_contains(g, e)) AS ents
-        FROM corpus SEMI JOIN (SELECT DISTINCT tier, item_id FROM evidence) e USING (tier, item_id), (SELECT list(name) AS g FROM gazetteer)"""),
+        FROM (SELECT tier, item_id, body AS content FROM corpus UNION ALL SELECT tier, item_id, title FROM corpus)
+        SEMI JOIN (SELECT DISTINCT tier, item_id FROM evidence) e USING (tier, item_id), (SELECT list(name) AS g FROM gazetteer)"""),
     "entity_pairs": (("claim_entities", "item_entities", "evidence"), """
         SELECT doc_id, claim_no, ce, ie, list_filter(ce, lambda e: list_contains(ie, e)) AS common
         FROM (SELECT c.doc_id, c.claim_no, c.ents AS ce, coalesce(i.ents, []) AS ie FROM claim_entities c

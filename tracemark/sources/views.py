@@ -233,14 +233,15 @@ class Tables:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        """Searchable passages: web pages with their tags removed (tier 1), then documents (tier 2)."""
+        """Searchable passages with their titles: web pages with their tags removed (tier 1), then documents (tier 2)."""
         page_text = F.regexp_replace(F.regexp_replace("html", "<(script|style)[^>]*>[^<]*</(script|style)>", " "), "<[^>]*>", " ")
         pages = spread(self.read("pages")).select(
-            F.lit(1).alias("tier"), F.col("page_id").alias("item_id"), page_text.alias("body"), F.col("url").alias("url")
+            F.lit(1).alias("tier"), F.col("page_id").alias("item_id"), page_text.alias("body"), F.col("url").alias("url"),
+            F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         )
         docs = spread(self.read("documents")).select(
             F.lit(2).alias("tier"), F.col("doc_id").alias("item_id"), F.col("text").alias("body"),
-            F.concat(F.lit("doc:"), "doc_id").alias("url"),
+            F.concat(F.lit("doc:"), "doc_id").alias("url"), F.regexp_extract("text", "^([^\n]*)", 1).alias("title"),
         )
         return pages.unionByName(docs)
 
@@ -280,7 +281,7 @@ class Tables:
 
     @cached_property
     def entity_checks(self) -> DataFrame:
-        """Entity-order check of every claim against the text of its evidence."""
+        """Entity-order check of every claim against the texts and the titles of its evidence."""
         key = ["doc_id", "claim_no"]
         named = claim_ops.entity_sequences(self.claims, key, "claim", self.gazetteer)
         snippets = self.evidence.join(self.evidence_entities, ["tier", "item_id"]).select(*key, F.col("entities").alias("snippet_entities"))
@@ -288,7 +289,8 @@ class Tables:
 
     @cached_property
     def evidence_entities(self) -> DataFrame:
-        """Names in every corpus item that serves as evidence."""
+        """Names in the text and in the title of every corpus item that serves as evidence, a row each."""
         items = self.corpus.join(self.evidence.select("tier", "item_id").distinct(), ["tier", "item_id"], "left_semi")
-        named = claim_ops.entity_sequences(items.select("tier", "item_id", "body"), ["tier", "item_id"], "body", self.gazetteer)
+        parts = items.select("tier", "item_id", F.posexplode(F.array("body", "title")).alias("part", "content"))
+        named = claim_ops.entity_sequences(parts, ["tier", "item_id", "part"], "content", self.gazetteer)
         return materialise(named.select("tier", "item_id", "entities"), "evidence-entities")
