@@ -74,6 +74,13 @@ def test_edges(spark, edges, nothing):
     assert near_dups.keep_first(nothing).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "alone in the world here today"
+    rows = [(1, a, None), (5, a, None), (5, b, None), (6, b, None), (7, c, None), (7, c, None), (None, a, None), (8, "", None), (8, None, None)]
+    kept = near_dups.keep_first(make(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) in ([*sorted([(1, a), (5, b), (7, c), (None, a), (8, x)], key=str)] for x in ("", None))
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     for n in (100, 1000, 20000):

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemark.llm.common import LOWER, mix, slices, span_hashes, texts, utf8, words
@@ -220,7 +220,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
     """Per document `doc_id`, `n_shingles`, `component_id` (smallest id reachable over links), `kept` (it is that document) and
-    `n_copies`, the number of documents with the same set."""
+    `n_copies`, the number of documents with the same set, whose name is `cls` (null without words)."""
     rows = materialise(profiles(docs, shingle), "profiles")
     classes = materialise(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "classes")
     keys = rows.where("cls is not null").select("cls", F.posexplode("bands").alias("band", "key"))
@@ -284,16 +284,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE)
         of_class = joined.join(materialise(least, "least"), "label").select("cls", "component_id", "n_copies")
     out = rows.select("doc_id", "n_shingles", "cls").join(materialise(of_class, "of-class"), "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "cls")
+
+
+def class_of(text: Column, shingle: int = SHINGLE) -> Column:
+    """The name of each text's class, null without words."""
+
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(iter([pa.RecordBatch.from_arrays([column.fill_null("")], ["text"])]), "text"):
+            sets = list(shingle_sets(part, shingle))
+            out.append(pa.array(set_digest(sets).view(np.int64), mask=np.array([not len(s) for s in sets])))
+        return pa.concat_arrays(out) if out else pa.array([], pa.int64())
+
+    return F.arrow_udf(run, "long")(text)
 
 
 def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of `docs`, all columns, of one document of each group; a row that repeats a kept id stays once."""
+    """The rows of `docs`, all columns, of one document of each group. Rows without an id stay. Of rows that repeat both an id and a class one stays."""
     found = materialise(near_duplicates(docs, percent), "near-duplicates")
     gone = materialise(found.where("not kept").select("doc_id").distinct(), "gone")
+    again = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     rest = docs.join(bounded_broadcast(gone), "doc_id", "left_anti")
-    again = materialise(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if again.isEmpty():
         return rest
-    once = rest.join(F.broadcast(again) if again.count() <= 100_000 else again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(bounded_broadcast(again), "doc_id", "left_anti").unionByName(once)
+    name = "_class"
+    while name in docs.columns:
+        name += "_"
+    kept = found.where("kept").join(bounded_broadcast(again), "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")).distinct()
+    kept = materialise(kept, "kept-repeated")
+    rows = docs.join(bounded_broadcast(again), "doc_id", "left_semi").withColumn(name, class_of(F.col("text")))
+    once = rows.join(kept, (rows["doc_id"] == kept["_id"]) & rows[name].eqNullSafe(kept["_cls"]), "left_semi").dropDuplicates(["doc_id", name]).drop(name)
+    return rest.join(bounded_broadcast(again), "doc_id", "left_anti").unionByName(once.select(*docs.columns)).select(*docs.columns)
