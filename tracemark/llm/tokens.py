@@ -23,12 +23,13 @@ from tracemark.llm.common import slices, texts, utf8
 
 #: Larger slices repeat more chunks.
 TOKEN_SLICE = 4 << 20
-KNOWN_CHUNKS = 400_000
+KNOWN_CHUNKS = 250_000
 _RUNS = r"[\s\v\p{Z}\x{1c}-\x{1f}\x{85}]{3}|[\s\v\p{Z}\x{1c}-\x{1f}\x{85}]{2}\z"
 
 
-#: Words joined to one text for the library.
+#: Words joined to one text for the library, and chunks that go to it at once.
 JOINED = 2000
+NEW_CHUNKS = 20_000
 # Kinds of bytes: 0 others, 1 letters, 2 digits, 3 punctuation, 4 spaces, 5 line breaks.
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = _KIND[97:123] = 1
@@ -63,6 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
@@ -83,22 +85,25 @@ class Encoder:
             raise ValueError("the tokenizer cuts words otherwise than by their letters")
         return out
 
-    def _learn(self, names: list[str]) -> None:
-        if len(self.known) > KNOWN_CHUNKS:
-            self.known.clear()
-        new = [c for c in names if c not in self.known]
+    def _learn(self, known: dict, names: list[str], keep) -> None:
+        """Put what `keep` makes of the ids of all names into `known`, a bounded number of new names at a time."""
+        if len(known) > KNOWN_CHUNKS:
+            known.clear()
+        new = [c for c in names if c not in known]
         # letters up to the Latin blocks' end are letters for every Unicode version
         words = [c for c in new if c[0] == " " and c[1:].isalpha() and (c.isascii() or max(c) < "\u0250")]
-        self.known.update(zip(words, self._encode_words(words)))
-        rest = [c for c in new if c not in self.known]
-        self.known.update(zip(rest, self._encode(rest)))
-
-    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows as unsigned 32-bit integers, and the rows' offsets in them."""
+        for at in range(0, len(words), NEW_CHUNKS):
+            part = words[at : at + NEW_CHUNKS]
+            known.update(zip(part, map(keep, self._encode_words(part))))
+        rest = [c for c in new if c not in known]
+        for at in range(0, len(rest), NEW_CHUNKS):
+            part = rest[at : at + NEW_CHUNKS]
+            known.update(zip(part, map(keep, self._encode(part))))
+
+    def _chunks(self, column: pa.Array, known: dict, keep) -> tuple[list, np.ndarray, np.ndarray]:
+        """What `keep` makes of the ids of each distinct chunk, the chunks' numbers among these, and the rows' offsets in the chunks."""
         data, offsets = utf8(column)
         n = len(data)
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
         kind = _KIND[data]
         cut = np.zeros(n + 1, bool)
         cut[1:n] = _CUT[kind[:-1], kind[1:]] | ((kind[1:] == 4) & ~_WHITE[data[:-1]])
@@ -111,15 +116,20 @@ class Encoder:
         bounds = np.searchsorted(edges, offsets)
         chunks = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
         names = chunks.dictionary.to_pylist()
-        codes = chunks.indices.to_numpy().astype(np.int64)
-        if len(direct):
-            whole = set(chunks.dictionary.take(pa.array(np.unique(codes[bounds[direct][np.diff(offsets)[direct] > 0]]))).to_pylist())
-            self._learn([c for c in names if c not in whole])
-            ready = dict(zip(whole, self._encode([*whole])))
-            coded = [ready.get(c) or self.known[c] for c in names]
-        else:
-            self._learn(names)
-            coded = [self.known[c] for c in names]
+        codes = chunks.indices.to_numpy()
+        if not len(direct):
+            self._learn(known, names, keep)
+            return [known[c] for c in names], codes, bounds
+        whole = set(chunks.dictionary.take(pa.array(np.unique(codes[bounds[direct][np.diff(offsets)[direct] > 0]]))).to_pylist())
+        self._learn(known, [c for c in names if c not in whole], keep)
+        ready = dict(zip(whole, map(keep, self._encode([*whole]))))
+        return [ready[c] if c in ready else known[c] for c in names], codes, bounds
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows as unsigned 32-bit integers, and the rows' offsets in them."""
+        if not len(utf8(column)[0]):
+            return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
+        coded, codes, bounds = self._chunks(column, self.known, bytes)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         flat = np.frombuffer(b"".join(coded), np.uint32)
         starts = np.cumsum(sizes) - sizes
@@ -128,6 +138,13 @@ class Encoder:
         place = np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(ends[-1])
         return flat[place], np.concatenate([[0], ends])[bounds]
 
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Number of ids of each row, without keeping any."""
+        if not len(utf8(column)[0]):
+            return np.zeros(len(column), np.int64)
+        sizes, codes, bounds = self._chunks(column, self.sizes, lambda ids: len(ids) // 4)
+        return np.diff(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64)[codes])])[bounds])
+
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for part in slices(batches, "text", TOKEN_SLICE):
@@ -139,7 +156,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()
 
     def run(batches):
-        for part, _, bounds in encoded(batches, path):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds) + 1)], ["doc_id", "n_tokens"])
+        for part in slices(batches, "text", TOKEN_SLICE // 2):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encoder(path).counts(part.column("text")) + 1)], ["doc_id", "n_tokens"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long").select("doc_id", F.col("n_tokens"))
