@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Text is brought into the model's form (spaces become `▁`, one is put in front) and cut into units at places that no piece crosses: before a `▁` that follows another
-character, and around line breaks. Units are counted over the whole corpus; those in the dictionary, the at most `DICTIONARY` most frequent ones, are encoded as
+Text is brought into the model's form (spaces become `▁`, one is put in front) and cut into units at places that no piece crosses, which two neighbouring
+characters tell: if no piece has them side by side, none can lie across. Units are counted over the whole corpus; those in the dictionary, the at most `DICTIONARY` most frequent ones, are encoded as
 relations: substrings no longer than the longest piece are exploded, joined to the piece table, grouped by unit, and folded by `aggregate` from left to
 right into the best path. All other units are encoded by the same recurrence where they occur. Neither way is an approximation, so the size of the dictionary
 has no effect on the ids.
@@ -28,17 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemark.llm.common import slices, texts
+from tracemark.llm.common import slices, texts, utf8
 from tracemark.session import materialise
 
-DICTIONARY = 100_000
+DICTIONARY = 200_000
 #: Longer units are never in the dictionary.
 UNIT_CHARS = 32
 SPACE = "▁"
-_CUT = "\x00"
 UNKNOWN_PENALTY = 10.0
 #: Units and pairs that a worker remembers.
-KNOWN_UNITS = 300_000
+KNOWN_UNITS = 400_000
 KNOWN_PAIRS = 1_000_000
 
 
@@ -52,6 +51,7 @@ class Pieces:
     text: tuple[str, ...]
     kind: str
     longest: int
+    cuts: bytes  # 256 x 256 flags: whether a text may be cut between two bytes of its UTF-8 form, spaces standing for `▁`
 
 
 def default_model() -> str:
@@ -71,9 +71,27 @@ def load_pieces(path: str, kind: str = "bpe") -> Pieces:
 
 
 def make_pieces(score: dict[str, float], ids: dict[str, int], bytes_: list[int], names: list[str], kind: str) -> Pieces:
+    cuts = cut_table(score)
     if kind == "bpe":  # a piece that merging its own text doesn't give is never part of an encoding
         score = {p: s for p, s in score.items() if merged(p, score) == [p]}
-    return Pieces(score, ids, tuple(bytes_), tuple(names), kind, max(map(len, score), default=1))
+    return Pieces(score, ids, tuple(bytes_), tuple(names), kind, max(map(len, score), default=1), cuts)
+
+
+def cut_table(pieces) -> bytes:
+    """Between two ASCII characters a cut is free if no piece has the pair. Next to another character it is if no piece has any such pair."""
+    table = np.zeros((256, 256), bool)
+    table[:128, :128] = table[:128, 192:] = table[128:192, :128] = True
+    for piece in pieces:
+        for a, b in zip(piece, piece[1:]):
+            sides = []
+            for c, wide in ((a, slice(128, 192)), (b, slice(192, 256))):
+                # a sign of the text that looks like the space's is a wide character, the space itself is not
+                sides.append([*([ord(c)] if ord(c) < 128 else [wide]), *([32] if c == SPACE else [])])
+            for x in sides[0]:
+                for y in sides[1]:
+                    table[x, y] = False
+    table[128:192, 192:] = False
+    return table.tobytes()
 
 
 def merged(text: str, score: dict[str, float]) -> list[str]:
@@ -98,6 +116,8 @@ class Lattice:
         self.pieces = pieces
         self.pairs: dict[tuple[str, str], bool] = {}
         self.merges: dict[str, list[tuple[float, str, str]]] = {}
+        self.heads = {p[:i] for p in pieces.score for i in range(1, len(p) + 1)}
+        self.spelling = spelling(pieces)
 
     def steps(self, piece: str) -> list[tuple[float, str, str]]:
         """The merges that make a piece, in their order: score, first and last part afterwards."""
@@ -152,20 +172,28 @@ class Lattice:
         n, longest, score = len(unit), self.pieces.longest, self.pieces.score
         if self.pieces.kind == "bpe":
             last: list[str] = [""] * (n + 1)
-            pairs = self.pairs
-            for end in range(1, n + 1):
-                for start in range(end - longest if end > longest else 0, end):
-                    piece = unit[start:end]
-                    if piece in score or end - start == 1:
-                        if not start:
-                            last[end] = piece
-                            break
-                        fits = pairs.get((last[start], piece))
-                        if fits is None:
-                            fits = self.fits(last[start], piece)
-                        if fits:
-                            last[end] = piece
+            pairs, heads = self.pairs, self.heads
+            ends: list[list[tuple[int, str]]] = [[] for _ in range(n + 1)]  # edges by their end, the longest first
+            for start in range(n):
+                ends[start + 1].append((start, unit[start]))
+                if unit[start] in heads:
+                    for end in range(start + 2, n + 1):
+                        piece = unit[start:end]
+                        if piece not in heads:
                             break
+                        if piece in score:
+                            ends[end].append((start, piece))
+            for end in range(1, n + 1):
+                for start, piece in ends[end]:
+                    if not start:
+                        last[end] = piece
+                        break
+                    fits = pairs.get((last[start], piece))
+                    if fits is None:
+                        fits = self.fits(last[start], piece)
+                    if fits:
+                        last[end] = piece
+                        break
         else:
             low = min(score.values(), default=0.0) - UNKNOWN_PENALTY
             total, last = [0.0] + [-np.inf] * n, [""] * (n + 1)
@@ -191,46 +219,27 @@ def piece_ids(pieces: Pieces, piece: str) -> list[int]:
     return [pieces.bytes_[b] for b in piece.encode()] if pieces.bytes_ else [0]
 
 
-def units(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def units(column: pa.Array, pieces: Pieces) -> tuple[pa.Array, np.ndarray]:
     """The units of all rows and the rows' offsets in them."""
-    full = pc.not_equal(column, "")
-    spaced = pc.replace_substring(column, " ", SPACE)
-    spaced = pc.if_else(full, pc.binary_join_element_wise(SPACE, spaced, ""), "")
-    odd = pc.match_substring(column, _CUT)
-    cut = pc.replace_substring_regex(pc.if_else(odd, "", spaced), f"([^{SPACE}\n]){SPACE}", f"\\1{_CUT}{SPACE}")
-    cut = pc.replace_substring(cut, "\n", f"{_CUT}\n{_CUT}")
-    parts = pc.split_pattern(cut, _CUT)
-    values, bounds = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
-    bounds = bounds - bounds[0]
-    keep = pc.not_equal(values, "")
-    kept = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
-    values, bounds = values.filter(keep), kept[bounds]
-    if pc.any(odd).as_py():  # texts with the mark itself are cut by hand
-        rows = [values.slice(a, b - a).to_pylist() for a, b in zip(bounds[:-1], bounds[1:])]
-        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-            rows[i] = _cut_by_hand(spaced[i].as_py())
-        return pa.array([u for r in rows for u in r], pa.string()), np.cumsum([0, *map(len, rows)])
-    return values, bounds
-
-
-def _cut_by_hand(text: str) -> list[str]:
-    out = [""]
-    for c in text:
-        if c == "\n":
-            out += [c, ""]
-        elif c == SPACE and out[-1][-1:] not in ("", SPACE):
-            out.append(c)
-        else:
-            out[-1] += c
-    return [u for u in out if u]
-
-
-def unit_counts(docs: DataFrame) -> DataFrame:
+    data, offsets = utf8(column)
+    full = np.diff(offsets) > 0
+    data = np.insert(data, offsets[:-1][full], 32)
+    offsets = offsets + np.concatenate([[0], np.cumsum(full)])
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data):
+        cut[1:-1] = np.frombuffer(pieces.cuts, bool).reshape(256, 256)[data[:-1], data[1:]]
+    cut[offsets] = True
+    edges = np.flatnonzero(cut)
+    values = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data))
+    return pc.replace_substring(values, " ", SPACE), np.searchsorted(edges, offsets)
+
+
+def unit_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """`unit` and `n` over the whole corpus, of units short enough for the dictionary; each slice adds its repeats up first."""
 
     def run(batches):
         for part in slices(batches, "text", 4 << 20):
-            counts = pc.value_counts(units(part.column("text"))[0])
+            counts = pc.value_counts(units(part.column("text"), pieces)[0])
             names, n = counts.field(0), counts.field(1)
             short = pc.less_equal(pc.utf8_length(names), UNIT_CHARS)
             yield pa.RecordBatch.from_arrays([names.filter(short), n.filter(short)], ["unit", "n"])
@@ -323,7 +332,7 @@ def best_paths(lattice: DataFrame, pieces: Pieces) -> DataFrame:
 
 def dictionary(docs: DataFrame, model: str, kind: str = "bpe", most: int = DICTIONARY) -> DataFrame:
     pieces = load_pieces(model, kind)
-    return materialise(best_paths(edges(docs.sparkSession, materialise(frequent(unit_counts(docs), most), "frequent"), pieces), pieces), "unit-paths")
+    return materialise(best_paths(edges(docs.sparkSession, materialise(frequent(unit_counts(docs, pieces), most), "frequent"), pieces), pieces), "unit-paths")
 
 
 _MEMORY: dict[tuple[str, str], tuple[Lattice, dict[str, bytes]]] = {}
@@ -346,7 +355,7 @@ def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe", most: i
         local, known = _memory(model, kind, pieces)  # kept from task to task
         ready = {u: np.array([i for p in path for i in piece_ids(pieces, p)], np.uint32).tobytes() for u, path in held.value.items()}
         for part in slices(batches, "text", 4 << 20):
-            values, bounds = units(part.column("text"))
+            values, bounds = units(part.column("text"), pieces)
             coded = values.dictionary_encode()
             if len(known) > KNOWN_UNITS:
                 known.clear()
@@ -366,7 +375,7 @@ def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe", most: i
             at = np.concatenate([[0], ends])[bounds]
             rows = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             if digest:
-                same = [decode(r, pieces) == t.replace(SPACE, " ") for r, t in zip(rows, part.column("text").to_pylist())]
+                same = [decode(r, pieces, local.spelling) == t.replace(SPACE, " ") for r, t in zip(rows, part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array([zlib.crc32(r.tobytes()) for r in rows], pa.int64()), pa.array(same, pa.bool_())],
                                                  ["doc_id", "n_pieces", "ids_crc32", "restored"])
             else:
@@ -375,13 +384,16 @@ def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe", most: i
     return texts(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, restored boolean" if digest else "doc_id long, ids binary")
 
 
-def decode(ids: np.ndarray, pieces: Pieces) -> str:
+def spelling(pieces: Pieces) -> list[bytes]:
+    """The bytes that each id stands for, spaces as `▁`."""
+    out = [name.encode() for name in pieces.text]
+    for value, i in enumerate(pieces.bytes_):
+        out[i] = bytes([value])
+    return out
+
+
+def decode(ids: np.ndarray, pieces: Pieces, spelled: list[bytes] | None = None) -> str:
     """The text of ids: pieces joined, byte pieces put together to characters, the space in front taken away."""
-    names = pieces.text
-    first, last = (pieces.bytes_[0], pieces.bytes_[-1]) if pieces.bytes_ else (0, -1)
-    if len(ids) and ((ids >= first) & (ids <= last)).any():
-        value = {i: bytes([b]) for b, i in enumerate(pieces.bytes_)}
-        text = b"".join(value.get(i) or names[i].encode() for i in ids.tolist()).decode("utf-8", "replace").replace(SPACE, " ")
-    else:
-        text = "".join([names[i] for i in ids.tolist()]).replace(SPACE, " ")
+    spelled = spelling(pieces) if spelled is None else spelled
+    text = b"".join([spelled[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text[:1] == " " else text
