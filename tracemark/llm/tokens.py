@@ -87,8 +87,10 @@ class Encoder:
 
     def _learn(self, known: dict, names: list[str], keep) -> None:
         """Put what `keep` makes of the ids of all names into `known`, a bounded number of new names at a time."""
-        if len(known) > KNOWN_CHUNKS:
+        if len(known) > KNOWN_CHUNKS:  # what comes again in this slice stays
+            again = {c: known[c] for c in names if c in known}
             known.clear()
+            known.update(again)
         new = [c for c in names if c not in known]
         # letters up to the Latin blocks' end are letters for every Unicode version
         words = [c for c in new if c[0] == " " and c[1:].isalpha() and (c.isascii() or max(c) < "\u0250")]
