@@ -192,6 +192,26 @@ def test_trained_baseline_separates(spark):
     assert all((r.predicted == "Misleading") == (r.label == 1) for r in got)
 
 
+def test_registered_baseline_is_the_full_model(spark, tables, monkeypatch):
+    from tracemark.plans.models import baseline_predictions
+
+    fit, used = models.train_baseline, {}
+
+    def quick(training, **settings):
+        used.update(settings)
+        return fit(training, **{**settings, "trees": 1, "depth": 1})
+
+    monkeypatch.setattr(models, "train_baseline", quick)
+    assert baseline_predictions(tables).count() > 0
+    stages = models.baseline_pipeline(**used).getStages()
+    assert (stages[4].getVocabSize(), stages[-1].getMaxIter(), stages[-1].getMaxDepth()) == (20_000, 200, 6)
+    common = " ".join(f"filler{i}" for i in range(1100))  # with its pairs more than 2,000 terms commoner than the telling ones
+    rows = [(f"{common} {'miracle' if i % 2 else 'council'}", i % 2) for i in range(40)]
+    data = spark.createDataFrame(rows, "text string, label int")
+    got = models.predict_baseline(quick(data, **used), data).collect()
+    assert sum((r.predicted == "Misleading") == (r.label == 1) for r in got) >= 38
+
+
 def test_attribution_finds_the_telling_word(spark):
     docs = spark.createDataFrame([(1, "the miracle report is here"), (2, "")], "doc_id long, text string")
     weights = spark.createDataFrame([("miracle", 3.0), ("report", -1.0)], "word string, weight double")

@@ -29,7 +29,7 @@ def stratified_split(t):
 @query("T05_T06_baseline_predictions")
 def baseline_predictions(t):
     rows = models.stratified_split(t.training, "id", "label")
-    model = models.train_baseline(by_key(rows.filter("split = 'train'"), "id"), max_features=2000, trees=5, depth=3)
+    model = models.train_baseline(by_key(rows.filter("split = 'train'"), "id"))
     return models.predict_baseline(model, rows.filter("split = 'test'").select("id", "label", "text")).select("id", "label", "predicted", F.round("probability", 6).alias("probability"))
 
 
