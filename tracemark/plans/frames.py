@@ -237,7 +237,8 @@ def video_scores(t):
           FROM frames WHERE frame_idx < 5)
     SELECT video_id, round(avg(least(1.0::DOUBLE, step / 50)) * 0.4::DOUBLE, 6) AS compression FROM b GROUP BY 1""", ("frames",))
 def compression_scores(t):
-    blocks = px.with_features(t.frames.filter(_idx() < 5), "blocks", ["video_id", "frame_idx"])
+    picked = _positions(t).filter(fr.stride_sample(_idx(), _n(), 100) & (fr.stride_slot(_idx(), _n(), 100) < 5)).select("video_id", "frame_idx")
+    blocks = px.with_features(picked.join(t.frames, ["video_id", "frame_idx"]), "blocks", ["video_id", "frame_idx"])
     return _r(blocks.groupBy("video_id").agg(F.avg(px.compression_score()).alias("compression")))
 
 
