@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints.
 
 A record (a JSON text) is reduced to the sorted set of its nested field paths, list places written as `[]`. The hash of that set selects a declarative
-mapping from a registry, which says where the turns, roles and texts are. Mapped records become canonical turns; records with an unknown
-fingerprint stay, without turns and with their fingerprint, so that a mapping can be added.
+mapping from a registry, which says where the turns, roles and texts are. Where the whole set is unknown, the paths that a mapping uses are taken alone, so fields
+beside a known layout don't matter; the layout counts if it is the only one that fits and nothing is nested in its roles and texts. An empty list of turns fits.
+Mapped records become canonical turns; other records stay as they are, with their fingerprint (`unmapped`), so that a mapping can be added.
 
 Turns are written in a marked template. Inside texts and roles every `<`, any number of backslashes and `|` in a row gets one backslash more, which reading takes
 away again, so no text can close its turn. A line break in a role is written as a backslash and n. The loss covers the texts of assistant turns.
@@ -80,6 +81,30 @@ def registry() -> dict[str, Mapping]:
     return {fingerprint(paths): mapping for paths, mapping in LAYOUTS.items()}
 
 
+def used_paths(mapping: Mapping) -> tuple[set[str], set[str]]:
+    """The paths that a mapping uses, and those of them that hold roles and texts."""
+    if mapping.fields:
+        leaves = {f for _, fields in mapping.fields for f in fields}
+    else:
+        leaves = {f"{mapping.items}[].{x}" if mapping.items else x for x in (mapping.role, mapping.text)}
+    return leaves | ({mapping.items} if mapping.items else set()), leaves
+
+
+def find(value, paths: set[str], known: dict[str, Mapping]) -> Mapping | None:
+    """The mapping of a record with these paths."""
+    mapping = known.get(fingerprint(paths))
+    fits = [mapping] if mapping else []
+    for m in () if mapping else dict.fromkeys(known.values()):
+        used, leaves = used_paths(m)
+        here = leaves | {m.items} if m.items and isinstance(value, dict) and value.get(m.items) == [] else used & paths
+        nested = any(p.startswith((f"{x}.", f"{x}[")) for p in paths for x in leaves)
+        if not nested and known.get(fingerprint(here)) == m:
+            fits.append(m)
+    if len(fits) != 1 or fits[0].items and not (isinstance(x := value.get(fits[0].items), list) and all(isinstance(i, dict) for i in x)):
+        return None
+    return fits[0]
+
+
 def _string(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
@@ -94,28 +119,28 @@ def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
 
 
 def turns(records: DataFrame, mappings: dict[str, Mapping] | None = None) -> DataFrame:
-    """`conv_id`, `turn`, `part`, `schema`, `layout`, `role`, `text` of records (`conv_id`, `turn`, `record`). A record with an unknown
-    fingerprint is one row without layout, role and text."""
+    """`conv_id`, `turn`, `part`, `schema`, `layout`, `role`, `text`, `record` of records (`conv_id`, `turn`, `record`). A record that
+    no mapping fits is one row with the record, without layout, role and text; one without turns is one row with its layout, without role and text."""
     known = registry() if mappings is None else mappings
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("conv_id", "turn", "part", "schema", "layout", "role", "text")}
+            out = {k: [] for k in ("conv_id", "turn", "part", "schema", "layout", "role", "text", "record")}
             for conv, turn, record in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "record"))):
                 try:
                     value = json.loads(record or "")
                 except ValueError:
                     value = None
-                schema = fingerprint(field_paths(value))
-                mapping = known.get(schema)
-                for part, (role, text) in enumerate(canonical(value, mapping) if mapping else [(None, None)]):
-                    for key, x in zip(out, (conv, turn, part, schema, mapping and mapping.name, role, text)):
+                paths = set(field_paths(value))
+                schema, mapping = fingerprint(paths), find(value, paths, known)
+                for part, (role, text) in enumerate(mapping and canonical(value, mapping) or [(None, None)]):
+                    for key, x in zip(out, (conv, turn, part, schema, mapping and mapping.name, role, text, None if mapping else record)):
                         out[key].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out["conv_id"], pa.int64()), pa.array(out["turn"], pa.int64()), pa.array(out["part"], pa.int32()),
-                                              *(pa.array(out[c], pa.string()) for c in ("schema", "layout", "role", "text"))], list(out))
+                                              *(pa.array(out[c], pa.string()) for c in ("schema", "layout", "role", "text", "record"))], list(out))
 
     wanted = records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("record").cast("string").alias("record"))
-    return wanted.mapInArrow(run, "conv_id long, turn long, part int, schema string, layout string, role string, text string")
+    return wanted.mapInArrow(run, "conv_id long, turn long, part int, schema string, layout string, role string, text string, record string")
 
 
 def escape(text: str) -> str:
@@ -166,10 +191,15 @@ def formatted(canonical_turns: DataFrame) -> DataFrame:
                                               pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())],
                                              ["conv_id", "turn", "part", "segment", "loss_start", "loss_end"])
 
-    mapped = canonical_turns.where("layout is not null").select("conv_id", "turn", "part", "role", "text")
+    mapped = canonical_turns.where("layout is not null and role is not null").select("conv_id", "turn", "part", "role", "text")
     return mapped.mapInArrow(run, "conv_id long, turn long, part int, segment string, loss_start long, loss_end long")
 
 
+def unmapped(canonical_turns: DataFrame) -> DataFrame:
+    """`conv_id`, `turn`, `schema`, `record` of every record that no mapping fits."""
+    return canonical_turns.where("layout is null").select("conv_id", "turn", "schema", "record")
+
+
 def digests(segments: DataFrame) -> DataFrame:
     """Per conversation, read from its segments: `n_turns`, `turns_sha256`, `loss_chars`, `loss_sha256`, `formatted_chars`.
 
