@@ -1,0 +1,124 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from tracemark.llm import ngram_join
+
+from .conftest import EDGES, make
+from .test_near_dups import shingles
+
+
+def brute(rows, percent=80):
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(j)] = find(i)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    out = []
+    for members in groups.values():
+        least = min((rows[i][0] for i in members if rows[i][0] is not None), default=None)
+        out += [(rows[i][0], len(sets[i]), least if least is not None else rows[i][0]) for i in members]
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()), key=str)
+
+
+def copies(seed, bases=14, boilerplate=40):
+    """Groups of near copies at all similarities around the threshold, half of them with a passage in common."""
+    rng, rows = random.Random(seed), []
+    vocabulary, shared = [f"w{i}" for i in range(3000)], [f"s{i}" for i in range(boilerplate)]
+    for base in range(bases):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([3, 5, 6, 30, 80, 300]))]
+        if base % 2:
+            words = words[: len(words) // 2] + shared + words[len(words) // 2 :]
+        for _ in range(rng.choice([1, 2, 3, 20])):
+            changed = list(words)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, len(words) // 50, len(words) // 25])):
+                changed[rng.randrange(len(words))] = "new" + str(rng.random())
+            rows.append((len(rows), " ".join(changed)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed, tile, chunk, verify", [(1, 2000, 8 << 20, 0.05), (2, 3, 4000, 0.0), (3, 5, 1, 50.0)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, tile, chunk, verify):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", tile)
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(ngram_join, "RANGE_TOKENS", 700)
+    monkeypatch.setattr(ngram_join, "VERIFY", verify)
+    rows = copies(seed)
+    assert got(ngram_join.linked(make(spark, [(i, t, None) for i, t in rows]))) == brute(rows)
+
+
+def test_without_leaders_every_link_is_found(spark, monkeypatch):
+    """The last comparison alone, with counted matches: no rounds before it, so every pair of a list is apart."""
+    monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 0)
+    rows = copies(8, 10)
+    assert got(ngram_join.linked(make(spark, [(i, t, None) for i, t in rows]))) == brute(rows)
+
+
+def test_chain_reaches_its_end(spark):
+    words = [f"c{i}" for i in range(160)]
+    rows = [(100 - k, " ".join(words[5 * k : 5 * k + 80])) for k in range(15)]
+    assert got(ngram_join.linked(make(spark, [(i, t, None) for i, t in rows]))) == brute(rows)
+
+
+def test_edges(spark, edges, nothing):
+    assert got(ngram_join.linked(edges)) == brute([(i, t) for i, t, _ in EDGES])
+    assert ngram_join.linked(nothing).count() == 0
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    text = " ".join(f"k{i}" for i in range(60))
+    rows = [(None, text), (None, text + " end"), (4, text + " last"), (4, "some other words that stand alone here"), (5, "some other words that stand alone here"), (6, "")]
+    assert got(ngram_join.linked(make(spark, [(i, t, None) for i, t in rows]))) == brute(rows)
+
+
+def test_longer_prefixes_for_frequent_tokens():
+    rare, frequent = np.ones(100, np.int64) * 2, np.ones(100, np.int64) * 5000
+    assert 1 <= ngram_join.prefix_matches(100, 0, rare, 80) <= 80
+    # a few rare tokens, then very frequent ones: going on would read long lists, so the prefix stays short
+    assert ngram_join.prefix_matches(100, 0, np.concatenate([rare[:21], frequent[:79]]), 80) == 1
+    # frequent from the start: more matches spare verifications
+    assert ngram_join.prefix_matches(100, 0, frequent, 80) > 1
+
+
+def test_packed_tokens_come_back():
+    rng = np.random.default_rng(1)
+    tokens = np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
+    assert (ngram_join._unpacked(ngram_join._packed(tokens)) == tokens).all()
+
+
+def test_frequencies_cover_all_classes(spark):
+    from collections import Counter
+
+    rows = copies(5, 8)
+    docs = make(spark, [(i, t, None) for i, t in rows])
+    classes = ngram_join.profiles(docs).where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    found = ngram_join.linkable(docs, classes, 0).collect()
+    sets = {frozenset(shingles(t)) for _, t in rows if shingles(t)}
+    df = Counter(s for one in sets for s in one)
+    able = {s for s in sets if 100 * sum(df[x] > 1 for x in s) >= 80 * len(s)}
+    assert sorted((r["n"], len(r["shared"]), r["weight"]) for r in found) == sorted((len(s), sum(df[x] > 1 for x in s), sum(df[x] for x in s if df[x] > 1)) for s in able)
+
+
+def test_registered_query_on_odd_tables(spark, tmp_path):
+    make(spark, EDGES).write.parquet(f"{tmp_path}/documents.parquet")
+    assert got(entry.queries()["op12_ngram_join"](spark, str(tmp_path))) == brute([(i, t) for i, t, _ in EDGES])

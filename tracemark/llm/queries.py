@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemark.llm import chat_schemas, language_codes, lattice, length_buckets, nb_svm, simhash, simple8b, url_templates
+from tracemark.llm import chat_schemas, fill_in_middle, language_codes, lattice, length_buckets, merkle, nb_svm, ngram_join, simhash, simple8b, sql, url_templates
 from tracemark.llm.common import id_remainder, table
 from tracemark.llm.near_dups import near_duplicates
 from tracemark.llm.quality_rules import judged
 from tracemark.llm.registry import ORACLES, QUERIES, query
-from tracemark.session import materialise, new_folder
+from tracemark.session import bounded_broadcast, materialise, new_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -86,3 +86,27 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_piece_lattice")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.encode(table(spark, folder, "documents"), digest=True)
+
+
+@query("op11_merkle_manifest", sql.MERKLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf_of(*(lowered if f == "text" else F.col(f) for f in merkle.FIELDS))
+    trees = merkle.forest(merkle.leaves(docs, tampered=F.when(id_remainder("doc_id", 3) == 0, tampered)))
+    of_tree = bounded_broadcast(trees.trees.select("tree", "subroot"))
+    proved = merkle.proofs(trees).join(of_tree, "tree").withColumn("root", F.lit(trees.root).cast("string"))
+    proved = proved.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op12_ngram_join", sql.NGRAM_JOIN)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op13_fill_in_middle", sql.FILL_IN_MIDDLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fill_in_middle.transform(table(spark, folder, "documents"))
+    whole = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
