@@ -1,0 +1,159 @@
+import numpy as np
+import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from tracemark.operators import boosting, models
+from tracemark.operators.boosting import BoostedTrees, BoostedTreesModel
+
+
+def counts(rng, n, features=12):
+    x = rng.poisson(1.5, (n, features)) * (rng.random((n, features)) < 0.7)
+    y = ((x[:, 0] >= 2) ^ (x[:, 3] >= 1)) | (x[:, 5] >= 4)
+    return x.astype(float), y.astype(float)
+
+
+def frame(spark, x, y):
+    rows = [(i, Vectors.sparse(x.shape[1], [(j, v) for j, v in enumerate(row) if v]), float(label)) for i, (row, label) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, ["id", "features", "label"])
+
+
+def best_by_hand(x, g, h, rows):
+    """Best (feature, threshold) of one node over all features and thresholds."""
+    best, choice = 1e-9, None
+    for f in range(x.shape[1]):
+        for edge in boosting.EDGES:
+            right = rows & (x[:, f] >= edge)
+            left = rows & ~right
+            if h[right].sum() >= boosting.MIN_WEIGHT and h[left].sum() >= boosting.MIN_WEIGHT:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + boosting.LAMBDA) for s in (left, right)) - g[rows].sum() ** 2 / (h[rows].sum() + boosting.LAMBDA)
+                if gain > best + 1e-9:
+                    best, choice = gain, (f, edge)
+    return choice
+
+
+def boosted_by_hand(x, y, trees, depth, step=0.3):
+    share = y.mean()
+    margin = np.full(len(y), np.log(share / (1 - share)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        nodes = [(np.ones(len(y), bool), 0)]
+        while nodes:
+            rows, level = nodes.pop()
+            split = best_by_hand(x, g, h, rows) if level < depth and h[rows].sum() >= 2 * boosting.MIN_WEIGHT else None
+            if split is None:
+                margin[rows] -= g[rows].sum() / (h[rows].sum() + boosting.LAMBDA) * step
+            else:
+                right = x[:, split[0]] >= split[1]
+                nodes += [(rows & right, level + 1), (rows & ~right, level + 1)]
+    return 1 / (1 + np.exp(-margin))
+
+
+def scores(model, data):
+    return np.array([r.p for r in model.transform(data).orderBy("id").select(F.col("probability").alias("v")).rdd.map(lambda r: r.v[1]).map(lambda p: (float(p),)).toDF(["p"]).collect()])
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_trees_equal_those_made_by_hand(spark, monkeypatch, tasks):
+    """With no more features than votes, tasks that exchange sums find the splits of the whole table."""
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    x, y = counts(np.random.default_rng(4), 260)
+    data = frame(spark, x, y)
+    model = BoostedTrees(maxIter=5, maxDepth=3, maxTasks=tasks).fit(data)
+    assert np.allclose(scores(model, data), boosted_by_hand(x, y, 5, 3), atol=1e-6)
+
+
+def test_votes_find_the_telling_features_among_many(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    rng = np.random.default_rng(7)
+    x, y = counts(rng, 400, 300)
+    model = BoostedTrees(maxIter=40, maxDepth=4, maxTasks=4).fit(frame(spark, x[:300], y[:300]))
+    found = scores(model, frame(spark, x[300:], y[300:])) > 0.5
+    assert (found == (y[300:] > 0)).mean() > max(y[300:].mean(), 1 - y[300:].mean()) + 0.15
+    first = {n[2] for n in model.nodes if n[0] == 0 and n[2] >= 0}
+    assert {0, 3} & first
+
+
+def test_edges(spark):
+    schema = "id long, text string, label int"
+    one_class = spark.createDataFrame([(i, f"word{i} again", 1) for i in range(6)], schema)
+    model = models.train_baseline(one_class, max_features=50, trees=3, depth=2)
+    assert all(r.predicted == "Misleading" for r in models.predict_baseline(model, one_class).collect())
+    nothing = BoostedTrees(maxIter=2).fit(frame(spark, np.zeros((3, 4)), np.zeros(3)).where("false"))
+    assert scores(nothing, frame(spark, np.eye(4), np.zeros(4))).tolist() == [0.5] * 4
+    unlabelled = frame(spark, np.eye(4), np.array([0, 1, 0, 1])).withColumn("label", F.when(F.col("id") < 2, F.col("label")))
+    assert BoostedTrees(maxIter=1).fit(unlabelled).nodes[0][4] == 0.0  # one of each class is left
+
+
+def test_model_is_stored_and_read(spark, tmp_path):
+    x, y = counts(np.random.default_rng(1), 80)
+    data = frame(spark, x, y)
+    model = BoostedTrees(maxIter=3, maxDepth=2).fit(data)
+    model.write().save(str(tmp_path / "trees"))
+    back = BoostedTreesModel.load(str(tmp_path / "trees"))
+    assert back.nodes == model.nodes and back.getMaxDepth() == 2 and np.allclose(scores(back, data), scores(model, data))
+    texts = spark.createDataFrame([(i, f"shock miracle {i}" if i % 2 else f"council report {i}", i % 2) for i in range(30)], "id long, text string, label int")
+    pipeline = models.train_baseline(texts, max_features=100, trees=4, depth=2)
+    pipeline.write().save(str(tmp_path / "pipeline"))
+    again = PipelineModel.load(str(tmp_path / "pipeline"))
+    told = lambda m: sorted((r.id, r.predicted, r.probability) for r in models.predict_baseline(m, texts).collect())
+    assert told(again) == told(pipeline)
+
+
+def test_full_model_beats_the_majority(spark):
+    """The registered settings, on labels that single words tell only together, with one class four times as common."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(500):
+        words = list(rng.choice(vocabulary, 40))
+        a, b = rng.random() < 0.5, rng.random() < 0.4
+        words += ["alpha"] * a + ["beta"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a and b)))
+    data = spark.createDataFrame(rows, "id long, text string, label int")
+    split = models.stratified_split(data, "id", "label")
+    model = models.train_baseline(split.where("split = 'train'"))
+    got = models.predict_baseline(model, split.where("split = 'test'").select("id", "label", "text")).collect()
+    right = np.mean([(r.predicted == "Misleading") == (r.label == 1) for r in got])
+    majority = max(np.mean([r.label for r in got]), 1 - np.mean([r.label for r in got]))
+    assert right >= 0.95 > majority + 0.1
+
+
+def test_explanation_equals_a_fit_by_hand(spark):
+    texts = {1: "The miracle cure, the miracle report", 2: "plain words only here", 3: "", 4: "... !!", 5: "cure"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signal = lambda text: text.count("miracle") * 0.3 + text.count("cure") * 0.2 - 0.1 * text.count("only")
+    scorer = lambda rows: rows.withColumn("score", sum((F.size(F.split("text", w)) - 1) * v for w, v in (("miracle", 0.3), ("cure", 0.2), ("only", -0.1))))
+    found = {}
+    for r in models.explain_model(docs, scorer, samples=60, top=3).collect():
+        found.setdefault(r.doc_id, []).append((r["rank"], r.word, r.weight))
+    masked = {}
+    for r in models.masked_texts(docs, samples=60).collect():
+        masked.setdefault(r.doc_id, {})[r["sample"]] = r.text
+    assert set(found) == set(masked) == {1, 2, 5}
+    for doc_id, samples in masked.items():
+        text = texts[doc_id]
+        words = list(dict.fromkeys(models.WORD.findall(text)))
+        assert samples[0] == text and len(samples) == 60
+        keep = np.array([[w in models.WORD.findall(samples[s]) for w in words] for s in range(60)], float)
+        y = np.array([signal(samples[s]) for s in range(60)])
+        weight = np.exp(-((1 - np.sqrt(keep.mean(axis=1))) ** 2) / 0.25**2)
+        xm, ym = weight @ keep / weight.sum(), weight @ y / weight.sum()
+        a = (keep - xm).T @ np.diag(weight) @ (keep - xm) + np.eye(len(words))
+        beta = np.linalg.solve(a, (keep - xm).T @ (weight * (y - ym)))
+        order = sorted(range(len(words)), key=lambda i: (-abs(round(beta[i], 9)), i))[:3]
+        got = sorted(found[doc_id])
+        assert [w for _, w, _ in got] == [words[i] for i in order] and np.allclose([v for *_, v in got], beta[order], atol=1e-8)
+    assert found[1] and sorted(found[1])[0][1] == "miracle"
+
+
+def test_explanation_of_the_trained_model(spark):
+    rows = [(i, f"{'miracle' if i % 2 else 'council'} filler text number {i}", i % 2) for i in range(60)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = models.train_baseline(data, max_features=200, trees=20, depth=3)
+    best = {r.doc_id: (r.word, r.weight) for r in models.explain_model(data.where("doc_id < 6"), models.baseline_scorer(model), samples=100, top=1).collect()}
+    assert all(best[i][0] in ("miracle", "council") and (best[i][1] > 0) == (i % 2 == 1) for i in range(6) if best[i][0] == ("miracle" if i % 2 else "council"))
+    assert sum(best[i][0] == ("miracle" if i % 2 else "council") for i in range(6)) >= 3

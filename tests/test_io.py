@@ -149,3 +149,85 @@ def test_failing_item_fails_alone(spark, tmp_path):
     target = str(tmp_path)
     hooks.export_each(spark.createDataFrame([(1,), (2,)], "id long"), lambda row: open(f"{target}/{row['id']}", "w").close())
     assert {p.name for p in tmp_path.iterdir()} == {"1", "2"}
+
+
+def test_written_files_and_bitmaps(spark, tmp_path):
+    from tracemark.functions import files as ff
+
+    pixels = [(i, [(i * 7 + j) % 256 for j in range(8 * h)], h) for i, h in ((1, 2), (2, 5))]
+    df = spark.createDataFrame(pixels, "id long, px array<int>, h int").select(F.concat(F.lit("deep/"), "id", F.lit(".bmp")).alias("name"), ff.bitmap(F.col("px"), 8, F.col("h")).alias("content"))
+    more = df.unionByName(spark.createDataFrame([("empty.bmp", bytearray()), (None, bytearray(b"x")), ("none.bmp", None)], "name string, content binary"))
+    for _ in range(2):  # an attempt that comes again
+        assert {r.name: r.length for r in sinks.write_files(more, str(tmp_path)).collect()} == {"deep/1.bmp": 54 + 48, "deep/2.bmp": 54 + 120, "empty.bmp": 0}
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["deep/1.bmp", "deep/2.bmp", "empty.bmp"]
+    images = {r.file_path.rsplit("/", 1)[1]: r for r in files.read_images(spark, str(tmp_path / "deep")).collect()}
+    for i, px, h in pixels:
+        assert (images[f"{i}.bmp"].height, images[f"{i}.bmp"].width) == (h, 8) and list(images[f"{i}.bmp"].data[::3]) == px
+    with pytest.raises(ValueError):
+        ff.bitmap(F.col("px"), 7, F.col("h"))
+
+
+def test_model_is_trained_once_loaded_and_trained_again(spark, tmp_path):
+    from tracemark.operators import models
+    from tracemark.sources.model_store import ModelStore
+
+    source, store, fits = tmp_path / "source", ModelStore(spark, str(tmp_path / "models")), []
+    source.mkdir()
+    (source / "a.csv").write_text("text\nx\n")
+    data = spark.createDataFrame([(f"shock {i}" if i % 2 else f"report {i}", i % 2) for i in range(20)], "text string, label int")
+
+    def fit():
+        fits.append(1)
+        return models.train_baseline(data, max_features=30, trees=2, depth=1)
+
+    assert store.versions() == []
+    told = lambda m: sorted(map(tuple, models.predict_baseline(m, data).collect()))
+    first, version, trained = store.current(str(source), fit)
+    assert (version, trained, len(fits)) == (1, True, 1)
+    again, version, trained = store.current(str(source), fit)
+    assert (version, trained, len(fits)) == (1, False, 1) and told(again) == told(first)
+    (source / "b.csv").write_text("text\ny\n")
+    assert store.current(str(source), fit)[1:] == (2, True) and store.current(str(source), fit)[1:] == (2, False)
+    assert store.current(str(source), fit, force=True)[1:] == (3, True)
+    (tmp_path / "models" / "version=000004" / "model").mkdir(parents=True)  # a training cut short
+    assert store.versions() == [1, 2, 3] and store.current(str(source), fit)[1:] == (3, False)
+    (source / "b.csv").unlink()
+    assert store.current(str(source), fit)[1:] == (5, True)
+
+
+def test_crashed_export_leaves_every_row_once(tmp_path):
+    """The first attempt of every task dies half-way, after it has written rows."""
+    import subprocess
+    import sys
+
+    script = f"""
+import os
+from pyspark import TaskContext
+from tracemark.operators import hooks
+from tracemark.session import build_session
+spark = build_session("local[2,3]", app="crash", **{{"spark.ui.enabled": "false"}})
+def render(row):
+    if row["id"] % 50 == 30 and TaskContext.get().attemptNumber() == 0:
+        os._exit(1)
+    if row["id"] % 10 == 7:
+        raise ValueError("seven")
+    return f"{{row['id']}}\\n".encode()
+hooks.export_parts(spark.range(0, 200, 1, 4), "id", render, "{tmp_path}/out")
+lines = sorted(int(r.value) for r in hooks.exported_lines(spark, "{tmp_path}/out").collect())
+failed = sorted(int(f.key) for r in hooks.exported_files(spark, "{tmp_path}/out").collect() for f in r.failed)
+assert lines == [i for i in range(200) if i % 10 != 7] and failed == [i for i in range(200) if i % 10 == 7]
+assert len(os.listdir("{tmp_path}/out/parts")) >= 8
+print("whole")
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=240)
+    assert "whole" in done.stdout, done.stderr[-2000:]
+
+
+def test_open_payloads(spark):
+    from tracemark.functions import payloads
+
+    rows = [(1, '{"k":3}'), (2, '{"k":{"value":4}}'), (3, "[5]"), (4, '{"k":"6"}'), (5, "{broken"), (6, None), (7, "{}")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("p", payloads.payload(F.col("t")))
+    got = {r.id: r.n for r in df.select("id", payloads.first_of(F.col("p"), "int", "$.k", "$.k.value", "$[0]").alias("n")).collect()}
+    assert got == {1: 3, 2: 4, 3: 5, 4: 6, 5: None, 6: None, 7: None}
+    assert df.where("id in (1, 4)").agg(payloads.common_shape(F.col("p")).alias("s")).first().s == "OBJECT<k: VARIANT>"

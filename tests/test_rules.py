@@ -181,6 +181,15 @@ def test_softmax_and_evaluation(spark):
     assert math.isclose(e["a"].recall, 0.75) and e["a"].precision == 1.0 and math.isclose(e["b"].precision, 2 / 3) and math.isclose(e["b"].accuracy, 5 / 6)
 
 
+def test_running_totals_of_a_group_with_half_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v), int(c)) for g, v, c in zip(rng.choice([0, 0, 0, 1, 2], 900), rng.permutation(900) / 7, rng.integers(0, 9, 900))]
+    from tracemark.operators.ranking import running_totals
+
+    got = {(r.g, r.v): r.upto for r in running_totals(spark.createDataFrame(rows, "g long, v double, c long"), ["g"], ["v"], "c", "upto").collect()}
+    assert got == {(g, v): sum(c2 for g2, v2, c2 in rows if g2 == g and v2 <= v) for g, v, _ in rows}
+
+
 def test_trained_baseline_separates(spark):
     rows = [(i, f"shock secret miracle cure number {i}", 1) for i in range(40)] + [(100 + i, f"council approves budget report {i}", 0) for i in range(40)]
     data = spark.createDataFrame(rows, "id long, text string, label int")

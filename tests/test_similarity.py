@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracemark.functions import hashing
 from tracemark.operators import similarity as sim
-from tracemark.operators.blocking import BlockPlan, _runs, near_pairs, plan_blocks
+from tracemark.operators.blocking import BlockPlan, WordPlan, _runs, near_pairs, plan_blocks, plan_words
 
 DIGITS = "0123456789abcdef"
 
@@ -60,6 +60,62 @@ def test_probe_join_equals_brute_force(spark):
         assert len(found) == len(set(found)) and set(found) == expected
 
 
+def bit_distance(a, b):
+    return (int(a, 16) ^ int(b, 16)).bit_count()
+
+
+def flipped(rng, h, n):
+    return f"{int(h, 16) ^ sum(1 << i for i in rng.sample(range(64), n)):016x}"
+
+
+def bit_families(seed):
+    rng = random.Random(seed)
+    rows = ["".join(rng.choices(DIGITS, k=16)) for _ in range(40)]
+    for base in rows[:12]:
+        rows += [flipped(rng, base, n) for n in (1, 2, 4, 5, 8, 9, 10, 12, 13)]
+    crowd = flipped(rng, rows[0], 3)
+    return sorted(set(rows + [flipped(rng, crowd, 1) for _ in range(60)] + ["0" * 16, "f" * 16]))
+
+
+@pytest.mark.parametrize("k", [0, 1, 3, 5, 8, 10, 12])
+@pytest.mark.parametrize("rows,tile", [(100, 10**6), (10**6, 5), (10**4, 10**12)])
+def test_pairs_by_bits_equal_brute_force(spark, k, rows, tile):
+    values = bit_families(2)
+    expected = {(a, b, bit_distance(values[a], values[b])) for a in range(len(values)) for b in range(a + 1, len(values)) if bit_distance(values[a], values[b]) <= k}
+    found = [(r.a, r.b, r.distance) for r in near_pairs(frame(spark, values), k, rows, tile_rows=tile, unit="bit").collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_probes_by_bits_equal_brute_force(spark):
+    values = bit_families(5)
+    stored, probes = frame(spark, values), frame(spark, values).filter("id % 3 = 0")
+    expected = {(a, b) for a in range(0, len(values), 3) for b in range(len(values)) if bit_distance(values[a], values[b]) <= 6}
+    for rows, tile, probe_rows in ((100, 10**6, None), (10**6, 4, None), (10**6, 4, 10)):
+        found = [(r.a, r.b) for r in near_pairs(stored, 6, rows, probes=probes, tile_rows=tile, probe_rows=probe_rows, unit="bit").collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_every_pair_within_bits_is_near_in_a_word():
+    rng = random.Random(8)
+    for k in range(0, 20):
+        for words in range(1, 17):
+            plan = WordPlan(k, words)
+            assert sum(width for _, width in plan.bounds) == 64
+            for _ in range(30):
+                x = sum(1 << i for i in rng.sample(range(64), k))
+                assert any((x >> low & (1 << width) - 1).bit_count() <= radius for (low, width), radius in zip(plan.bounds, plan.radii))
+    assert plan_words(10, 10**4).words > plan_words(10, 10**9).words
+    with pytest.raises(ValueError):
+        plan_words(64, 10)
+
+
+def test_classes_that_share_a_value_are_paired(spark):
+    z = "0" * 16
+    rows = [(1, z, "1" * 16, "f" * 16, "f" * 16), (2, z, "e" * 16, "0f" * 8, "1" * 16), (3, "f" * 16, "7" * 16, "c3" * 8, "3c" * 8)]
+    found = [(r.a, r.b, r.hash_type, r.distance, r.copies_a, r.copies_b) for r in sim.all_duplicates(wide(spark, rows), 3).collect()]
+    assert found == [(1, 2, "dhash", 0, 1, 1)]
+
+
 def test_larger_tables_get_more_selective_plans():
     small, large = plan_blocks(5, 10**4), plan_blocks(5, 10**10)
     assert small.subset < large.subset
@@ -91,11 +147,11 @@ def test_all_duplicates_collapse_copies_and_keep_the_nearest_type(spark):
     rows = [(i, z, z, z, z) for i in range(50)]
     rows += [(100, "1" + "0" * 15, "11" + "0" * 14, z, z), (101, y, "1" * 6 + "0" * 10, "2" * 7 + "0" * 9, "3" * 6 + "0" * 10), (102, y, y, y, y)]
     df = wide(spark, rows)
-    found = {(r.a, r.b): (r.hash_type, r.distance, r.confidence, r.copies_a) for r in sim.all_duplicates(df, 53).collect()}
+    found = {(r.a, r.b): (r.hash_type, r.distance, r.confidence, r.copies_a) for r in sim.all_duplicates(df, 53, unit="char").collect()}
     assert found[(0, 100)] == ("phash", 0, "high", 50)
     assert found[(0, 101)] == ("ahash", 6, "low", 50)
     assert found[(101, 102)][0] == "dhash"
-    breakdown = {(r.confidence, r.hash_type): r.pairs for r in sim.duplicate_breakdown(df, 53).collect()}
+    breakdown = {(r.confidence, r.hash_type): r.pairs for r in sim.duplicate_breakdown(df, 53, unit="char").collect()}
     assert breakdown[("high", "dhash")] == 50 * 49 // 2 + 1 and breakdown[("high", "phash")] == 50
     assert len(breakdown) == 12
 

@@ -29,6 +29,23 @@ MAGIC = {"FFD8FF": (".jpg", ".jpeg"), "89504E470D0A1A0A": (".png",), "474946": (
 MEGABYTE = 1024 * 1024
 
 
+def _little(value: int, size: int) -> str:
+    return value.to_bytes(size, "little").hex()
+
+
+def bitmap(pixels: Column, width: int, height: Column) -> Column:
+    """An uncompressed 24-bit BMP file of grey `pixels` (rows from the top); the width must be a multiple of four."""
+    if width % 4:
+        raise ValueError("rows of a bitmap are padded to four bytes; take a width that needs no padding")
+    size = height * width * 3
+    number = lambda c: F.concat(*[F.lpad(F.hex(F.shiftright(c.cast("int"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(4)])
+    head = F.concat(F.lit("424d"), number(size + 54), F.lit(_little(0, 4) + _little(54, 4) + _little(40, 4) + _little(width, 4)), number(height),
+                    F.lit(_little(1, 2) + _little(24, 2) + _little(0, 4)), number(size), F.lit(_little(2835, 4) * 2 + _little(0, 8)))
+    lines = F.transform(F.sequence(height - 1, F.lit(0)), lambda y: F.slice(pixels, y * width + 1, F.lit(width)))
+    body = F.array_join(F.transform(F.flatten(lines), lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3))), "")
+    return F.unhex(F.concat(head, body))
+
+
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 

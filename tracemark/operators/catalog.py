@@ -17,22 +17,24 @@ def with_attributes(files: DataFrame, path: str = "file_path") -> DataFrame:
     return files.withColumns({"filename": ff.basename(p), "file_type": ff.media_type(p), "mime_type": ff.mime_type(p)})
 
 
-def list_files(files: DataFrame, file_type: str | None = None, status: str | None = "active", limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page of the catalogue, newest first."""
+def list_files(files: DataFrame, file_type: str | None = None, status: str | None = "active", limit: int | None = None, offset: int = 0) -> DataFrame:
+    """The catalogue, newest first; a page of it with `limit` and `offset`."""
     kept = files
     if file_type:
         kept = kept.filter(F.col("file_type") == file_type)
     if status:
         kept = kept.filter(F.col("status") == status)
-    return kept.orderBy(F.desc("created_at"), F.desc("file_id")).offset(offset).limit(limit)
+    ordered = kept.orderBy(F.desc("created_at"), F.desc("file_id")).offset(offset)
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def search(files: DataFrame, term: str, fields: Sequence[str] = ("filename", "file_path"), limit: int = 50) -> DataFrame:
+def search(files: DataFrame, term: str, fields: Sequence[str] = ("filename", "file_path"), limit: int | None = None) -> DataFrame:
     """Newest active files whose chosen fields contain the term, in any letter case."""
     pattern = "%" + term + "%"
     hit = reduce(Column.__or__, [F.col(f).ilike(pattern) for f in fields])
     active = files.filter((F.col("status") == "active") & hit)
-    return active.orderBy(F.desc("created_at"), F.desc("file_id")).limit(limit)
+    ordered = active.orderBy(F.desc("created_at"), F.desc("file_id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def validate_upload(files: DataFrame, kind: Column, extensions: dict[str, list[str]], max_mb: int = 100) -> DataFrame:

@@ -40,12 +40,12 @@ def ingest(requests: DataFrame, transcripts: DataFrame, allow_url: bool = True)
         .when(~is_plain & ~is_video, "Unsupported source type").alias("error"))
 
 
-def rank_claims(docs: DataFrame, k: int = 3, stop_words: list[str] | None = None) -> DataFrame:
+def rank_claims(docs: DataFrame, k: int = 3, stop_words: list[str] | None = None, prefix: int | None = None) -> DataFrame:
     """The k best sentences of every text (doc_id, text) as (doc_id, claim_no, claim).
 
     Sentences are scored by TF-IDF fitted on the text's own sentences (smoothed idf, rows of unit length): the
     mean weight over the vocabulary. Ties go to the earlier sentence. A text of at most k sentences gives them
-    all in order, a text without any gives its first 500 characters.
+    all in order, a text without any gives itself, or its first `prefix` characters.
 
     The texts are shuffled once, by doc_id; every later grouping starts with doc_id and keeps that layout. The
     sentence itself rides along as one extra row without a term, so that no join has to fetch it again.
@@ -54,7 +54,7 @@ def rank_claims(docs: DataFrame, k: int = 3, stop_words: list[str] | None = None
     found = tx.sentences(F.col("text"))
     base = by_key(docs.filter(tx.strip(F.col("text")) != ""), "doc_id").select("doc_id", "text", found.alias("s"))
     lines = base.select("doc_id", F.size("s").alias("n"), F.posexplode(
-        F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(F.substring("text", 1, 500)))).alias("pos", "sentence"))
+        F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(F.col("text") if prefix is None else F.substring("text", 1, prefix)))).alias("pos", "sentence"))
     carrier = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("sentence")))
     terms = F.transform(F.regexp_extract_all(F.lower("sentence"), F.lit(TERM), 0),
                         lambda w: F.struct(w.alias("term"), F.lit(None).cast("string").alias("sentence")))

@@ -66,6 +66,22 @@ def timestamp_sample(frames: DataFrame, videos: DataFrame, wanted: DataFrame) ->
     return frames.join(asked.select("video_id", "frame_idx", "at"), ["video_id", "frame_idx"])
 
 
+def until_counted(sampled: DataFrame, count: str, limit: int = 50) -> DataFrame:
+    """Frames of a sample up to the one with which the video's running total of `count` reaches `limit`.
+
+    A frame stays while the earlier frames of its video hold fewer than `limit`, so the last one may pass it. Totals come from two levels: inside runs
+    of 256 frame numbers, and over the runs' sums, which are a 256th of the rows. Runs that begin beyond the limit are dropped before frames are counted.
+    """
+    columns = sampled.columns
+    runs = materialise(sampled.withColumn("_run", _div(F.col("frame_idx"), F.lit(RUN))), "counted-runs")
+    sums = runs.groupBy("video_id", "_run").agg(F.sum(count).alias("_sum"))
+    earlier_runs = Window.partitionBy("video_id").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sums.select("video_id", "_run", F.coalesce(F.sum("_sum").over(earlier_runs), F.lit(0)).alias("_before")).filter(F.col("_before") < limit)
+    inside = Window.partitionBy("video_id", "_run").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
+    counted = runs.join(materialise(begun, "begun-runs"), ["video_id", "_run"]).withColumn("_before", F.col("_before") + F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    return counted.filter(F.col("_before") < limit).select(*columns)
+
+
 def with_previous(frames: DataFrame, value: str, name: str) -> DataFrame:
     """`value` of the preceding frame of the same video, whatever the gap between their numbers, as column `name`.
 
@@ -192,7 +208,7 @@ def deepfake_verdict(faces: DataFrame, videos: DataFrame, frame_threshold: float
                             .otherwise(F.concat(F.lit("AUTHENTIC: "), tally, F.lit("below "), limit)))
 
 
-def first_faces(faces: DataFrame, k: int = 5) -> DataFrame:
+def first_faces(faces: DataFrame, k: int) -> DataFrame:
     """First k scored faces of every video, in frame order."""
     order = Window.partitionBy("video_id").orderBy("frame_idx", "face_idx")
     return faces.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,53 @@ def export_each(results: DataFrame, export: Callable[[dict], None]) -> None:
     results.foreachPartition(run)
 
 
+def export_parts(results: DataFrame, key: str, render: Callable[[dict], bytes], folder: str) -> None:
+    """Write what `render` makes of every row under `folder`, a file a task, such that every row comes once however often tasks are tried.
+
+    An attempt writes to a file of its own. Its commit marker (file, rows, failed rows) is an output row of the task, so Spark keeps the marker of one attempt
+    of each task, and `exported_files` names the files of these alone. A row whose rendering fails is listed with its error and fails alone.
+    `folder` is one that every executor reaches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        name, rows, failed = f"part-{context.partitionId():05d}-{context.taskAttemptId()}", 0, []
+        system.create_dir(f"{base}/parts", recursive=True)
+        with system.open_output_stream(f"{base}/parts/{name}") as out:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    try:
+                        data = render(row)
+                    except Exception as error:
+                        failed.append({"key": str(row[key]), "error": f"{type(error).__name__}: {error}"})
+                        continue
+                    out.write(data)
+                    rows += 1
+        yield pa.RecordBatch.from_pylist([{"file": name, "rows": rows, "failed": failed}], schema=pa.schema([
+            ("file", pa.string()), ("rows", pa.int64()), ("failed", pa.list_(pa.struct([("key", pa.string()), ("error", pa.string())])))]))
+
+    results.mapInArrow(run, COMMITS).write.mode("overwrite").parquet(f"{folder}/commits")
+
+
+COMMITS = "file string, rows long, failed array<struct<key: string, error: string>>"
+
+
+def exported_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Commit markers of an export: file, rows, failed."""
+    return spark.read.schema(COMMITS).parquet(f"{folder}/commits")
+
+
+def exported_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines (`value`) of the committed files of an export; files that attempts left behind are passed over."""
+    lines = spark.read.text(f"{folder}/parts").select("value", F.col("_metadata.file_name").alias("file"))
+    return lines.join(exported_files(spark, folder).select("file"), "file", "left_semi").select("value")
+
+
 SQL_FUNCTIONS = {
     "char_hamming": "(a STRING, b STRING) RETURNS INT RETURN CASE WHEN length(a) = length(b) THEN "
                     "aggregate(zip_with(split(a, ''), split(b, ''), (x, y) -> CASE WHEN x = y THEN 0 ELSE 1 END), 0, (s, v) -> s + v) END",

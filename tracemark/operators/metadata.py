@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tracemark.functions.text import percent
 
 # Camera makers, marks of generation tools, and tags a camera writes.
-CAMERA_BRANDS = ("Canon Nikon Sony Fujifilm Olympus Panasonic Leica Pentax Samsung LG Apple Google OnePlus Huawei Xiaomi OPPO Vivo").split()
+CAMERA_BRANDS = ["Canon", "Nikon", "Sony", "Fujifilm", "Olympus", "Panasonic", "Leica", "Pentax", "Samsung", "LG", "Apple", "Google",
+                 "OnePlus", "Huawei", "Xiaomi", "OPPO", "Vivo"]
 AI_MARKS = ["DALL-E", "Midjourney", "Stable Diffusion", "StyleGAN", "BigGAN", "Adobe Firefly", "Runway", "Artbreeder", "DeepAI",
             "NightCafe", "Generated", "Synthetic", "AI", "Artificial"]
-CAMERA_TAGS = ("DateTime DateTimeOriginal DateTimeDigitized Make Model Software GPS ExposureTime FNumber ISO Flash FocalLength "
-               "WhiteBalance ColorSpace ExifVersion LensModel SerialNumber").split()
+CAMERA_TAGS = ["DateTime", "DateTimeOriginal", "DateTimeDigitized", "Make", "Model", "Software", "GPS", "ExposureTime", "FNumber", "ISO",
+               "Flash", "FocalLength", "WhiteBalance", "ColorSpace", "ExifVersion", "LensModel", "SerialNumber"]
 
 
 def _any_tag(tags: Column, names: list[str]) -> Column:

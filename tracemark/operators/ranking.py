@@ -24,3 +24,17 @@ def positions(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(*order))
     placed = blocked.withColumn("_rank", rank).join(offsets, [*group, "_block"])
     return placed.withColumn("position", F.col("_before") + F.col("_rank")).drop("_block", "_before", "_rank")
+
+
+def running_totals(rows: DataFrame, group: list[str], order: list[str], amount: str, name: str) -> DataFrame:
+    """Adds `name`, the sum of `amount` over the rows of a group from its first by `order` to this one; rows that tie in the order must not.
+
+    Blocks as in `positions`: a group is summed by as many tasks as there are blocks, and only the blocks' sums meet in one place.
+    """
+    blocked = materialise(rows.repartitionByRange(*group, *order).withColumn("_block", F.spark_partition_id()), "ranged-amounts")
+    sums = blocked.groupBy(*group, "_block").agg(F.sum(amount).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialise(sums.select(*group, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")), "block-amounts")
+    inside = Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = blocked.withColumn("_inside", F.sum(amount).over(inside)).join(offsets, [*group, "_block"])
+    return summed.withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_before", "_inside")

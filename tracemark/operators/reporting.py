@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,16 +37,29 @@ ADVICE = {
 EXPECTED_METADATA = ["datetime", "camera", "software", "gps"]
 SUSPICIOUS_SOFTWARE = ["photoshop", "gimp", "deepfake", "fakeapp"]
 
+# Sentences of verdicts, findings and forensic indicators.
+VERDICTS = {
+    "synthetic": "SYNTHETIC/MANIPULATED CONTENT DETECTED",
+    "duplicate": "DUPLICATE CONTENT DETECTED",
+    "suspicious": "SUSPICIOUS CONTENT - REQUIRES REVIEW",
+    "authentic": "AUTHENTIC CONTENT - NO MANIPULATION DETECTED",
+}
+INDICATORS = {
+    "tampering": "Content manipulation detected",
+    "metadata_anomaly": "Inconsistent metadata detected",
+    "compression_anomaly": "Unusual compression patterns detected",
+}
+
 _flag = lambda c: F.coalesce(F.col(c), F.lit(False))
 _number = lambda c: F.coalesce(F.col(c), F.lit(0))
 
 
 def verdict() -> Column:
     return (
-        F.when(_flag("is_fake") | _flag("is_synthetic"), "SYNTHETIC/MANIPULATED CONTENT DETECTED")
-        .when(_flag("is_duplicate"), "DUPLICATE CONTENT DETECTED")
-        .when(_number("suspicious_indicators") > 0, "SUSPICIOUS CONTENT - REQUIRES REVIEW")
-        .otherwise("AUTHENTIC CONTENT - NO MANIPULATION DETECTED")
+        F.when(_flag("is_fake") | _flag("is_synthetic"), VERDICTS["synthetic"])
+        .when(_flag("is_duplicate"), VERDICTS["duplicate"])
+        .when(_number("suspicious_indicators") > 0, VERDICTS["suspicious"])
+        .otherwise(VERDICTS["authentic"])
     )
 
 
@@ -123,12 +136,28 @@ def quality_metrics(expected: tuple[str, ...] = ("confidence", "processing_time"
     )
 
 
+def batch_table(results: DataFrame, key: str, order: str, name: Column, rows: int = 20, name_chars: int = 20) -> DataFrame:
+    """The lines of every batch's printed table: its first results, names cut to fit, flags in words, confidence with two decimals.
+
+    The first rows of a batch are found by partial aggregation: a task keeps no more than `rows` of any batch.
+    """
+    word = lambda c: F.when(_flag(c), "Yes").otherwise("No")
+    line = F.struct(F.col(order).alias("_order"), F.substring(F.coalesce(name, F.lit("Unknown")), 1, name_chars).alias("file_name"),
+                    F.when(F.col("error").isNull(), "completed").otherwise("error").alias("status"), word("is_fake").alias("fake"), word("is_duplicate").alias("duplicate"),
+                    F.format_string("%.2f", _number("confidence").cast("double")).alias("confidence"))
+    parts = results.select(F.col(key).alias("_key"), line.alias("line"), F.spark_partition_id().alias("_part"))
+    for keys in (["_key", "_part"], ["_key"]):  # first within each partition, then over the partitions' few
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("line._order"))
+        parts = parts.withColumn("_place", place).filter(F.col("_place") <= rows)
+    return parts.select(F.col("_key").alias(key), F.col("_place").alias("line_no"), "line.file_name", "line.status", "line.fake", "line.duplicate", "line.confidence")
+
+
 def forensic_indicators() -> Column:
-    entry = lambda kind, severity, text: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(text).alias("description"))
+    entry = lambda kind, severity: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(INDICATORS[kind]).alias("description"))
     return F.array_compact(F.array(
-        F.when(_flag("is_fake"), entry("tampering", "high", "Content manipulation detected")),
-        F.when(_flag("metadata_inconsistent"), entry("metadata_anomaly", "medium", "Inconsistent metadata detected")),
-        F.when(_number("compression_artifacts") > 0.8, entry("compression_anomaly", "medium", "Unusual compression patterns detected")),
+        F.when(_flag("is_fake"), entry("tampering", "high")),
+        F.when(_flag("metadata_inconsistent"), entry("metadata_anomaly", "medium")),
+        F.when(_number("compression_artifacts") > 0.8, entry("compression_anomaly", "medium")),
     ))
 
 

@@ -61,19 +61,12 @@ def similar_to_hash(wide: DataFrame, target: str, hash_type: str, threshold: int
 
 def similar_by_bits(hashes: DataFrame, probes: DataFrame, rows: int, threshold: int = 5,
                     include_identical: bool = True) -> DataFrame:
-    """Stored hashes within `threshold` bits of probe hashes; both sides (id, h) with packed distinct hashes.
-
-    `threshold` bits touch at most `threshold` digits, so the digit join finds a superset.
-    """
-    pairs = near_pairs(hashes, threshold, rows, probes=probes)
-    bits = pairs.select("a", "b", hashing.bit_distance(F.col("ha"), F.col("hb")).alias("bits"))
-    kept = bits.filter(F.col("bits") <= threshold)
+    """Stored hashes within `threshold` bits of probe hashes; both sides (id, h) with packed distinct hashes."""
+    pairs = near_pairs(hashes, threshold, rows, probes=probes, unit="bit")
     if not include_identical:
-        kept = kept.filter(F.col("bits") > 0)
-    return kept.select(
-        F.col("a").alias("probe_id"), F.col("b").alias("match_id"), F.col("bits").alias("distance"),
-        (1 - F.col("bits") / 64.0).alias("similarity"),
-    )
+        pairs = pairs.filter(F.col("distance") > 0)
+    return pairs.select(
+        F.col("a").alias("probe_id"), F.col("b").alias("match_id"), "distance", hashing.similarity(F.col("distance")).alias("similarity"))
 
 
 def distinct_hashes(wide: DataFrame, hash_type: str) -> DataFrame:
@@ -95,47 +88,46 @@ def class_members(wide: DataFrame) -> DataFrame:
     return wide.join(materialise(first, "classes"), list(FINGERPRINTS)).select("file_id", "class_id", "copies")
 
 
-def best_pairs(classes: DataFrame, rows: int, thresholds: dict[str, int] | None = None) -> DataFrame:
-    """Pairs of fingerprint classes within the limit of some fingerprint type, with the nearest type.
+def best_pairs(classes: DataFrame, rows: int, thresholds: dict[str, int] | None = None, unit: str = "bit") -> DataFrame:
+    """Pairs of fingerprint classes within the limit of some fingerprint type, with the nearest type and the numbers of files.
 
-    Ties go to the earlier type of `FINGERPRINTS`. `classes` is read once per type: pass a stored table.
+    Limits and distances are bits, or hex digits with `unit` char. Ties go to the earlier type of `FINGERPRINTS`. A value that several classes share meets others once:
+    the search is on distinct values, and the classes of a pair of values are put in afterwards. Classes that share a value are at distance 0.
+    `classes` is read several times per type: pass a stored table.
     """
     limits = thresholds or hashing.DEFAULT_THRESHOLDS
     found = []
     for order, hash_type in enumerate(FINGERPRINTS):
-        one = classes.select(F.col("class_id").alias("id"), F.col(hash_type).alias("h"))
-        found.append(near_pairs(one, limits[hash_type], rows).select(
-            "a", "b", F.struct(F.col("distance").alias("distance"), F.lit(order).alias("order")).alias("hit")
-        ))
-    nearest = reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.min("hit").alias("hit"))
+        values = materialise(classes.groupBy(F.col(hash_type).alias("h")).agg(F.min("class_id").alias("id"), F.count("*").alias("n")), hash_type)
+        near = near_pairs(values.select("id", "h"), limits[hash_type], rows, unit=unit).select("ha", "hb", "distance")
+        shared = values.filter("n > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(0).alias("distance"))
+        met = materialise(near.unionByName(shared), f"near-{hash_type}")
+        side = lambda n: classes.select(F.col(hash_type).alias(f"h{n}"), F.col("class_id").alias(n), F.col("copies").alias(f"copies_{n}"))  # noqa: B023, E731
+        pairs = met.join(side("a"), "ha").join(side("b"), "hb").filter((F.col("ha") != F.col("hb")) | (F.col("a") < F.col("b")))
+        least, most = (pick(F.struct("a", "copies_a"), F.struct(F.col("b").alias("a"), F.col("copies_b").alias("copies_a"))) for pick in (F.least, F.greatest))
+        found.append(pairs.select(least.alias("x"), most.alias("y"), F.struct(F.col("distance").alias("distance"), F.lit(order).alias("order")).alias("hit")))
+    nearest = reduce(DataFrame.unionByName, found).groupBy("x", "y").agg(F.min("hit").alias("hit"))
     names = F.array(*[F.lit(t) for t in FINGERPRINTS])
     distance = F.col("hit.distance")
     return nearest.select(
-        "a", "b", F.get(names, F.col("hit.order")).alias("hash_type"), distance.alias("distance"),
+        F.col("x.a").alias("a"), F.col("y.a").alias("b"), F.get(names, F.col("hit.order")).alias("hash_type"), distance.alias("distance"),
         hashing.similarity(distance).alias("similarity"), hashing.confidence_tier(distance).alias("confidence"),
+        F.col("x.copies_a").alias("copies_a"), F.col("y.copies_a").alias("copies_b"),
     )
 
 
-def all_duplicates(wide: DataFrame, rows: int, thresholds: dict[str, int] | None = None) -> DataFrame:
+def all_duplicates(wide: DataFrame, rows: int, thresholds: dict[str, int] | None = None, unit: str = "bit") -> DataFrame:
     """All near-duplicate pairs between fingerprint classes, with the number of files on each side."""
-    classes = materialise(fingerprint_classes(wide), "classes")
-    return with_class_sizes(best_pairs(classes, rows, thresholds), classes)
-
-
-def with_class_sizes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    sizes = classes.select("class_id", "copies")
-    left = sizes.select(F.col("class_id").alias("a"), F.col("copies").alias("copies_a"))
-    right = sizes.select(F.col("class_id").alias("b"), F.col("copies").alias("copies_b"))
-    return pairs.join(left, "a").join(right, "b")
+    return best_pairs(materialise(fingerprint_classes(wide), "classes"), rows, thresholds, unit)
 
 
-def duplicate_breakdown(wide: DataFrame, rows: int) -> DataFrame:
+def duplicate_breakdown(wide: DataFrame, rows: int, unit: str = "bit") -> DataFrame:
     """Pairs of files per confidence tier and fingerprint type, tiers without pairs included.
 
     Copies inside a class match in every type at distance 0 and count as first-type, high-confidence pairs.
     """
     classes = materialise(fingerprint_classes(wide), "classes")
-    between = with_class_sizes(best_pairs(classes, rows), classes).select(
+    between = best_pairs(classes, rows, unit=unit).select(
         "confidence", "hash_type", (F.col("copies_a") * F.col("copies_b")).alias("pairs")
     )
     n = F.col("copies")
@@ -151,16 +143,17 @@ def duplicate_breakdown(wide: DataFrame, rows: int) -> DataFrame:
 
 
 def similar_pairs_per_type(wide: DataFrame, rows: int, min_similarity: float = 0.8,
-                           types: tuple[str, ...] = ("phash", "ahash", "dhash")) -> DataFrame:
+                           types: tuple[str, ...] = ("phash", "ahash", "dhash"), unit: str = "bit") -> DataFrame:
     """Ordered pairs of distinct hash values per type whose similarity reaches the limit, both directions.
 
-    The score divides a digit distance by the number of bits, so a similarity of 0.8 allows 12 digits.
+    The score divides a distance in bits by the number of bits. With `unit` char it divides a distance in digits by
+    the number of bits all the same, so a similarity of 0.8 allows 12 of 16 digits.
     """
     limit = int((1 - min_similarity) * 4 * hashing.HASH_CHARS + 1e-9)
     found = []
     for hash_type in types:
         values = materialise(distinct_hashes(wide, hash_type), hash_type)
-        pairs = near_pairs(values.select("id", "h"), limit, rows)
+        pairs = near_pairs(values.select("id", "h"), limit, rows, unit=unit)
         sizes_a = values.select(F.col("id").alias("a"), F.col("copies").alias("copies_a"))
         sizes_b = values.select(F.col("id").alias("b"), F.col("copies").alias("copies_b"))
         sized = pairs.join(sizes_a, "a").join(sizes_b, "b")

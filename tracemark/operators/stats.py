@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemark.operators.ranking import running_totals
 from tracemark.session import materialise
 
 
@@ -58,8 +59,8 @@ def exact_median(rows: DataFrame, key: str, value: str, name: str, accuracy: int
     """Exact median per key without sorting a whole group in one task.
 
     A sketch brackets the middle of every group; rows below the bracket are only counted, rows inside it are
-    reduced to distinct values with counts and ranked. The sketch's rank error is below 1/accuracy, so the
-    bracket always holds the median and about a thousandth of the group (plus ties, which share one row).
+    reduced to distinct values with counts and ranked block by block. The sketch's rank error is below 1/accuracy, so the
+    bracket always holds the median and about a thousandth of the group (plus ties, which share one row), and no task ranks a whole bracket.
     """
     step = 3.0 / accuracy
     valued = rows.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
@@ -68,8 +69,7 @@ def exact_median(rows: DataFrame, key: str, value: str, name: str, accuracy: int
         "k", "n", F.get("b", F.lit(0)).alias("low"), F.get("b", F.lit(1)).alias("high"))
     placed = valued.join(materialise(lows, "median-brackets"), "k").withColumn("v", F.when(F.col("v") >= F.col("low"), F.col("v"))).filter("v is null or v <= high")
     counts = placed.groupBy("k", "v", "n").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("k").orderBy(F.asc_nulls_first("v"))
-    ranked = counts.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = running_totals(counts, ["k"], ["v"], "c", "upto")  # the row of those below has no value and comes first
     first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
     return ranked.groupBy("k").agg(((at(first) + at(second)) / 2).alias(name)).withColumnRenamed("k", key)

@@ -56,7 +56,7 @@ def list_files(t):
     WHERE status = 'active' AND (filename ILIKE '%SRC7%' OR file_path ILIKE '%SRC7%' OR metadata ILIKE '%SRC7%')
     ORDER BY created_at DESC, file_id DESC LIMIT 50""", ("media_files",))
 def search_files(t):
-    return catalog.search(_files(t), "SRC7", ("filename", "file_path", "metadata")).select("file_id", "file_path")
+    return catalog.search(_files(t), "SRC7", ("filename", "file_path", "metadata"), limit=50).select("file_id", "file_path")
 
 
 @query("P05_lookup_by_path", """

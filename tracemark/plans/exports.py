@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
+from tracemark.functions import files as ff
+from tracemark.functions import payloads as pl
 from tracemark.operators import catalog
 from tracemark.plans.registry import query
 from tracemark.session import shared_folder
@@ -123,6 +126,33 @@ def json_columns(t):
     return parsed.select("event_id", F.col("p.k").alias("k"), F.to_json(F.struct(F.col("p.k").alias("k"), F.col("event_type").alias("type"))).alias("payload"))
 
 
+_PAYLOAD = """
+    CASE WHEN k % 10 = 9 THEN '{"k":' WHEN k % 4 = 0 THEN props WHEN k % 4 = 1 THEN '{"k":"' || k || '","note":null}'
+         WHEN k % 4 = 2 THEN '{"k":{"value":' || k || ',"unit":"s"}}' ELSE '[' || k || ',true]' END"""
+
+
+def _payloads(t):
+    return t.events.select("event_id", "event_type", "k", pl.payload(F.expr(_PAYLOAD)).alias("p"))
+
+
+@query("F12_open_payloads", """
+    SELECT event_id, CASE WHEN k % 10 <> 9 THEN k END AS number, CASE WHEN k % 10 <> 9 AND k % 4 = 2 THEN 's' END AS unit,
+           CASE WHEN k % 10 = 9 THEN NULL WHEN k % 4 = 0 THEN 'OBJECT<k: BIGINT>' WHEN k % 4 = 1 THEN 'OBJECT<k: STRING, note: VOID>'
+                WHEN k % 4 = 2 THEN 'OBJECT<k: OBJECT<unit: STRING, value: BIGINT>>' ELSE 'ARRAY<VARIANT>' END AS shape FROM ev""", ("ev",))
+def open_payloads(t):
+    """Payloads of five shapes, one of them broken, read without a schema."""
+    p = F.col("p")
+    return _payloads(t).select("event_id", pl.first_of(p, "int", "$.k", "$.k.value", "$[0]").alias("number"), pl.first_of(p, "string", "$.k.unit").alias("unit"), pl.shape(p).alias("shape"))
+
+
+@query("F12_common_shapes", """
+    SELECT k % 2 AS parity, k % 4 = 3 AS listed, count(*) AS n, CASE WHEN k % 4 = 3 THEN 'ARRAY<VARIANT>' WHEN k % 2 = 0 THEN 'OBJECT<k: VARIANT>' ELSE 'OBJECT<k: STRING, note: VOID>' END AS shape
+    FROM ev WHERE k % 10 <> 9 GROUP BY ALL""", ("ev",))
+def common_shapes(t):
+    rows = _payloads(t).filter("p is not null").select((F.col("k") % 2).alias("parity"), (F.col("k") % 4 == 3).alias("listed"), "p")
+    return rows.groupBy("parity", "listed").agg(F.count("*").alias("n"), pl.common_shape(F.col("p")).alias("shape"))
+
+
 @query("P15_threshold_decisions", """
     SELECT item_id, confidence > 0.5 AS above, confidence >= 0.8 AS duplicate, confidence >= 0.38 AS misleading FROM result_envelope""", ("result_envelope",))
 def threshold_decisions(t):
@@ -130,6 +160,69 @@ def threshold_decisions(t):
     return t.result_envelope.select("item_id", (c > 0.5).alias("above"), (c >= 0.8).alias("duplicate"), (c >= 0.38).alias("misleading"))
 
 
+_KINDS = """
+    p AS (SELECT video_id, 8 * count(*) AS h, flatten(list(pixels ORDER BY frame_idx)) AS px FROM frames GROUP BY 1),
+    b AS (SELECT video_id, h, from_hex('424d' || le(24 * h + 54) || '00000000' || le(54) || le(40) || le(8) || le(h) || '01001800' || '00000000' || le(24 * h) || le(2835) || le(2835) || le(0) || le(0)
+              || array_to_string(list_transform(range(h), lambda y: array_to_string(list_transform(px[8 * (h - 1 - y) + 1:8 * (h - y)], lambda v: repeat(printf('%02x', v), 3)), '')), '')) AS bmp FROM p),
+    f AS (SELECT video_id, h, CASE video_id % 8 WHEN 3 THEN bmp[:60] WHEN 6 THEN from_hex('') ELSE bmp END AS content,
+              'set-' || (video_id % 3) || '/' || video_id || CASE video_id % 8 WHEN 4 THEN '.png' WHEN 5 THEN '.xyz' ELSE '.bmp' END AS name FROM b)"""
+_LE = "(printf('%02x', ({0}) & 255) || printf('%02x', (({0}) >> 8) & 255) || printf('%02x', (({0}) >> 16) & 255) || printf('%02x', (({0}) >> 24) & 255))"
+_FILES = re.sub(r"\ble\(([^()]*)\)", lambda m: _LE.format(f"CAST({m[1]} AS BIGINT)"), _KINDS)
+
+
+def _pictures(t):
+    """Every video's frames, one above the other, as a picture file of 8 columns. One in eight is cut off, carries a wrong extension, an unknown one, is empty, or is not written."""
+    kind = F.col("video_id") % 8
+    sheets = t.frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "pixels"))).alias("s")).select(
+        "video_id", F.flatten(F.transform("s", lambda x: x["pixels"])).alias("px"), (F.size("s") * 8).alias("h"))
+    bmp = ff.bitmap(F.col("px"), 8, F.col("h"))
+    content = F.when(kind == 3, F.substring(bmp, 1, 60)).when(kind == 6, F.lit(b"")).otherwise(bmp)
+    name = F.concat(F.lit("set-"), F.col("video_id") % 3, F.lit("/"), "video_id", F.when(kind == 4, ".png").when(kind == 5, ".xyz").otherwise(".bmp"))
+    folder = _folder(t, "pictures")
+    expected = sheets.select("video_id", name.alias("name"), content.alias("content"))
+    sinks.write_files(expected.filter(kind != 7), folder).write.format("noop").mode("overwrite").save()
+    return folder, expected.select(F.concat(F.lit(f"{folder}/"), "name").alias("file_path"), "name")
+
+
+@query("S01_folder_scan", f"""{_FILES}
+    SELECT name, octet_length(content) AS file_size, regexp_extract(name, '[^/]*$') AS filename, 'image' AS file_type FROM f WHERE video_id % 8 NOT IN (5, 6, 7)""", ("frames",))
+def folder_scan(t):
+    folder, expected = _pictures(t)
+    return files.register_files(files.scan_directory(t.spark, folder)).join(expected, "file_path").select("name", "file_size", "filename", "file_type")
+
+
+@query("S04_picture_pixels", f"""{_FILES}
+    SELECT name, CASE WHEN video_id % 8 = 3 THEN -1 ELSE h END AS height, CASE WHEN video_id % 8 = 3 THEN -1 ELSE 8 END AS width,
+           CASE WHEN video_id % 8 = 3 THEN '' ELSE hex(content[55:]) END AS data FROM f WHERE video_id % 8 NOT IN (6, 7)""", ("frames",))
+def picture_pixels(t):
+    """Decoded pixels, bottom row first as the files hold them; a file cut off can't be decoded."""
+    folder, expected = _pictures(t)
+    rows = files.read_images(t.spark, folder).join(expected, "file_path")
+    line = lambda y: F.substring("data", y * 24 + 1, F.lit(24))
+    flipped = F.array_join(F.transform(F.sequence(F.col("height") - 1, F.lit(0)), lambda y: F.hex(line(y))), "")
+    return rows.select("name", "height", "width", F.when(F.col("height") > 0, flipped).otherwise("").alias("data"))
+
+
+@query("P08_file_validation", f"""{_FILES}
+    SELECT name, video_id % 8 NOT IN (6, 7) AS exists, video_id % 8 NOT IN (6, 7) AS file_size_valid, CASE WHEN video_id % 8 NOT IN (6, 7) THEN video_id % 8 <> 4 END AS format_matches_extension,
+           CASE WHEN video_id % 8 IN (6, 7) THEN 'unknown' WHEN video_id % 8 = 3 THEN 'failed' ELSE 'passed' END AS corruption_check FROM f WHERE video_id % 8 <> 5""", ("frames",))
+def file_validation(t):
+    """Existence, size, format and decoding of real files; missing and empty ones are known from the expected paths."""
+    folder, expected = _pictures(t)
+    wanted = expected.filter(ff.is_media(F.col("file_path")))
+    checked = files.validate_files(files.scan_directory(t.spark, folder), files.read_images(t.spark, folder), wanted)
+    return checked.join(wanted, "file_path").select("name", "exists", "file_size_valid", "format_matches_extension", "corruption_check")
+
+
+@query("I23_comprehensive_metadata", f"""{_FILES}
+    SELECT name, octet_length(content) AS file_size, round(octet_length(content) / 1048576.0::DOUBLE, 2) AS size_mb, CASE WHEN video_id % 8 = 4 THEN 'image/png' ELSE 'image/bmp' END AS mime_type,
+           md5(content) AS md5, sha256(content) AS sha256, CASE WHEN video_id % 8 = 3 THEN -1 ELSE h END AS height, video_id % 8 <> 4 AS format_matches_extension FROM f WHERE video_id % 8 NOT IN (5, 6, 7)""", ("frames",))
+def comprehensive_metadata(t):
+    folder, expected = _pictures(t)
+    rows = files.comprehensive_metadata(files.scan_directory(t.spark, folder), files.read_images(t.spark, folder)).join(expected, "file_path")
+    return rows.select("name", "file_info.file_size", "file_info.size_mb", "file_info.mime_type", "hashes.md5", "hashes.sha256", "technical_data.height", "validation.format_matches_extension")
+
+
 @query("P08_format_checks", """
     SELECT doc_id AS file_id, n_chars > 0 AS file_size_valid, doc_id % 6 <> 5 AS is_valid FROM documents""")
 def format_checks(t):

@@ -38,6 +38,20 @@ def stride_sample(t):
     return _long(t).filter(fr.stride_sample(_idx(), _n(), 20)).select("video_id", "frame_idx")
 
 
+@query("I01_face_counted_sample", """
+    ln AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS frame_idx, count(*) OVER (PARTITION BY event_type) AS n,
+                  CASE WHEN event_id % 3 = 0 THEN event_id % 4 ELSE 0 END AS faces FROM events),
+    s AS (SELECT * FROM ln WHERE frame_idx % greatest(1, n // 500) = 0),
+    c AS (SELECT *, coalesce(sum(faces) OVER (PARTITION BY event_type ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+    SELECT event_type AS video_id, frame_idx, faces FROM c WHERE before < 50""")
+def face_counted_sample(t):
+    """All events of a type as the frames of one long video, a few with faces; sampling stops once 50 faces were seen."""
+    placed = positions(t.read("events").select(F.col("event_type").alias("video_id"), "event_id"), ["video_id"], ["event_id"])
+    faces = F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 4).otherwise(0)
+    frames = placed.select("video_id", (F.col("position") - 1).alias("frame_idx"), F.col("group_size").alias("n_frames"), faces.alias("faces"))
+    return fr.until_counted(frames.filter(_idx() % F.greatest(F.lit(1), F.floor(_n() / 500)) == 0), "faces").select("video_id", "frame_idx", "faces")
+
+
 @query("I02_interval_sample", f"{_LONG} SELECT video_id, frame_idx FROM ln WHERE frame_idx % 30 = 0")
 def interval_sample(t):
     return _long(t).filter(fr.interval_sample(_idx())).select("video_id", "frame_idx")
@@ -322,7 +336,7 @@ def confidence_series(t):
     {_ENS} SELECT video_id, frame_idx, face_idx, fake AS is_fake FROM (
         SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx, face_idx) AS r FROM es) WHERE r <= 5""", ("faces",))
 def first_faces(t):
-    return fr.first_faces(_scored(t)).select("video_id", "frame_idx", "face_idx", "is_fake")
+    return fr.first_faces(_scored(t), 5).select("video_id", "frame_idx", "face_idx", "is_fake")
 
 
 _BOX = """bx AS (SELECT *, (x2c - x1c) * (y2c - y1c) AS area FROM (SELECT *, greatest(0, least(x1, 40)) AS x1c, greatest(0, least(y1, 40)) AS y1c,

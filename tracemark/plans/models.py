@@ -12,10 +12,13 @@ from tracemark.operators import frames as fr
 from tracemark.operators import hooks, models
 from tracemark.operators import pixels as px
 from tracemark.plans.registry import query
-from tracemark.session import by_key, shared_folder, spread
+from tracemark.session import by_key, materialise, shared_folder, spread
+from tracemark.sources import files
+from tracemark.sources.model_store import ModelStore
 from tracemark.streaming import cache as ttl
 from tracemark.streaming import jobs
 from tracemark.streaming.registry import UploadRegistry, watch_uploads
+from tracemark.streaming.upserts import UpsertTable, watch_changes
 
 _SPLIT = """sp AS (SELECT id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(id || '|42')) <= ceil(round(count(*) OVER (PARTITION BY label) * 0.85::DOUBLE, 6))
     THEN 'train' ELSE 'test' END AS split FROM training)"""
@@ -28,9 +31,41 @@ def stratified_split(t):
 
 @query("T05_T06_baseline_predictions")
 def baseline_predictions(t):
-    rows = models.stratified_split(t.training, "id", "label")
-    model = models.train_baseline(by_key(rows.filter("split = 'train'"), "id"))
-    return models.predict_baseline(model, rows.filter("split = 'test'").select("id", "label", "text")).select("id", "label", "predicted", F.round("probability", 6).alias("probability"))
+    model, held_out = _baseline(t)
+    return models.predict_baseline(model, held_out.select("id", "label", "text")).select("id", "label", "predicted", F.round("probability", 6).alias("probability"))
+
+
+def _baseline(t):
+    rows = materialise(models.stratified_split(t.training, "id", "label"), "split")
+    return models.train_baseline(by_key(rows.filter("split = 'train'"), "id")), rows.filter("split = 'test'")
+
+
+@query("T14_model_attribution")
+def model_attribution(t):
+    """Why the trained baseline says what it says of the texts it was not trained on."""
+    model, held_out = _baseline(t)
+    return models.explain_model(by_key(held_out.select(F.col("id").alias("doc_id"), "text"), "doc_id"), models.baseline_scorer(model)).withColumn("weight", F.round("weight", 6))
+
+
+@query("T07_retraining", """
+    n AS (SELECT count(*) AS rows, count(*) FILTER (label = 1) AS misleading FROM training WHERE regexp_matches(text, '[^\\s]'))
+    SELECT 1 AS step, 1 AS version, TRUE AS trained, rows FROM n UNION ALL SELECT 2, 1, FALSE, rows FROM n UNION ALL SELECT 3, 2, TRUE, rows + misleading FROM n""", ("training",))
+def retraining(t):
+    """Train on two folders of labelled files, ask again, add a file, ask again: trained, loaded, trained. The model in use scores all rows of its files."""
+    folder = _work(t, "corpora")
+    write = lambda label, mode: t.training.filter(F.col("label") == label).select("text").write.mode(mode).option("header", True).option("escape", '"').csv(f"{folder}/source/{label}")
+    read = lambda: files.combine_corpora(*(files.read_labelled_csv(t.spark, f"{folder}/source/{label}") for label in (0, 1)))
+    store = ModelStore(t.spark, f"{folder}/models")
+    for label in (0, 1):
+        write(label, "overwrite")
+    steps = []
+    for step in (1, 2, 3):
+        if step == 3:
+            write(1, "append")
+        model, version, trained = store.current(f"{folder}/source", lambda: models.train_baseline(read()))
+        # counted now: scans of a folder are one scan to a plan, whatever was added to it in between
+        steps.append((step, version, trained, models.predict_baseline(model, read()).filter("predicted is not null").count()))
+    return t.spark.createDataFrame(steps, "step int, version int, trained boolean, rows long")
 
 
 @query("T06_baseline_rule", """
@@ -64,7 +99,7 @@ def token_attribution(t):
 @query("T14_token_weights", """
     w AS (SELECT DISTINCT id, label, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS word FROM training),
     c AS (SELECT word, count(*) FILTER (label = 1) AS f, count(*) FILTER (label = 0) AS r, count(*) AS n FROM w GROUP BY 1)
-    SELECT word, round(ln((f + 1.0::DOUBLE) / (r + 1.0::DOUBLE)), 6) AS weight FROM c ORDER BY n DESC, word LIMIT 20000""", ("training",))
+    SELECT word, round(ln((f + 1.0::DOUBLE) / (r + 1.0::DOUBLE)), 6) AS weight FROM c""", ("training",))
 def token_weights(t):
     return models.token_weights(t.training).withColumn("weight", F.round("weight", 6))
 
@@ -98,6 +133,25 @@ def process_items(t):
     return done.groupBy("video_id", "success", "error").agg(F.count("*").alias("n"))
 
 
+@query("X05_exported_items", """
+    SELECT item_id, detection_mode, CAST(is_fake AS BOOLEAN) AS is_fake, NULL AS error FROM result_envelope WHERE error IS NULL
+    UNION ALL SELECT item_id, NULL, NULL, 'ValueError: ' || error FROM result_envelope WHERE error IS NOT NULL""", ("result_envelope",))
+def exported_items(t):
+    """Every result handed to an export function that takes no failed ones; the lines of committed files, and the failures listed with them."""
+    def line(row: dict) -> bytes:
+        import json
+
+        if row["error"]:
+            raise ValueError(row["error"])
+        return (json.dumps({k: row[k] for k in ("item_id", "detection_mode", "is_fake")}) + "\n").encode()
+
+    folder = _work(t, "exported")
+    hooks.export_parts(t.result_envelope.select("item_id", "detection_mode", "is_fake", "error"), "item_id", line, folder)
+    done = hooks.exported_lines(t.spark, folder).select(F.from_json("value", "item_id long, detection_mode string, is_fake boolean").alias("r")).select("r.*", F.lit(None).cast("string").alias("error"))
+    failed = hooks.exported_files(t.spark, folder).select(F.explode("failed").alias("f"))
+    return done.unionByName(failed.select(F.col("f.key").cast("long").alias("item_id"), F.lit(None).cast("string").alias("detection_mode"), F.lit(None).cast("boolean").alias("is_fake"), "f.error"))
+
+
 @query("X02_user_hash", "SELECT doc_id AS file_id, md5(text) AS hash FROM documents")
 def user_hash(t):
     def digest(content: bytes) -> str:
@@ -168,6 +222,18 @@ def upload_check(t):
     return registry.verdicts()
 
 
+@query("U05_streamed_upserts", """
+    SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def streamed_upserts(t):
+    """The latest event of every user, kept by insert-or-replace as the events come."""
+    folder = _work(t, "upserts")
+    version = F.struct("ts", "event_id").alias("version")
+    table = UpsertTable(t.spark, folder, "user_id long, version struct<ts: timestamp_ntz, event_id: long>, event_type string", ("user_id",), "version")
+    watch_changes(_stream(t, "events").select("user_id", version, "event_type"), table, f"{folder}/checkpoint").awaitTermination()
+    batches = table.outcomes().agg(F.max("batch")).first()[0]
+    return table.rows(0 if batches is None else batches + 1).select("user_id", "version.event_id", "event_type", "version.ts")
+
+
 @query("R02_expiring_cache", """
     WITH RECURSIVE
     e AS (SELECT DISTINCT md5(event_type || '|' || user_id) AS cache_key, ts FROM events),

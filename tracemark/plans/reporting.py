@@ -240,3 +240,13 @@ def explanation(t):
 def exif_categories(t):
     rows = t.result_envelope.select("item_id", metadata.tag_categories(F.col("metadata")).alias("c"))
     return rows.select("item_id", F.size("c.gps").alias("gps"), F.size("c.other").alias("other"))
+
+
+@query("L06_batch_table", """
+    r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY item_id) AS line_no FROM result_envelope)
+    SELECT job_id, line_no, substr('evidence ' || detection_mode || ' file ' || item_id, 1, 20) AS file_name, CASE WHEN error IS NULL THEN 'completed' ELSE 'error' END AS status,
+           CASE WHEN is_fake THEN 'Yes' ELSE 'No' END AS fake, CASE WHEN is_duplicate THEN 'Yes' ELSE 'No' END AS duplicate, printf('%.2f', confidence) AS confidence FROM r WHERE line_no <= 20""",
+       ("result_envelope",))
+def batch_table(t):
+    name = F.concat(F.lit("evidence "), "detection_mode", F.lit(" file "), "item_id")
+    return reporting.batch_table(t.result_envelope, "job_id", "item_id", name)

@@ -71,21 +71,38 @@ def similar_to_newest(t):
     return sim.similar_to_hash(wide, target, "ahash", threshold=12).select("file_id", "distance")
 
 
-@query("J04_all_pairs_duplicates", f"""
+def _bits(hash_type: str, a: str = "x", b: str = "y") -> str:
+    return f"bit_count(xor(('0x' || {a}.{hash_type})::UBIGINT, ('0x' || {b}.{hash_type})::UBIGINT))"
+
+
+_BIT_DISTANCES = f"{_bits('dhash')} AS dd, {_bits('ahash')} AS da, {_bits('phash')} AS dp, {_bits('whash')} AS dw"
+_DIGIT_DISTANCES = """hamming(x.dhash, y.dhash) AS dd, hamming(x.ahash, y.ahash) AS da,
+                     hamming(x.phash, y.phash) AS dp, hamming(x.whash, y.whash) AS dw"""
+
+
+def _all_pairs_sql(distances: str) -> str:
+    return f"""
     {_CLASSES},
-    pairs AS (SELECT x.class_id AS a, y.class_id AS b, x.copies AS copies_a, y.copies AS copies_b,
-                     hamming(x.dhash, y.dhash) AS dd, hamming(x.ahash, y.ahash) AS da,
-                     hamming(x.phash, y.phash) AS dp, hamming(x.whash, y.whash) AS dw
+    pairs AS (SELECT x.class_id AS a, y.class_id AS b, x.copies AS copies_a, y.copies AS copies_b, {distances}
               FROM classes x JOIN classes y ON x.class_id < y.class_id),
     {_BEST}
     SELECT a, b, copies_a, copies_b, hash_type, distance, round(1 - distance / 64.0::DOUBLE, 6) AS similarity,
            CASE WHEN distance <= 2 THEN 'high' WHEN distance <= 5 THEN 'medium' ELSE 'low' END AS confidence
-    FROM best""", ("media_hashes_wide",))
+    FROM best"""
+
+
+@query("J04_all_pairs_duplicates", _all_pairs_sql(_BIT_DISTANCES), ("media_hashes_wide",))
 def all_pairs(t):
     pairs = sim.all_duplicates(t.media_hashes_wide, _rows(t))
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("J04_all_pairs_by_digits", _all_pairs_sql(_DIGIT_DISTANCES), ("media_hashes_wide",))
+def all_pairs_by_digits(t):
+    pairs = sim.all_duplicates(t.media_hashes_wide, _rows(t), unit="char")
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("J04_fingerprint_members", f"""
     {_CLASSES}
     SELECT file_id, class_id, copies FROM media_hashes_wide JOIN classes USING (dhash, ahash, phash, whash)""",
@@ -94,18 +111,28 @@ def members(t):
     return sim.class_members(t.media_hashes_wide)
 
 
-@query("J05_similar_pairs_per_type", """
+def _pairs_per_type_sql(distance: str) -> str:
+    return f"""
     v AS (SELECT hash_type, hash_value, min(file_id) AS id, count(*) AS copies FROM media_hashes
           WHERE hash_type IN ('phash', 'ahash', 'dhash') GROUP BY 1, 2)
     SELECT x.hash_type, x.id AS file_a, y.id AS file_b, x.copies AS copies_a, y.copies AS copies_b,
-           round(1 - hamming(x.hash_value, y.hash_value) / 64.0::DOUBLE, 6) AS similarity
+           round(1 - {distance} / 64.0::DOUBLE, 6) AS similarity
     FROM v x JOIN v y ON x.hash_type = y.hash_type AND x.id <> y.id
-    WHERE 1 - hamming(x.hash_value, y.hash_value) / 64.0::DOUBLE >= 0.8""", ("media_hashes",))
+    WHERE 1 - {distance} / 64.0::DOUBLE >= 0.8"""
+
+
+@query("J05_similar_pairs_per_type", _pairs_per_type_sql(_bits("hash_value")), ("media_hashes",))
 def pairs_per_type(t):
     pairs = sim.similar_pairs_per_type(t.media_hashes_wide, _rows(t))
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("J05_similar_pairs_by_digits", _pairs_per_type_sql("hamming(x.hash_value, y.hash_value)"), ("media_hashes",))
+def pairs_by_digits(t):
+    pairs = sim.similar_pairs_per_type(t.media_hashes_wide, _rows(t), unit="char")
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
 _REQUESTS = """
     latest AS (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM documents),
     requests AS (SELECT doc_id AS file1_id, (doc_id * 7 + 3) % (hi + 1) AS file2_id FROM documents, latest)"""
@@ -187,10 +214,9 @@ def matches_with_files(t):
     return sim.attach_files(matches, t.media_files, "similar_id")
 
 
-@query("A07_duplicate_breakdown", f"""
-    pairs AS (SELECT x.file_id AS a, y.file_id AS b, 1 AS copies_a, 1 AS copies_b,
-                     hamming(x.dhash, y.dhash) AS dd, hamming(x.ahash, y.ahash) AS da,
-                     hamming(x.phash, y.phash) AS dp, hamming(x.whash, y.whash) AS dw
+def _breakdown_sql(distances: str) -> str:
+    return f"""
+    pairs AS (SELECT x.file_id AS a, y.file_id AS b, 1 AS copies_a, 1 AS copies_b, {distances}
               FROM media_hashes_wide x JOIN media_hashes_wide y ON x.file_id < y.file_id),
     {_BEST},
     grid AS (SELECT * FROM (VALUES ('high'), ('medium'), ('low')) c(confidence),
@@ -198,11 +224,19 @@ def matches_with_files(t):
     n AS (SELECT CASE WHEN distance <= 2 THEN 'high' WHEN distance <= 5 THEN 'medium' ELSE 'low' END AS confidence,
                  hash_type, count(*) AS pairs FROM best GROUP BY 1, 2)
     SELECT confidence, hash_type, CAST(coalesce(n.pairs, 0) AS BIGINT) AS pairs
-    FROM grid LEFT JOIN n USING (confidence, hash_type)""", ("media_hashes_wide",))
+    FROM grid LEFT JOIN n USING (confidence, hash_type)"""
+
+
+@query("A07_duplicate_breakdown", _breakdown_sql(_BIT_DISTANCES), ("media_hashes_wide",))
 def duplicate_breakdown(t):
     return sim.duplicate_breakdown(t.media_hashes_wide, _rows(t))
 
 
+@query("A07_breakdown_by_digits", _breakdown_sql(_DIGIT_DISTANCES), ("media_hashes_wide",))
+def breakdown_by_digits(t):
+    return sim.duplicate_breakdown(t.media_hashes_wide, _rows(t), unit="char")
+
+
 @query("U06_unordered_pairs", """
     SELECT DISTINCT least(user_id, k) AS low, greatest(user_id, k) AS high FROM ev WHERE user_id <> k""", ("ev",))
 def unordered_pairs(t):

@@ -64,7 +64,7 @@ def sentences(t):
 
 @query("T03_W05_claims", "SELECT doc_id, claim_no, claim FROM claims", ("claims",))
 def claims(t):
-    return cl.rank_claims(t.read("documents").select("doc_id", "text"))
+    return cl.rank_claims(t.read("documents").select("doc_id", "text"), prefix=500)
 
 
 @query("J12_fact_check", """

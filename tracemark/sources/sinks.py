@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,3 +116,31 @@ def append_jobs(jobs: DataFrame, path: str) -> None:
 def write_split_dataset(crops: DataFrame, path: str) -> None:
     """Training crops by split and label folders."""
     crops.write.mode("overwrite").partitionBy("split", "label").parquet(path)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """One file per row of `files` (`name`, relative to the folder, and binary `content`), written by the executors; returns name and length of each.
+
+    `folder` is one that every executor reaches. A file is written under a name of its own attempt and moved to its place when complete, so readers meet
+    no half-written file and an attempt that comes again puts the same bytes in the same place. Rows without a name or content are left out.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            names, contents = batch.column("name").to_pylist(), batch.column("content")
+            for name, content in zip(names, contents):
+                target = f"{base}/{name}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{target}._{attempt}") as out:
+                    out.write(content.as_buffer())
+                system.move(f"{target}._{attempt}", target)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array([len(c.as_buffer()) for c in contents], pa.int64())], ["name", "length"])
+
+    rows = files.where("name is not null and content is not null").select("name", F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(run, "name string, length long")

@@ -267,7 +267,7 @@ class Tables:
     @cached_property
     def claims(self) -> DataFrame:
         """Three best sentences of every document, stored once for the steps that follow."""
-        return materialise(claim_ops.rank_claims(self.read("documents").select("doc_id", "text")), "claims")
+        return materialise(claim_ops.rank_claims(self.read("documents").select("doc_id", "text"), prefix=500), "claims")
 
     @cached_property
     def evidence(self) -> DataFrame:
