@@ -11,7 +11,8 @@ those found in more classes than one. Tokens of a single class stand first in ev
 tokens than k links with nothing and is done. What is left, the shared tokens of each class from rare to frequent, is enough for prefixes, matches and verification.
 
 Groups of near copies are not turned into all their pairs. The members of a token's list first meet a leader each, the member whose tokens are the most frequent; after that only members of
-different components meet: further leaders first, and at the end all pairs of a list that are still apart. Crowded lists are cut into tiles. No list is capped.
+different components meet: further leaders first, and at the end all pairs of a list that are still apart and whose bitmaps let them link. In a bitmap every token toggles one bit; two sets differ in no
+fewer tokens than their bitmaps in bits, so the test loses nothing, and documents that have a passage in common but little else don't become pairs. Crowded lists are cut into tiles. No list is capped.
 
 Edge cases: null or empty texts have an empty set, link with nothing and are their own component. With fewer words than a shingle has,
 the whole word sequence is the one shingle. Rows that repeat an id are judged one by one. Other columns are ignored. Empty tables give empty results.
@@ -19,10 +20,12 @@ the whole word sequence is the one shingle. Rows that repeat an id are judged on
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemark.llm.common import mix, slices, texts
@@ -38,6 +41,9 @@ VERIFY = 0.05
 #: Members of a list in one tile of its last comparison.
 TILE_ROWS = 2_000
 LEADER_ROUNDS = 3
+#: Bits of the bitmaps.
+BITMAP = 512
+MAPS = [f"b{i}" for i in range(BITMAP // 64)]
 
 
 def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -121,6 +127,12 @@ def _shared(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("range").applyInArrow(count, "chunk long, tokens binary, owners binary, pieces int, df binary")
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the tokens that a hash sends to each bit, as 64-bit words."""
+    odd = np.bincount((mix(tokens) % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_matches(n: int, unique: int, df: np.ndarray, percent: int) -> int:
     """The m of least cost for a set of `n` tokens of which `unique` are in no other set, the rest in `df` sets each, from rare to frequent."""
     share = -(-n * percent // 100)
@@ -153,12 +165,13 @@ def linkable(docs: DataFrame, classes: DataFrame, total: int, percent: int = PER
             unique = n - int(ends[i + 1] - ends[i])
             m = prefix_matches(n, unique, df[mine], percent)
             shared = tokens[mine].view(np.int64)
-            rows.append((int(cls[i : i + 1].view(np.int64)[0]), n, m, int(df[mine].sum()), shared, shared[: n - -(-n * percent // 100) + m - unique]))
-        columns = list(zip(*rows)) if rows else [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["cls", "n", "m", "weight", "shared", "prefix"])
+            prefix = shared[: n - -(-n * percent // 100) + m - unique]
+            rows.append((int(cls[i : i + 1].view(np.int64)[0]), n, m, int(df[mine].sum()), shared, prefix, *bitmap(tokens[mine]).tolist()))
+        columns = list(zip(*rows)) if rows else [()] * (6 + len(MAPS))
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.int64()] * len(MAPS)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["cls", "n", "m", "weight", "shared", "prefix", *MAPS])
 
-    schema = "cls long, n long, m long, weight long, shared array<long>, prefix array<long>"
+    schema = "cls long, n long, m long, weight long, shared array<long>, prefix array<long>, " + ", ".join(f"{b} long" for b in MAPS)
     # rows without an id, or that repeat one, may bring a class twice
     return _shared(_pieces(one_each, shingle, bits)).groupBy("chunk").applyInArrow(gather, schema).dropDuplicates(["cls"])
 
@@ -190,17 +203,30 @@ def _led(here: DataFrame, led: DataFrame | None) -> DataFrame:
     return here.join(lead, "token").where("label <> lead_label").select("cls", "lead")
 
 
-def _all_apart(here: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list that are in different components and near enough in size, found under as many tokens as the smaller m asks for."""
-    crowded = here.groupBy("token").count().where(F.col("count") > TILE_ROWS).select("token", F.ceil(F.col("count") / TILE_ROWS).cast("int").alias("tiles"))
+def _all_apart(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list that are in different components, near enough in size and in bitmaps, found under as many tokens as the smaller m asks for.
+
+    Lists are divided by size: a size step is the ratio of sizes that can link, so a set meets its own step and the next one up.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    full = here.join(sets.select("cls", F.size("shared").alias("s"), *MAPS), "cls").withColumn("step", step)
+    crowded = full.groupBy("token", "step").count().where(F.col("count") > TILE_ROWS).select("token", "step", F.ceil(F.col("count") / TILE_ROWS).cast("int").alias("tiles"))
     crowded = bounded_broadcast(materialise(crowded, "crowded-lists"))
-    spread = here.join(crowded, "token", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("tiles")))
-    cells = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    left = cells.select("token", F.col("own").alias("row"), F.col("other").alias("col"), *(F.col(c).alias(f"{c}_l") for c in ("cls", "n", "m", "label")))
-    right = cells.select("token", F.col("other").alias("row"), F.col("own").alias("col"), *(F.col(c).alias(f"{c}_r") for c in ("cls", "n", "m", "label")))
-    near = 100 * F.least("n_l", "n_r") >= percent * F.greatest("n_l", "n_r")
-    met = left.join(right, ["token", "row", "col"]).where((F.col("cls_l") < F.col("cls_r")) & (F.col("label_l") != F.col("label_r")) & near)
-    counted = met.groupBy(F.col("cls_l").alias("a"), F.col("cls_r").alias("b")).agg(F.count("*").alias("found"), F.first(F.least("m_l", "m_r")).alias("m"))
+    columns = ["cls", "n", "s", "m", "label", *MAPS]
+    keys = ["token", "step", "row", "col"]
+    own, tiles = F.pmod(F.xxhash64("cls"), F.col("tiles")), lambda rows: rows.join(crowded, ["token", "step"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1))
+    # the left side comes under its own step and the next, where it looks for larger sets; tiles are those of the step looked at
+    left = tiles(full.withColumn("own_step", F.col("step")).withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1))))
+    left = left.withColumn("row", own).withColumn("col", other).select(*keys, "own_step", *(F.col(c).alias(f"{c}_l") for c in columns))
+    right = tiles(full).withColumn("col", own).withColumn("row", other).select(*keys, *(F.col(c).alias(f"{c}_r") for c in columns))
+    bits = sum((F.bit_count(F.col(f"{b}_l").bitwiseXOR(F.col(f"{b}_r"))) for b in MAPS[1:]), F.bit_count(F.col("b0_l").bitwiseXOR(F.col("b0_r"))))
+    most = F.col("s_l") + F.col("s_r") - bits  # twice the tokens in common, at the most
+    near = (100 * F.least("n_l", "n_r") >= percent * F.greatest("n_l", "n_r")) & ((100 + percent) * most >= 2 * percent * (F.col("n_l") + F.col("n_r")))
+    once = (F.col("own_step") < F.col("l.step")) | (F.col("cls_l") < F.col("cls_r"))
+    equal = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
+    met = left.alias("l").join(right.alias("r"), reduce(Column.__and__, [*equal, F.col("label_l") != F.col("label_r"), once, near]))
+    counted = met.groupBy(F.least("cls_l", "cls_r").alias("a"), F.greatest("cls_l", "cls_r").alias("b")).agg(F.count("*").alias("found"), F.first(F.least("m_l", "m_r")).alias("m"))
     return counted.where("found >= m").select("a", "b")
 
 
@@ -220,7 +246,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
             met = _led(here, led)
             pairs = met.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
         else:
-            pairs = _all_apart(here, percent)
+            pairs = _all_apart(here, sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "join-pairs")
