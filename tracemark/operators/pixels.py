@@ -1,20 +1,23 @@
-"""Pixel features, computed by small NumPy kernels inside Arrow batches.
+"""Pixel features, computed by NumPy kernels over stacks of pictures inside Arrow batches.
 
 A table of pictures has columns height, width and either `data` (bytes, with `channels`, blue first) or
-`pixels` (grey values). Spark partitions the pictures; a kernel sees one grey picture at a time and returns a
-few numbers, and all scores are ordinary columns over them. Sample before calling: filters do not move
+`pixels` (grey values). Spark partitions the pictures; a task stacks those of one shape, a bounded number of pixels at a time, and a kernel
+works along the first axis and returns a few columns, a value a picture. All scores are ordinary columns over them. Sample before calling: filters do not move
 through a Python step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pixels of one stack; a kernel's temporary arrays take about 200 bytes for each. A larger picture is a stack of its own.
+STACK_PIXELS = 1 << 19
 _GREY = np.array([0.114, 0.587, 0.299])
 
 
@@ -25,21 +28,47 @@ def _picture(row) -> np.ndarray:
     return np.frombuffer(row.data, dtype=np.uint8).astype(np.float64).reshape(row.height, row.width, -1)
 
 
-def _grey(picture: np.ndarray) -> np.ndarray:
-    return picture[:, :, 0] if picture.shape[2] == 1 else np.rint(picture[:, :, :3] @ _GREY)
+def _stacked(kernel: Callable[[np.ndarray], tuple]) -> Callable[[np.ndarray], tuple]:
+    """Let a kernel of stacks take a single picture as well, and give its values."""
 
+    @wraps(kernel)
+    def run(pictures: np.ndarray) -> tuple:
+        if pictures.ndim == 4:
+            return kernel(pictures)
+        return tuple(column[0] for column in kernel(pictures[None]))
 
-def _windows(grey: np.ndarray, size: int) -> np.ndarray:
-    padded = np.pad(grey, size // 2, mode="reflect") if min(grey.shape) > 1 else np.pad(grey, size // 2, mode="edge")
-    return np.lib.stride_tricks.sliding_window_view(padded, (size, size))
+    return run
+
+
+def _grey(pictures: np.ndarray) -> np.ndarray:
+    return pictures[..., 0] if pictures.shape[-1] == 1 else np.rint(pictures[..., :3] @ _GREY)
+
+
+def _padded(grey: np.ndarray, by: int) -> np.ndarray:
+    edges = [(0, 0)] * (grey.ndim - 2) + [(by, by)] * 2
+    return np.pad(grey, edges, mode="reflect" if min(grey.shape[-2:]) > 1 else "edge")
 
 
 def _filter(grey: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    return np.einsum("ijkl,kl->ij", _windows(grey, kernel.shape[0]), kernel)
+    """Correlation with a small kernel, tap by tap."""
+    h, w = grey.shape[-2:]
+    padded, out = _padded(grey, kernel.shape[0] // 2), np.zeros(grey.shape)
+    for (i, j), tap in np.ndenumerate(kernel):
+        if tap:
+            out += tap * padded[..., i : i + h, j : j + w]
+    return out
+
+
+def _correlated(grey: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Correlation of a stack with a kernel, or a stack of kernels, where these fit in whole, by Fourier transforms."""
+    size, inner = grey.shape[-2:], kernel.shape[-2:]
+    spectrum = np.fft.rfft2(grey) * np.conj(np.fft.rfft2(kernel, s=size))
+    return np.fft.irfft2(spectrum, s=size)[..., : size[0] - inner[0] + 1, : size[1] - inner[1] + 1]
 
 
 _LAPLACE = np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]], dtype=np.float64)
 _SOBEL_X = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], dtype=np.float64)
+_PLANE = (-2, -1)
 
 
 def _gradient(grey: np.ndarray) -> np.ndarray:
@@ -59,7 +88,7 @@ def _resample(length: int, target: int) -> np.ndarray:
 
 
 def _shrink(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    return _resample(grey.shape[0], height) @ grey @ _resample(grey.shape[1], width).T
+    return _resample(grey.shape[-2], height) @ grey @ _resample(grey.shape[-1], width).T
 
 
 def _cosines(n: int) -> np.ndarray:
@@ -70,88 +99,101 @@ def _cosines(n: int) -> np.ndarray:
     return basis
 
 
-def _hex(bits: np.ndarray) -> str:
-    return np.packbits(bits.astype(np.uint8).ravel()).tobytes().hex()
+def _hex(bits: np.ndarray) -> list[str]:
+    return [row.tobytes().hex() for row in np.packbits(bits.reshape(len(bits), -1).astype(np.uint8), axis=1)]
 
 
-def perceptual_hashes(picture: np.ndarray) -> tuple:
-    grey = _grey(picture)
+@_stacked
+def perceptual_hashes(pictures: np.ndarray) -> tuple:
+    grey = _grey(pictures)
     wide, small = _shrink(grey, 8, 9), _shrink(grey, 8, 8)
     basis = _cosines(32)
-    low = (basis @ _shrink(grey, 32, 32) @ basis.T)[:8, :8]
-    return (_hex(np.round(wide[:, 1:] - wide[:, :-1], 6) > 0), _hex(small > small.mean()), _hex(low > np.median(low)), _hex(small > np.median(small)))
+    low = (basis @ _shrink(grey, 32, 32) @ basis.T)[:, :8, :8]
+    above = lambda values, middle: _hex(values > middle(values, axis=_PLANE, keepdims=True))
+    return (_hex(np.round(wide[:, :, 1:] - wide[:, :, :-1], 6) > 0), above(small, np.mean), above(low, np.median), above(small, np.median))
 
 
-def picture_statistics(picture: np.ndarray) -> tuple:
-    grey = _grey(picture)
-    brightness, deviation = grey.mean(), grey.std()
-    channels = picture.reshape(-1, picture.shape[2])
-    return (brightness, deviation, grey.min(), grey.max(), deviation / brightness if brightness > 0 else 0.0,
-            channels.mean(axis=0).tolist(), channels.std(axis=0).tolist(), _edges(grey).mean(), _gradient(grey).var())
+@_stacked
+def picture_statistics(pictures: np.ndarray) -> tuple:
+    grey = _grey(pictures)
+    brightness, deviation = grey.mean(axis=_PLANE), grey.std(axis=_PLANE)
+    ratio = np.divide(deviation, brightness, out=np.zeros(len(grey)), where=brightness > 0)
+    return (brightness, deviation, grey.min(axis=_PLANE), grey.max(axis=_PLANE), ratio,
+            pictures.mean(axis=(1, 2)).tolist(), pictures.std(axis=(1, 2)).tolist(), _edges(grey).mean(axis=_PLANE), _gradient(grey).var(axis=_PLANE))
 
 
-def sharpness(picture: np.ndarray) -> tuple:
-    grey = _grey(picture)
-    return (_filter(grey, _LAPLACE).var(), grey.mean(), grey.std())
+@_stacked
+def sharpness(pictures: np.ndarray) -> tuple:
+    grey = _grey(pictures)
+    return (_filter(grey, _LAPLACE).var(axis=_PLANE), grey.mean(axis=_PLANE), grey.std(axis=_PLANE))
 
 
-def spectral_texture(picture: np.ndarray) -> tuple:
+@_stacked
+def spectral_texture(pictures: np.ndarray) -> tuple:
     """High-frequency share, autocorrelation spread and texture variance."""
-    grey = _grey(picture)
-    h, w = grey.shape
-    spectrum = np.log(np.abs(np.fft.fftshift(np.fft.fft2(grey))) + 1)
+    grey = _grey(pictures)
+    h, w = grey.shape[-2:]
+    spectrum = np.log(np.abs(np.fft.fftshift(np.fft.fft2(grey), axes=_PLANE)) + 1)
     y, x = np.ogrid[:h, :w]
     high = (x - w // 2) ** 2 + (y - h // 2) ** 2 > (min(h, w) * 0.3) ** 2
-    share = (spectrum[high].mean() if high.any() else 0.0) / (spectrum.mean() + 1e-8)
+    share = (spectrum[:, high].mean(axis=1) if high.any() else 0.0) / (spectrum.mean(axis=_PLANE) + 1e-8)
     half = max(8, min(32, h // 4, w // 4)) // 2
-    core = grey[max(0, h // 2 - half): h // 2 + half, max(0, w // 2 - half): w // 2 + half]
-    frame = [(core.shape[0] // 2, (core.shape[0] - 1) // 2), (core.shape[1] // 2, (core.shape[1] - 1) // 2)]
-    shifted = np.lib.stride_tricks.sliding_window_view(np.pad(grey, frame), core.shape)
-    auto = np.einsum("ijkl,kl->ij", shifted, core)
-    return (share, auto.std() / (auto.mean() + 1e-8), _uniform_patterns(grey).var())
+    core = grey[:, max(0, h // 2 - half): h // 2 + half, max(0, w // 2 - half): w // 2 + half]
+    frame = [(0, 0), *((n // 2, (n - 1) // 2) for n in core.shape[1:])]
+    auto = _correlated(np.pad(grey, frame), core)
+    return (share, auto.std(axis=_PLANE) / (auto.mean(axis=_PLANE) + 1e-8), _uniform_patterns(grey).var(axis=_PLANE))
 
 
 def _uniform_patterns(grey: np.ndarray) -> np.ndarray:
     """Rotation-invariant uniform patterns of eight points on the unit circle, interpolated, zero outside."""
-    h, w = grey.shape
-    padded = np.pad(grey, 2)
+    h, w = grey.shape[-2:]
+    padded = np.pad(grey, [(0, 0)] * (grey.ndim - 2) + [(2, 2)] * 2)
     points = []
     for i in range(8):
         dy, dx = -np.sin(np.pi * i / 4), np.cos(np.pi * i / 4)
         y0, x0 = int(np.floor(round(dy, 9))), int(np.floor(round(dx, 9)))
         fy, fx = round(dy - y0, 9), round(dx - x0, 9)
-        at = lambda a, b: padded[2 + y0 + a: 2 + y0 + a + h, 2 + x0 + b: 2 + x0 + b + w]
+        at = lambda a, b: padded[..., 2 + y0 + a: 2 + y0 + a + h, 2 + x0 + b: 2 + x0 + b + w]
         points.append((1 - fy) * ((1 - fx) * at(0, 0) + fx * at(0, 1)) + fy * ((1 - fx) * at(1, 0) + fx * at(1, 1)))
     bits = np.stack(points) >= grey - 1e-9
     changes = (bits != np.roll(bits, 1, axis=0)).sum(axis=0)
     return np.where(changes <= 2, bits.sum(axis=0), 9)
 
 
-def patches(picture: np.ndarray, size: int = 16) -> tuple:
+def _tiles(pictures: np.ndarray, size: int) -> np.ndarray:
+    """Full tiles of every picture, those that end at its border left out: n x tiles x size x size (x channels)."""
+    down, across = (len(range(0, n - size, size)) for n in pictures.shape[1:3])
+    cut = pictures[:, : down * size, : across * size].reshape(len(pictures), down, size, across, size, *pictures.shape[3:])
+    return np.moveaxis(cut, 3, 2).reshape(len(pictures), down * across, size, size, *pictures.shape[3:])
+
+
+@_stacked
+def patches(pictures: np.ndarray, size: int = 16) -> tuple:
     """Edge density and colour consistency of each full patch."""
-    h, w, channels = picture.shape
-    edges, colours = [], []
-    for i in range(0, h - size, size):
-        for j in range(0, w - size, size):
-            patch = picture[i:i + size, j:j + size]
-            edges.append(float(_edges(_grey(patch)).mean()))
-            colours.append(float(1 / (1 + patch.std(axis=(0, 1)).mean())) if channels > 1 else 1.0)
-    return (edges, colours)
+    tiles = _tiles(pictures, size)
+    edges = _edges(_grey(tiles)).mean(axis=_PLANE) if tiles.size else np.zeros(tiles.shape[:2])
+    colours = 1 / (1 + tiles.std(axis=(2, 3)).mean(axis=2)) if tiles.size and pictures.shape[3] > 1 else np.ones(tiles.shape[:2])
+    return (edges.tolist(), colours.tolist())
 
 
-def frame_texture(picture: np.ndarray) -> tuple:
+@_stacked
+def frame_texture(pictures: np.ndarray) -> tuple:
     """Noise, edge density, regularity; neighbour contrast, pattern uniformity, spread of oriented responses."""
-    grey = _grey(picture)
+    grey = _grey(pictures)
+    n, h, w = grey.shape
     box = np.full((5, 5), 1 / 25)
     local = _filter((grey - _filter(grey, box)) ** 2, box)
-    contrast = ((grey[:, 1:] - grey[:, :-1]) ** 2).mean()
-    ring = _windows(grey, 3)[1:-1, 1:-1]
-    centre = ring[:, :, 1, 1]
+    contrast = ((grey[:, :, 1:] - grey[:, :, :-1]) ** 2).mean(axis=_PLANE)
+    centre = grey[:, 1:-1, 1:-1]
     order = [(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0)]
-    codes = sum((ring[:, :, a, b] >= centre).astype(int) << (7 - n) for n, (a, b) in enumerate(order))
-    share = np.bincount(codes.ravel(), minlength=256) / max(codes.size, 1)
-    spread = np.var([np.clip(np.rint(_filter(grey, _gabor(t))), 0, 255).std() for t in (0, 45, 90, 135)])
-    return (_filter(grey, _LAPLACE).var(), _edges(grey).mean() * 255, 1 / (1 + local.std()), contrast, (share**2).sum(), spread)
+    codes = np.zeros(centre.shape, np.int64)
+    for bit, (a, b) in enumerate(order):
+        codes += (grey[:, a : a + h - 2, b : b + w - 2] >= centre).astype(np.int64) << (7 - bit)
+    counts = np.bincount((codes + 256 * np.arange(n)[:, None, None]).ravel(), minlength=256 * n).reshape(n, 256)
+    share = counts / max(centre[0].size, 1)
+    wide = _padded(grey, 10)
+    spread = np.var([np.clip(np.rint(_correlated(wide, _gabor(t))), 0, 255).std(axis=_PLANE) for t in (0, 45, 90, 135)], axis=0)
+    return (_filter(grey, _LAPLACE).var(axis=_PLANE), _edges(grey).mean(axis=_PLANE) * 255, 1 / (1 + local.std(axis=_PLANE)), contrast, (share**2).sum(axis=1), spread)
 
 
 def _gabor(degrees: float, size: int = 21, sigma: float = 5.0, wave: float = 2 * np.pi / 3, ratio: float = 0.5) -> np.ndarray:
@@ -161,23 +203,23 @@ def _gabor(degrees: float, size: int = 21, sigma: float = 5.0, wave: float = 2 *
     return np.exp(-(along**2 + (ratio * across) ** 2) / (2 * sigma**2)) * np.cos(2 * np.pi * along / wave)
 
 
-def block_artifacts(picture: np.ndarray) -> tuple:
+@_stacked
+def block_artifacts(pictures: np.ndarray) -> tuple:
     """Mean variance of the 8x8 block coefficients (first row and column left out) and mean step at block borders."""
-    grey = _grey(picture)
-    h, w = grey.shape
-    basis = _cosines(8)
-    blocks = [basis @ grey[i:i + 8, j:j + 8] @ basis.T for i in range(0, h - 8, 8) for j in range(0, w - 8, 8)]
-    variance = float(np.mean([b[1:, 1:].var() for b in blocks])) if blocks else 0.0
-    rows = [np.abs(grey[i] - grey[i - 1]).mean() for i in range(7, h, 8)]
-    cols = [np.abs(grey[:, j] - grey[:, j - 1]).mean() for j in range(7, w, 8)]
-    return (variance, float((np.mean(rows) + np.mean(cols)) / 2) if rows and cols else 0.0)
+    grey = _grey(pictures)
+    basis, blocks = _cosines(8), _tiles(grey, 8)
+    variance = (basis @ blocks @ basis.T)[..., 1:, 1:].var(axis=_PLANE).mean(axis=1) if blocks.size else np.zeros(len(grey))
+    rows = np.abs(grey[:, 7::8] - grey[:, 6::8][:, : grey[:, 7::8].shape[1]])
+    cols = np.abs(grey[:, :, 7::8] - grey[:, :, 6::8][:, :, : grey[:, :, 7::8].shape[2]])
+    return (variance, (rows.mean(axis=_PLANE) + cols.mean(axis=_PLANE)) / 2 if rows.size and cols.size else np.zeros(len(grey)))
 
 
-def model_input(picture: np.ndarray, size: int = 224) -> tuple:
+@_stacked
+def model_input(pictures: np.ndarray, size: int = 224) -> tuple:
     """Resized, scaled and channel-normalised picture, red plane first."""
-    rgb = np.repeat(picture, 3, axis=2) if picture.shape[2] == 1 else picture[:, :, 2::-1]
-    planes = [(_shrink(rgb[:, :, c], size, size) / 255 - m) / s for c, (m, s) in enumerate(zip((0.485, 0.456, 0.406), (0.229, 0.224, 0.225)))]
-    return (np.concatenate([p.ravel() for p in planes]).astype(np.float32),)
+    rgb = np.repeat(pictures, 3, axis=3) if pictures.shape[3] == 1 else pictures[..., 2::-1]
+    planes = [(_shrink(rgb[..., c], size, size) / 255 - m) / s for c, (m, s) in enumerate(zip((0.485, 0.456, 0.406), (0.229, 0.224, 0.225)))]
+    return (list(np.stack(planes, axis=1).reshape(len(pictures), -1).astype(np.float32)),)
 
 
 Kernel = Callable[[np.ndarray], tuple]
@@ -196,6 +238,22 @@ FEATURES: dict[str, tuple[Kernel, str]] = {
 OUTPUT_ROWS = {name: 32 if name == "model_input" else 2048 for name in FEATURES}
 
 
+def _features(kernel: Kernel, pictures: list[np.ndarray], columns: int) -> list[list]:
+    """Columns of values, in the order of the pictures; those of one shape go to the kernel together."""
+    shapes: dict[tuple, list[int]] = {}
+    for i, picture in enumerate(pictures):
+        shapes.setdefault(picture.shape, []).append(i)
+    out: list[list] = [[None] * len(pictures) for _ in range(columns)]
+    for shape, places in shapes.items():
+        step = max(STACK_PIXELS // (shape[0] * shape[1]), 1)
+        for at in range(0, len(places), step):
+            some = places[at : at + step]
+            for column, values in zip(out, kernel(np.stack([pictures[i] for i in some]))):
+                for i, value in zip(some, values.tolist() if isinstance(values, np.ndarray) else values):
+                    column[i] = value
+    return out
+
+
 def with_features(pictures: DataFrame, feature: str, keys: list[str]) -> DataFrame:
     """The key columns of every readable picture and the chosen features."""
     kernel, fields = FEATURES[feature]
@@ -208,8 +266,8 @@ def with_features(pictures: DataFrame, feature: str, keys: list[str]) -> DataFra
         for batch in batches:
             for at in range(0, len(batch), OUTPUT_ROWS[feature]):
                 part = batch.iloc[at:at + OUTPUT_ROWS[feature]]
-                values = [kernel(_picture(row)) for row in part.itertuples(index=False)]
-                yield pd.concat([part[keys].reset_index(drop=True), pd.DataFrame(values, columns=names)], axis=1)
+                values = _features(kernel, [_picture(row) for row in part.itertuples(index=False)], len(names))
+                yield pd.concat([part[keys].reset_index(drop=True), pd.DataFrame(dict(zip(names, values)), columns=names)], axis=1)
 
     return pictures.filter(F.col("height") > 0).select(*keys, *inputs).mapInPandas(run, schema)
 
