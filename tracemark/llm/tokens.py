@@ -24,11 +24,13 @@ from tracemark.llm.common import slices, texts, utf8
 #: Larger slices repeat more chunks.
 TOKEN_SLICE = 4 << 20
 KNOWN_CHUNKS = 250_000
+#: What the library writes for a space at the head of a piece.
+_SPACE_MARK = "\u0120"
 _RUNS = r"[\s\v\p{Z}\x{1c}-\x{1f}\x{85}]{3}|[\s\v\p{Z}\x{1c}-\x{1f}\x{85}]{2}\z"
 
 
 #: Words joined to one text for the library, and chunks that go to it at once.
-JOINED = 2000
+JOINED = 200
 NEW_CHUNKS = 20_000
 # Kinds of bytes: 0 others, 1 letters, 2 digits, 3 punctuation, 4 spaces, 5 line breaks.
 _KIND = np.zeros(256, np.uint8)
@@ -43,6 +45,8 @@ _CUT = np.zeros((6, 6), bool)
 _CUT[5, :] = _CUT[:, 5] = True
 _CUT[[1, 2, 3], [[2], [3], [1]]] = _CUT[[2, 3, 1], [[1], [2], [3]]] = True
 np.fill_diagonal(_CUT[1:5, 1:5], False)
+# The same by one number for a pair: eight times the kind of the first byte and that of the second.
+_CUT_PAIRS = np.pad(_CUT, ((0, 2), (0, 2))).ravel()
 
 
 def default_tokenizer() -> str:
@@ -63,6 +67,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
+        marked = [id_ for piece, id_ in self.tokenizer.get_vocab().items() if piece[0] == _SPACE_MARK]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # pieces that open a word after a space
+        self.opens[marked] = True
         self.known: dict[str, bytes] = {}
         self.sizes: dict[str, int] = {}
 
@@ -74,11 +81,10 @@ class Encoder:
         """Ids of chunks that are a space and letters each: one word of the joined text apiece."""
         out = []
         joined = ["".join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
-        for e in self.tokenizer.encode_batch(joined, add_special_tokens=False):
-            ids, word = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-            ends = np.flatnonzero(np.diff(word, append=word[-1] + 1)) + 1
+        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
             data, at = ids.tobytes(), 0
-            for end in (4 * ends).tolist():
+            for end in (4 * np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))).tolist():
                 out.append(data[at:end])
                 at = end
         if len(out) != len(chunks):
@@ -97,7 +103,7 @@ class Encoder:
         for at in range(0, len(words), NEW_CHUNKS):
             part = words[at : at + NEW_CHUNKS]
             known.update(zip(part, map(keep, self._encode_words(part))))
-        rest = [c for c in new if c not in known]
+        rest = new if not words else [c for c in new if c not in known]
         for at in range(0, len(rest), NEW_CHUNKS):
             part = rest[at : at + NEW_CHUNKS]
             known.update(zip(part, map(keep, self._encode(part))))
@@ -108,7 +114,7 @@ class Encoder:
         n = len(data)
         kind = _KIND[data]
         cut = np.zeros(n + 1, bool)
-        cut[1:n] = _CUT[kind[:-1], kind[1:]] | ((kind[1:] == 4) & ~_WHITE[data[:-1]])
+        cut[1:n] = _CUT_PAIRS[(kind[:-1] << 3) + kind[1:]] | ((kind[1:] == 4) & ~_WHITE[data[:-1]])
         # a text that must stay whole is one chunk
         direct = np.flatnonzero(pc.match_substring_regex(column, _RUNS).to_numpy(zero_copy_only=False))
         for i in direct:
@@ -117,7 +123,7 @@ class Encoder:
         edges = np.flatnonzero(cut)
         bounds = np.searchsorted(edges, offsets)
         chunks = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
-        names = chunks.dictionary.to_pylist()
+        names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes = chunks.indices.to_numpy()
         if not len(direct):
             self._learn(known, names, keep)
