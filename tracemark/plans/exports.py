@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemark.functions import files as ff
@@ -53,57 +55,81 @@ def xml_export(t):
 
 
 @query("S11_sheets_export", """
+    SELECT 'Model_Predictions' AS sheet, item_id AS id, 'xception' AS name, round(xc_conf, 6) AS value FROM result_envelope
+    UNION ALL SELECT 'Model_Predictions', item_id, 'meso', round(me_conf, 6) FROM result_envelope
+    UNION ALL SELECT 'Raw_Data', item_id, detection_mode, round(confidence, 6) FROM result_envelope
+    UNION ALL SELECT 'Results_Summary', item_id, coalesce(error, ''), round(processing_time, 6) FROM result_envelope
+    UNION ALL SELECT 'Statistics', job_id, 'successful', CAST(count(*) FILTER (error IS NULL) AS DOUBLE) FROM result_envelope GROUP BY job_id""", ("result_envelope",))
+def sheets_export(t):
+    """Values of the written sheets, read back."""
+    path = _folder(t, "sheets")
+    sinks.export_sheets(t.result_envelope, path)
+    sinks.export_batch_sheets(t.result_envelope, path)
+    cell = lambda sheet, id, name, value: t.spark.read.parquet(f"{path}/{sheet}").select(
+        F.lit(sheet).alias("sheet"), F.col(id).alias("id"), name.alias("name"), F.round(F.col(value).cast("double"), 6).alias("value"))
+    return reduce(DataFrame.unionByName, [
+        cell("Model_Predictions", "item_id", F.col("model"), "confidence"), cell("Raw_Data", "item_id", F.col("detection_mode"), "confidence"),
+        cell("Results_Summary", "item_id", F.coalesce("error", F.lit("")), "processing_time"), cell("Statistics", "job_id", F.lit("successful"), "successful")])
+
+
+@query("S11_sheet_sizes", """
     SELECT 'Model_Predictions' AS sheet, 2 * count(*) AS n FROM events UNION ALL SELECT 'Quality_Metrics', count(*) FROM events
     UNION ALL SELECT 'Raw_Data', count(*) FROM events UNION ALL SELECT 'Summary', count(*) FROM events
     UNION ALL SELECT 'Job_Info', count(DISTINCT user_id) FROM events UNION ALL SELECT 'Statistics', count(DISTINCT user_id) FROM events
     UNION ALL SELECT 'Results_Summary', count(*) FROM events""")
-def sheets_export(t):
+def sheet_sizes(t):
     path = _folder(t, "sheets")
     names = sinks.export_sheets(t.result_envelope, path) + sinks.export_batch_sheets(t.result_envelope, path)
     counts = [t.spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("sheet"), "n") for n in names]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    return reduce(DataFrame.unionByName, counts)
 
 
-@query("S12_text_export", "SELECT count(*) AS n, count(*) FILTER (m_software IS NOT NULL) AS with_software FROM result_envelope", ("result_envelope",))
+@query("S12_text_export", """
+    SELECT item_id, job_id, detection_mode, CAST(is_fake AS BOOLEAN) AS is_fake, m_software AS software FROM result_envelope""", ("result_envelope",))
 def text_export(t):
+    """The written reports, cut apart at their heads and read back field by field."""
     path = _folder(t, "text")
     sinks.export_text(t.result_envelope, path)
-    lines = t.spark.read.text(path)
-    return lines.agg(F.count_if(F.col("value").startswith("item_id: ")).alias("n"), F.count_if(F.col("value").startswith("  Software: ")).alias("with_software"))
+    reports = t.spark.read.option("lineSep", "=" * 80 + "\nMEDIA FORENSICS TECHNICAL ANALYSIS REPORT\n").text(path).filter(F.col("value").contains("item_id: "))
+    field = lambda name, pad="": F.nullif(F.regexp_extract("value", f"(?m)^{pad}{name}: (.*)$", 1), F.lit(""))
+    return reports.select(field("item_id").cast("long").alias("item_id"), field("job_id").cast("long").alias("job_id"), field("detection_mode").alias("detection_mode"),
+                          field("is_fake").cast("boolean").alias("is_fake"), field("Software", "  ").alias("software"))
 
 
-@query("S13_batch_export", "SELECT CASE WHEN error IS NULL THEN 'completed' ELSE 'error' END AS status, count(*) AS n FROM result_envelope GROUP BY 1", ("result_envelope",))
+@query("S13_batch_export", """
+    SELECT item_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'error' END AS status, detection_mode, round(confidence, 6) AS confidence, error FROM result_envelope""", ("result_envelope",))
 def batch_export(t):
     path = _folder(t, "batch")
     sinks.export_batch(t.result_envelope, path)
-    return t.spark.read.schema("item_id long, status string").json(f"{path}/results").groupBy("status").agg(F.count("*").alias("n"))
+    back = t.spark.read.schema("item_id long, status string, detection_mode string, confidence double, error string").json(f"{path}/results")
+    return back.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("S14_hash_export", "SELECT count(*) AS total_files FROM documents")
+@query("S14_hash_export", """
+    SELECT file_id, dhash, ahash, phash, whash, (SELECT count(*) FROM documents) AS total_files FROM media_hashes_wide""", ("media_hashes_wide",))
 def hash_export(t):
     path = _folder(t, "hashes")
     sinks.export_hashes(t.media_hashes_wide, path)
-    return t.spark.read.json(f"{path}/info").select("total_files")
+    rows = t.spark.read.schema("file_id long, dhash string, ahash string, phash string, whash string").json(f"{path}/hashes")
+    return rows.withColumn("total_files", F.lit(t.spark.read.schema("total_files long").json(f"{path}/info").first()["total_files"]))
 
 
-@query("S16_append_jobs", "SELECT event_type AS job_type, user_id AS file_id, 'pending' AS status, count(*) AS n FROM events GROUP BY 1, 2")
+@query("S16_append_jobs", """
+    SELECT event_type AS job_type, user_id AS file_id, props AS parameters, 'pending' AS status, 0.0::DOUBLE AS progress FROM events""")
 def append_jobs(t):
     path = _folder(t, "jobs")
     jobs = t.read("events").select(F.col("event_type").alias("job_type"), F.col("user_id").alias("file_id"), F.col("props").alias("parameters"))
     sinks.append_jobs(jobs, path)
-    return t.spark.read.parquet(path).groupBy("job_type", "file_id", "status").agg(F.count("*").alias("n"))
+    return t.spark.read.parquet(path).select("job_type", "file_id", "parameters", "status", "progress")
 
 
 @query("S05_csv_source", """
-    SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (
-        SELECT regexp_replace(url || '. ' || html, '^\\s+|\\s+$', '', 'g') AS text FROM pages)""")
+    SELECT page_id, length(text) AS chars, md5(text) AS digest FROM (
+        SELECT page_id, regexp_replace(url || '. ' || html, '^\\s+|\\s+$', '', 'g') AS text FROM pages)""")
 def csv_source(t):
     path = _folder(t, "labelled")
-    t.read("pages").select(F.col("url").alias("Title"), F.col("html").alias("Article")).write.option("header", True).option("escape", '"').csv(path)
-    return files.read_labelled_csv(t.spark, path).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    t.read("pages").select("page_id", F.col("url").alias("Title"), F.col("html").alias("Article")).write.option("header", True).option("escape", '"').csv(path)
+    return files.read_labelled_csv(t.spark, path).select(F.col("page_id").cast("long").alias("page_id"), F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query("S02_register_files", """

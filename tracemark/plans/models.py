@@ -13,7 +13,7 @@ from tracemark.operators import hooks, models
 from tracemark.operators import pixels as px
 from tracemark.plans.registry import query
 from tracemark.session import by_key, materialise, shared_folder, spread
-from tracemark.sources import files
+from tracemark.sources import files, sinks
 from tracemark.sources.model_store import ModelStore
 from tracemark.streaming import cache as ttl
 from tracemark.streaming import jobs
@@ -108,9 +108,9 @@ def token_weights(t):
     v AS (SELECT video_id, CASE WHEN row_number() OVER (ORDER BY md5(video_id || '|42')) <= ceil(round(count(*) OVER () * 0.8::DOUBLE, 6)) THEN 'train' ELSE 'val' END AS split FROM videos),
     s AS (SELECT f.* FROM frames f JOIN videos USING (video_id)
           WHERE f.frame_idx IN (0, 2, 4, 6, 8)),
-    b AS (SELECT fa.video_id, fa.frame_idx, fa.face_idx, row_number() OVER (PARTITION BY fa.video_id, fa.frame_idx ORDER BY (x2 - x1) * (y2 - y1) DESC, face_idx) AS r
+    b AS (SELECT fa.video_id, fa.frame_idx, fa.face_idx, fa.crop, row_number() OVER (PARTITION BY fa.video_id, fa.frame_idx ORDER BY (x2 - x1) * (y2 - y1) DESC, face_idx) AS r
           FROM faces fa JOIN s ON s.video_id = fa.video_id AND s.frame_idx = fa.frame_idx)
-    SELECT b.video_id, frame_idx, face_idx, CASE WHEN b.video_id % 2 = 0 THEN 'real' ELSE 'fake' END AS label, split FROM b JOIN v ON v.video_id = b.video_id WHERE r = 1""",
+    SELECT b.video_id, frame_idx, face_idx, array_to_string(crop, ',') AS crop, CASE WHEN b.video_id % 2 = 0 THEN 'real' ELSE 'fake' END AS label, split FROM b JOIN v ON v.video_id = b.video_id WHERE r = 1""",
        ("videos", "faces"))
 def dataset_preparation(t):
     """Five frames of each video, their largest face, label from the path, whole videos per split."""
@@ -119,7 +119,10 @@ def dataset_preparation(t):
     picked = t.frames.join(t.videos.select("video_id", "n_frames"), "video_id").filter(fr.segment_sample(F.col("frame_idx"), F.col("n_frames"), 5))
     boxed = fr.clamp_boxes(t.faces.join(picked.select("video_id", "frame_idx"), ["video_id", "frame_idx"]), F.lit(10_000), F.lit(10_000))
     crops = fr.largest_faces(boxed).join(videos.select("video_id", "label", "split"), "video_id")
-    return crops.select("video_id", "frame_idx", "face_idx", "label", "split")
+    folder = _work(t, "dataset")
+    sinks.write_split_dataset(crops.select("video_id", "frame_idx", "face_idx", "crop", "label", "split"), folder)
+    # one folder per split and label; both come back from the folders' names
+    return t.spark.read.parquet(folder).select("video_id", "frame_idx", "face_idx", F.array_join(F.transform("crop", lambda v: v.cast("string")), ",").alias("crop"), "label", "split")
 
 
 @query("X01_X05_process_items")
