@@ -40,12 +40,12 @@ def ingest(requests: DataFrame, transcripts: DataFrame, allow_url: bool = True)
         .when(~is_plain & ~is_video, "Unsupported source type").alias("error"))
 
 
-def rank_claims(docs: DataFrame, k: int = 3, stop_words: list[str] | None = None, prefix: int | None = None) -> DataFrame:
+def rank_claims(docs: DataFrame, k: int = 3, stop_words: list[str] | None = None, prefix: int | None = 500) -> DataFrame:
     """The k best sentences of every text (doc_id, text) as (doc_id, claim_no, claim).
 
     Sentences are scored by TF-IDF fitted on the text's own sentences (smoothed idf, rows of unit length): the
     mean weight over the vocabulary. Ties go to the earlier sentence. A text of at most k sentences gives them
-    all in order, a text without any gives itself, or its first `prefix` characters.
+    all in order, a text without any gives its first `prefix` characters, or itself with None.
 
     The texts are shuffled once, by doc_id; every later grouping starts with doc_id and keeps that layout. The
     sentence itself rides along as one extra row without a term, so that no join has to fetch it again.
