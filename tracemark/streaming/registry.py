@@ -55,8 +55,9 @@ class UploadRegistry:
         new = self._stored(fresh.join(known.select("sha256"), "sha256", "left_anti").select("file_id", "sha256", "h"), "contents", epoch)
         verdict = self._compare(batch, known, fresh, epoch)
         verdict.write.mode("overwrite").parquet(f"{self.folder}/verdicts/epoch={epoch}")
-        self.digests.put(new.select("sha256", "file_id"), epoch)
-        self.blocks.put(materialise(self.plan.stored_rows(self._values(new)), "blocks"), epoch)
+        count = new.count()
+        self.digests.put(new.select("sha256", "file_id"), epoch, count)
+        self.blocks.put(self.plan.stored_rows(self._values(new)), epoch, count * self.plan.listed)
 
     def _stored(self, rows: DataFrame, table: str, epoch: int) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/epoch={epoch}")
@@ -68,13 +69,14 @@ class UploadRegistry:
 
     def _compare(self, batch: DataFrame, known: DataFrame, fresh: DataFrame, epoch: int) -> DataFrame:
         asked = materialise(self._values(fresh), "asked")
-        probes, n = materialise(self.plan.probe_rows(asked), "probes"), asked.count()
-        stored = self.blocks.lookup(epoch, probes)
-        few = n * len(self.plan.keys) <= MAX_BROADCAST_BLOCKS
-        before = join_blocks(probes, stored, self.plan, few=few, tile_rows=TILE_ROWS)
-        within = near_pairs(asked, self.max_distance, n, probes=asked, probe_rows=n, unit=self.unit)
+        n = asked.count()
         # Earliest content near each fingerprint value; the value itself is always among them.
-        near = before.select("ha", "b").unionByName(within.select("ha", "b"))
+        near = near_pairs(asked, self.max_distance, n, probes=asked, probe_rows=n, unit=self.unit).select("ha", "b")
+        if self.blocks.live(epoch):
+            probes = materialise(self.plan.probe_rows(asked), "probes")
+            few = n * len(self.plan.keys) <= MAX_BROADCAST_BLOCKS
+            before = join_blocks(probes, self.blocks.lookup(epoch, probes), self.plan, few=few, tile_rows=TILE_ROWS)
+            near = near.unionByName(before.select("ha", "b"))
         earliest = near.groupBy("ha").agg(F.min("b").alias("near_id")).withColumnRenamed("ha", "h")
         same = known.unionByName(fresh.select("sha256", "file_id")).groupBy("sha256").agg(F.min("file_id").alias("same_id"))
         judged = batch.join(materialise(earliest, "earliest"), "h", "left").join(materialise(same, "same"), "sha256", "left").withColumn("first", F.least("near_id", "same_id"))

@@ -86,9 +86,9 @@ class KeyedRuns:
             rows = rows.unionByName(part)
         self._write(self.merge(rows), rows.count(), level, index)
 
-    def put(self, rows: DataFrame, batch: int) -> None:
-        """Store the rows of a batch; pass a stored table, it is counted first."""
-        self._write(rows, rows.count(), 0, batch)
+    def put(self, rows: DataFrame, batch: int, count: int | None = None) -> None:
+        """Store the rows of a batch. Their number, which sets the number of slots, is counted unless it is given."""
+        self._write(rows, rows.count() if count is None else count, 0, batch)
 
     def all(self, before: int) -> DataFrame:
         return self._union(before, None)
