@@ -9,7 +9,7 @@ Candidates whose sketches rule out the threshold go; the rest is confirmed on th
 Groups of near copies are not turned into all their pairs. Each key first links its members to one leader, the member that shares its
 keys with most classes: of copies made from one text that is the text itself, or the closest to it. After that only members of different
 components meet, first with further leaders from outside the largest component of a key, and at the end all pairs of a key that are
-still in different components and pass the sketch test inside the join. No partner is capped.
+still in different components and pass the sketch test inside the join; crowded keys are divided by size and cut into tiles for that. No partner is capped.
 
 Edge cases: null or empty texts have an empty set, link with nothing and are their own component. With fewer words than a shingle has,
 the whole word sequence is the one shingle. Rows that repeat an id are judged one by one. Other columns are ignored. Empty tables give empty results.
@@ -37,6 +37,8 @@ SKETCH_WORDS = BINS // 64
 SIGMAS = 4.5
 #: Star rounds before the last one, which compares whatever is left.
 STAR_ROUNDS = 2
+#: Members of a key, of one size step, in one tile of the last round.
+TILE_ROWS = 2_000
 
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 _rng = np.random.default_rng(20240229)
@@ -186,6 +188,33 @@ def sketch_near(left: str, right: str, percent: int):
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (bits <= F.greatest(F.col(f"{left}.most"), F.col(f"{right}.most")))
 
 
+def _all_apart(here: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes that share a key, are in different components and pass the sketch test.
+
+    A key's members are divided by size: a size step is the ratio of sizes that can link, so a set meets its own step and the next one up. What is
+    still crowded is cut into square tiles, so no task meets more than a tile of a key.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    full = here.select("cls", "band", "key", "label").join(sketches, "cls").withColumn("step", step)
+    crowded = full.groupBy("key", "step").count().where(F.col("count") > TILE_ROWS).select("key", "step", F.ceil(F.col("count") / TILE_ROWS).cast("int").alias("tiles"))
+    crowded = bounded_broadcast(materialise(crowded, "crowded-keys"))
+
+    def tiled(rows: DataFrame, own: str, other: str) -> DataFrame:
+        cut = rows.join(crowded, ["key", "step"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        return cut.withColumn(own, F.pmod(F.xxhash64("cls"), F.col("tiles"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)))
+
+    # the left side comes under its own step and the next, where it looks for larger sets; tiles are those of the step looked at
+    left = tiled(full.withColumn("own_step", F.col("step")).withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1))), "row", "col")
+    right = tiled(full, "col", "row")
+    once = (F.col("l.own_step") < F.col("l.step")) | (F.col("l.cls") < F.col("r.cls"))
+    # a pair comes under the first key it shares only, so nothing has to be made distinct
+    before = F.arrays_overlap(F.slice(F.col("l.bands"), F.lit(1), F.col("l.band")), F.slice(F.col("r.bands"), F.lit(1), F.col("l.band")))
+    met = (F.col("l.label") != F.col("r.label")) & once & sketch_near("l", "r", percent) & ~before
+    for c in ("key", "step", "row", "col"):
+        met &= F.col(f"l.{c}") == F.col(f"r.{c}")
+    return left.alias("l").join(right.alias("r"), met).select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """`node`, `label`: every node that has a link and the smallest node of its component.
 
@@ -222,15 +251,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE)
     """Per document `doc_id`, `n_shingles`, `component_id` (smallest id reachable over links), `kept` (it is that document) and
     `n_copies`, the number of documents with the same set, whose name is `cls` (null without words)."""
     rows = materialise(profiles(docs, shingle), "profiles")
-    classes = materialise(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "classes")
-    keys = rows.where("cls is not null").select("cls", F.posexplode("bands").alias("band", "key"))
-    keys = materialise(keys.join(keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key"), "key", "left_semi").distinct(), "keys")
-    sketches = materialise(rows.join(keys.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in SKETCH))
-                           .withColumn("most", sketch_limit(F.col("n"), percent / 100)), "sketches")
-    sets = _store_sets(docs, classes, sketches.select("cls"), shingle)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size"))
-    popular = keys.join(sizes, "key").groupBy("cls").agg(F.sum("size").alias("popular"))
-    keys = materialise(keys.join(popular, "cls"), "popular-keys")
+    # copies become one row before anything is joined, so a group of copies meets in no task
+    firsts = [F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in SKETCH)]
+    classes = materialise(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), *firsts), "classes")
+    keys = classes.select("cls", F.posexplode("bands").alias("band", "key"))
+    shared = materialise(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared-keys")
+    keys = materialise(keys.join(shared, "key"), "keys")
+    popular = materialise(keys.groupBy("cls").agg(F.sum("size").alias("popular")), "popular")
+    sketches = materialise(classes.join(popular, "cls", "left_semi").select("cls", "n", "bands", *SKETCH, sketch_limit(F.col("n"), percent / 100).alias("most")), "sketches")
+    sets = _store_sets(docs, classes, popular.select("cls"), shingle)
+    keys = materialise(keys.drop("size").join(popular, "cls"), "popular-keys")
     links, tested, label, leaders = None, None, None, None
     for turn in range(STAR_ROUNDS + 1):
         if label is None:
@@ -238,7 +268,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE)
         else:
             here = keys.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
             mixed = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            here = materialise(here.join(mixed, "key", "left_semi"), "mixed")
+            here = materialise(here.join(materialise(mixed, "mixed-keys"), "key", "left_semi"), "mixed")
         if turn < STAR_ROUNDS:
             most = F.max(F.struct("popular", "cls", "label")).alias("lead")
             lead = here.groupBy("key").agg(most)
@@ -250,11 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE)
             leaders = materialise(now if leaders is None else leaders.unionByName(now), "leaders")
             pairs = here.join(lead, "key").where("label <> lead_label").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
         else:
-            full = here.join(sketches, "cls")
-            # a pair comes under the first key it shares only, so nothing has to be made distinct
-            before = F.arrays_overlap(F.slice(F.col("l.bands"), F.lit(1), F.col("l.band")), F.slice(F.col("r.bands"), F.lit(1), F.col("l.band")))
-            pairs = (full.alias("l").join(full.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.cls") < F.col("r.cls"))
-                     & (F.col("l.label") != F.col("r.label")) & sketch_near("l", "r", percent) & ~before).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")))
+            pairs = _all_apart(here, sketches, percent)
         if turn < STAR_ROUNDS:
             pairs = pairs.distinct()
         if tested is not None:
