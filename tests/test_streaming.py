@@ -176,3 +176,15 @@ def test_job_counters_follow_the_stream(spark, tmp_path):
 def test_expiry_hours(spark):
     r = spark.range(1).select(hashing.expires_at(F.lit("2024-01-01").cast("timestamp"), 168).cast("string").alias("t")).first()
     assert r.t == "2024-01-08 00:00:00"
+
+
+def test_tables_in_folders_are_streamed_whole(spark, tmp_path):
+    from tracemark.plans import load_all
+    from tracemark.plans.registry import runnable
+
+    load_all()
+    for table in ("documents", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    for name in ("R01_upload_check", "R03_job_counters"):
+        expected = sorted(map(tuple, runnable(name)(spark, "/root/testdata/sf0.001").collect()))
+        assert expected and sorted(map(tuple, runnable(name)(spark, str(tmp_path)).collect())) == expected
