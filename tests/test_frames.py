@@ -126,3 +126,14 @@ def test_sampling_stops_once_enough_was_counted(spark):
                 expected.add((v, i, n))
             seen[v] = seen.get(v, 0) + n
         assert {tuple(r) for r in fr.until_counted(df, "faces", limit).collect()} == expected
+
+
+def test_dataset_samples_a_cut_video_like_a_whole_one(spark, tmp_path):
+    """A table that ends inside video 2: of frames 0 to 2 the sample holds 0 and 2."""
+    from tracemark.plans import load_all
+    from tracemark.plans.registry import runnable
+
+    load_all()
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 23").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.video_id, r.frame_idx) for r in runnable("S15_dataset_preparation")(spark, str(tmp_path)).collect()}
+    assert got == {(v, f) for v in (0, 1) for f in (0, 2, 4, 6, 8)} | {(2, 0), (2, 2)}
