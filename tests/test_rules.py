@@ -8,6 +8,7 @@ from tracemark.functions import text as tx
 from tracemark.operators import claims as cl
 from tracemark.operators import models, reporting, stats
 from tracemark.operators import verdict as vd
+from tracemark.plans.text import _six
 
 
 def one(df):
@@ -62,6 +63,16 @@ def test_absent_signals_leave_both_sums(spark):
     assert r.reasoning[-1] == "Entity-order check: not enough named entities to evaluate"
 
 
+def test_halfway_mean_is_rounded_as_its_sql_does(spark):
+    """Three of three facts rated false, one claim without a match: 0.35 * 3 / 3 is not 0.35 * (3 / 3) in its last bit."""
+    facts = [("A", "false"), ("B", "false"), ("C", "false")]
+    scores, f, w, e = verdict_inputs(spark, facts, [0], bert=("Genuine", 0.5), xgb=("Genuine", 0.5125))
+    r = vd.five_signal_verdict(scores, f, w, e).select(F.round("raw_score", 6).alias("r"), "raw_score").first()
+    assert r.raw_score == (0.2 * (1.0 - 0.5) + 0.1 * (1.0 - 0.5125) + 0.35 * 3 / 3 + 0.15 * 1.0) / (0.2 + 0.1 + 0.35 + 0.15) and r.r == 0.810937
+    halfway = spark.createDataFrame([(0.5203125,), (0.8109375,)], "v double").select(_six("v"))
+    assert [x.v for x in halfway.collect()] == [0.520312, 0.810938]
+
+
 @pytest.mark.parametrize("claim,snippets,checked,mismatch", [
     (["A"], [["A", "B"]], False, False),
     (["A", "B"], [["B", "A"]], True, True),

@@ -59,11 +59,16 @@ def _rate(name: str, label: str, value: str) -> Column:
     return F.concat(F.lit(name + ": "), F.col(label), F.format_string(" (%.0f%% confidence)", F.bround(F.col(value) * 100, 0)))
 
 
-def _weighted(parts: list[tuple[float | Column, Column]]) -> tuple[Column, Column]:
-    """Sum of weight times score and sum of weights over the signals that are not NULL."""
+def _weighted(parts: list[tuple[float | Column, Column | tuple[Column, Column]]]) -> tuple[Column, Column]:
+    """Sum of weight times score and sum of weights over the signals that are not NULL.
+
+    A share (part, whole) is weighted before it is divided: the other order gives another last bit, which shows where the mean lies halfway between two rounded values.
+    """
     weight = lambda w: F.lit(w) if isinstance(w, float) else w
-    score = reduce(Column.__add__, [F.coalesce(weight(w) * s, F.lit(0.0)) for w, s in parts])
-    used = reduce(Column.__add__, [F.when(s.isNotNull(), weight(w)).otherwise(0.0) for w, s in parts])
+    term = lambda w, s: F.try_divide(weight(w) * s[0], s[1]) if isinstance(s, tuple) else weight(w) * s
+    weighted = [(w, term(w, s)) for w, s in parts]
+    score = reduce(Column.__add__, [F.coalesce(t, F.lit(0.0)) for _, t in weighted])
+    used = reduce(Column.__add__, [F.when(t.isNotNull(), weight(w)).otherwise(0.0) for w, t in weighted])
     return score, used
 
 
@@ -80,8 +85,7 @@ def two_signal_verdict(scores: DataFrame, facts: DataFrame, web: DataFrame) -> D
     rows = scores.join(fact_signal(facts, strict=True), "doc_id", "left").join(web_signal(web), "doc_id", "left").fillna(0, ["fact_hits", "fact_false"])
     boost = F.when(F.col("fact_false") > 0, F.least(F.lit(0.30), F.col("fact_false") * 0.15))
     score, used = _weighted([(w["bert"], _fake_score("bert_label", "bert_conf")), (w["xgb"], _fake_score("xgb_label", "xgb_prob")),
-                             (1.0, boost)])
-    used = used - F.when(boost.isNotNull(), 1.0 - boost).otherwise(0.0)
+                             (boost, F.lit(1.0))])
     decided = _decide(rows, score, used, lambda s: s >= TWO_SIGNAL_LIMIT)
     hits, false = F.col("fact_hits"), F.col("fact_false")
     fact_line = (
@@ -101,11 +105,12 @@ def five_signal_verdict(scores: DataFrame, facts: DataFrame, web: DataFrame, ent
     for signal in (fact_signal(facts, strict=False), web_signal(web), entity_signal(entities)):
         rows = rows.join(signal, "doc_id", "left")
     rows = rows.fillna(0, ["fact_hits", "fact_false", "web_claims", "entity_checked", "entity_mismatches"])
-    share = lambda part, whole: F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
+    share = lambda part, whole: (F.col(part).cast("double"), F.col(whole).cast("double"))
     score, used = _weighted([
         (w["bert"], _fake_score("bert_label", "bert_conf")), (w["xgb"], _fake_score("xgb_label", "xgb_prob")),
         (w["fact"], share("fact_false", "fact_hits")), (w["web"], F.col("web_score")), (w["entity"], share("entity_mismatches", "entity_checked"))])
-    decided = _decide(rows, score, used, lambda s: s > FIVE_SIGNAL_LIMIT)
+    # nine digits: a tie is no more than one for the last bit of its sums
+    decided = _decide(rows, score, used, lambda s: F.round(s, 9) > FIVE_SIGNAL_LIMIT)
     count = lambda c: F.col(c)
     fact_line = F.when(count("fact_hits") > 0, F.format_string(
         "Fact-check databases: %d/%d matched claim(s) rated false", count("fact_false"), count("fact_hits"))
