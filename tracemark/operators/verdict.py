@@ -79,10 +79,11 @@ def _decide(df: DataFrame, score: Column, used: Column, misleading) -> DataFrame
     return labelled.withColumn("confidence", F.when(F.col("label") == "Misleading", F.col("raw_score")).otherwise(1.0 - F.col("raw_score")))
 
 
-def two_signal_verdict(scores: DataFrame, facts: DataFrame, web: DataFrame) -> DataFrame:
-    """Classifier and baseline, pushed up by fact records that call a claim false. Web hits are only reported."""
+def two_signal_verdict(scores: DataFrame, facts: DataFrame, web: DataFrame | None = None) -> DataFrame:
+    """Classifier and baseline, pushed up by fact records that call a claim false. Web hits are only reported: without them nothing else changes."""
     w = TWO_SIGNAL_WEIGHTS
-    rows = scores.join(fact_signal(facts, strict=True), "doc_id", "left").join(web_signal(web), "doc_id", "left").fillna(0, ["fact_hits", "fact_false"])
+    rows = scores.join(fact_signal(facts, strict=True), "doc_id", "left").fillna(0, ["fact_hits", "fact_false"])
+    rows = rows.withColumns({"web_claims": F.lit(0), "web_sources": F.lit(0)}) if web is None else rows.join(web_signal(web), "doc_id", "left")
     boost = F.when(F.col("fact_false") > 0, F.least(F.lit(0.30), F.col("fact_false") * 0.15))
     score, used = _weighted([(w["bert"], _fake_score("bert_label", "bert_conf")), (w["xgb"], _fake_score("xgb_label", "xgb_prob")),
                              (boost, F.lit(1.0))])
