@@ -260,9 +260,9 @@ def system_statistics(t):
     files = stats.file_statistics(_files(t)).filter("scope = 'total'").select(F.expr("stack(2, 'files', files, 'active_size', active_size) AS (area, n)"))
     entries = stats.cache_statistics(t.cache_entries, _now()).filter("cache_type = 'all'").select(
         F.expr("stack(2, 'cache_entries', entries, 'expired_entries', expired) AS (area, n)"))
-    hashes = t.media_hashes.agg(F.count("*").alias("n")).select(F.lit("hashes").alias("area"), "n")
+    hashes = t.media_hash_keys.agg(F.count("*").alias("n")).select(F.lit("hashes").alias("area"), "n")
     kept = t.read("labels").select(F.col("doc_id").alias("file_id"))
-    orphans = catalog.orphans(t.media_hashes, kept, "file_id").agg(F.count("*").alias("n")).select(F.lit("orphan_hashes").alias("area"), "n")
+    orphans = catalog.orphans(t.media_hash_keys, kept, "file_id").agg(F.count("*").alias("n")).select(F.lit("orphan_hashes").alias("area"), "n")
     return files.unionByName(entries).unionByName(hashes).unionByName(orphans)
 
 
