@@ -153,6 +153,27 @@ def test_evidence_search_equals_brute_force(spark):
     assert got == expected
 
 
+def test_claims_are_ranked_without_a_shuffle_and_evidence_shuffles_each_side_once_by_phrase(spark, tables):
+    def exchanges(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+    claims = cl.rank_claims(tables.read("documents").select("doc_id", "text"))
+    assert not exchanges(claims)
+    searched = exchanges(cl.search_evidence(claims, tables.corpus))
+    # wanted phrases, phrases of the corpus, phrases of the claims; then hits by claim and item, and by claim
+    assert len([line for line in searched if "phrase" in line]) == 3 and len(searched) == 5
+
+
+def test_ranking_of_few_and_no_sentences_and_other_stop_words(spark):
+    docs = [(1, "One two three four five. Six seven eight nine ten."), (2, "no sentence here"), (3, None), (4, "a b c d e. " * 3 + "zz yy xx ww vv.")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in cl.rank_claims(frame).collect())
+    assert got == [(1, 0, "One two three four five."), (1, 1, "Six seven eight nine ten."), (2, 0, "no sentence here"),
+                   (4, 0, "zz yy xx ww vv."), (4, 1, "a b c d e."), (4, 2, "a b c d e.")]
+    assert cl.rank_claims(frame, k=1, stop_words=["zz", "yy", "xx", "ww", "vv"]).filter("doc_id = 4").first().claim == "a b c d e."
+
+
 def test_ingest(spark):
     rows = [(1, "text", "  hello  "), (2, "youtube", "https://youtu.be/abcdefghijk"), (3, "youtube", "nope"), (4, "youtube", "zzzzzzzzzzz"), (5, "url", " u "), (6, "fax", "x")]
     asked = spark.createDataFrame(rows, "request_id long, source_type string, content string")
