@@ -120,3 +120,12 @@ def test_shapes_are_mixed_and_stacks_bounded(monkeypatch):
                 for i in range(len(pictures)):
                     a, b = together[c][i], alone[i][c][0]
                     assert a == b if isinstance(a, str) else np.allclose(a, b, rtol=1e-9, atol=1e-12), (name, c, i)
+
+
+def test_frames_of_a_model_input_task_are_bounded(spark, tables, monkeypatch):
+    from tracemark.plans import frames
+
+    monkeypatch.setattr(frames, "FRAMES_A_TASK", 20, raising=False)
+    rows = tables.read("embeddings").count()
+    found = frames.model_input(tables)
+    assert found.rdd.getNumPartitions() == rows // 20 + 1 and found.count() == rows
