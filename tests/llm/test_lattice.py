@@ -40,6 +40,24 @@ def test_decoding_restores_texts():
         assert lattice.decode(ids, pieces) == text.replace("▁", " ")
 
 
+def test_units_share_the_paths_of_their_common_starts():
+    """Every place of a common start is worked out once, and the ids are the library's in any order of the units."""
+    pieces = lattice.load_pieces(lattice.default_model())
+    local, rng = lattice.Lattice(pieces), random.Random(9)
+    parts = ["the", "ing", "er", "é", "ou", "日", "a", "\U0001f600", "q"]
+    units = sorted({"▁" + "".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(300)} | {"▁" + "a" * k for k in range(1, 60)})
+    want = {u: ids for u, ids in zip(units, library([u[1:] for u in units]))}
+    for order in (units, rng.sample(units, len(units))):
+        got = {}
+        for u in order:
+            got.update(local.coded([u]))
+        assert {u: np.frombuffer(ids, np.uint32).tolist() for u, ids in got.items()} == want
+    local.coded(["▁there", "▁therein"])
+    first = local.last[:7]
+    local.coded(["▁theremin"])
+    assert all(x is y for x, y in zip(first, local.last[:7]))
+
+
 def toy():
     score = {"a": -1.0, "b": -1.5, "c": -2.0, "ab": -1.8, "bc": -2.1, "abc": -4.0, "ca": -2.5, "cab": -3.0, "▁": -1.0, "▁a": -1.2}
     names = ["<unk>", *score]

@@ -116,8 +116,10 @@ class Lattice:
         self.pieces = pieces
         self.pairs: dict[tuple[str, str], bool] = {}
         self.merges: dict[str, list[tuple[float, str, str]]] = {}
-        self.heads = {p[:i] for p in pieces.score for i in range(1, len(p) + 1)}
+        self.tails = {p[i:]: False for p in pieces.score for i in range(len(p))} | dict.fromkeys(pieces.score, True)  # ends of pieces, and whether they are pieces
         self.spelling = spelling(pieces)
+        self.unit, self.last = "", [""]  # the last unit, and for every place in it the last piece of the path to it
+        self.code: dict[str, bytes] = {}
 
     def steps(self, piece: str) -> list[tuple[float, str, str]]:
         """The merges that make a piece, in their order: score, first and last part afterwards."""
@@ -168,32 +170,53 @@ class Lattice:
             found = self.pairs[key] = self._fits(left, right)
         return found
 
+    def _walk(self, unit: str) -> None:
+        """The byte-pair paths to every place of a unit. A path hangs on what lies before its end only, so those of the start that the unit shares with the last one are kept."""
+        pairs, tails, last = self.pairs, self.tails, self.last
+        at = 0
+        for x, y in zip(self.unit, unit):
+            if x != y:
+                break
+            at += 1
+        self.unit = unit[:at]
+        del last[at + 1 :]
+        for end in range(at + 1, len(unit) + 1):
+            edges = [(end - 1, unit[end - 1])]
+            if unit[end - 1] in tails:
+                for start in range(end - 2, -1, -1):
+                    piece = unit[start:end]
+                    whole = tails.get(piece)
+                    if whole is None:
+                        break
+                    if whole:
+                        edges.append((start, piece))
+            for start, piece in reversed(edges):  # the longest first; one of them fits
+                if start:
+                    fits = pairs.get((last[start], piece))
+                    if not (self.fits(last[start], piece) if fits is None else fits):
+                        continue
+                last.append(piece)
+                break
+        self.unit = unit
+
+    def coded(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of units, as 32-bit integers. Sorted, neighbours share much of their paths."""
+        found, code = {}, self.code
+        for unit in sorted(units):
+            parts = self.path(unit)
+            for n, piece in enumerate(parts):
+                ids = code.get(piece)
+                if ids is None:
+                    ids = code[piece] = np.array(piece_ids(self.pieces, piece), np.uint32).tobytes()
+                parts[n] = ids
+            found[unit] = b"".join(parts)
+        return found
+
     def path(self, unit: str) -> list[str]:
         n, longest, score = len(unit), self.pieces.longest, self.pieces.score
         if self.pieces.kind == "bpe":
-            last: list[str] = [""] * (n + 1)
-            pairs, heads = self.pairs, self.heads
-            ends: list[list[tuple[int, str]]] = [[] for _ in range(n + 1)]  # edges by their end, the longest first
-            for start in range(n):
-                ends[start + 1].append((start, unit[start]))
-                if unit[start] in heads:
-                    for end in range(start + 2, n + 1):
-                        piece = unit[start:end]
-                        if piece not in heads:
-                            break
-                        if piece in score:
-                            ends[end].append((start, piece))
-            for end in range(1, n + 1):
-                for start, piece in ends[end]:
-                    if not start:
-                        last[end] = piece
-                        break
-                    fits = pairs.get((last[start], piece))
-                    if fits is None:
-                        fits = self.fits(last[start], piece)
-                    if fits:
-                        last[end] = piece
-                        break
+            self._walk(unit)
+            last = self.last
         else:
             low = min(score.values(), default=0.0) - UNKNOWN_PENALTY
             total, last = [0.0] + [-np.inf] * n, [""] * (n + 1)
@@ -359,12 +382,9 @@ def encode(docs: DataFrame, model: str | None = None, kind: str = "bpe", most: i
             coded = values.dictionary_encode()
             if len(known) > KNOWN_UNITS:
                 known.clear()
-            found = []
-            for u in coded.dictionary.to_pylist():
-                ids = ready.get(u) or known.get(u)
-                if ids is None:
-                    ids = known[u] = np.array(local.ids(u), np.uint32).tobytes()
-                found.append(ids)
+            names = coded.dictionary.to_pylist()
+            known.update(local.coded([u for u in names if u not in ready and u not in known]))
+            found = [ready.get(u) or known[u] for u in names]
             sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
             flat = np.frombuffer(b"".join(found), np.uint32)
             codes = coded.indices.to_numpy().astype(np.int64)
