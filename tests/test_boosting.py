@@ -174,3 +174,31 @@ def test_siblings_sum_to_their_parent_and_one_task_holds_many_rows():
         alone = rows.sums(None, np.where(node == at, g, 0), np.where(node == at, h, 0))
         np.testing.assert_allclose(found[at], alone, atol=1e-9)
     assert boosting.TASK_ROWS > 20_598
+
+
+def test_any_number_of_tasks_finds_the_splits_of_one(spark, monkeypatch):
+    """300 features, far more than a task votes for: three tasks that share them out make the trees of one task, and don't wait a second for each exchange."""
+    import time
+
+    x, y = counts(np.random.default_rng(11), 400, 300)
+    data = frame(spark, x, y)
+    alone = BoostedTrees(maxIter=30, maxDepth=4).fit(data)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    began = time.time()
+    together = BoostedTrees(maxIter=30, maxDepth=4, maxTasks=3).fit(data)
+    assert time.time() - began < 60  # 120 exchanges
+    assert [n[:4] for n in together.nodes] == [n[:4] for n in alone.nodes]
+    assert np.allclose([n[4] for n in together.nodes], [n[4] for n in alone.nodes], atol=1e-9)
+
+
+@pytest.mark.parametrize("rows, folder", [(0, True), (0, False), (1 << 20, False)])
+def test_other_ways_to_share_and_to_talk(spark, monkeypatch, rows, folder):
+    """Tasks with rows of their own, and tasks without a common folder."""
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    monkeypatch.setattr(boosting, "ALL_ROWS", rows)
+    if not folder:
+        monkeypatch.setattr(boosting, "mounted_folder", lambda *_: None)
+    x, y = counts(np.random.default_rng(4), 260)
+    data = frame(spark, x, y)
+    model = BoostedTrees(maxIter=2, maxDepth=2, maxTasks=2).fit(data)
+    assert np.allclose(scores(model, data), boosted_by_hand(x, y, 2, 2), atol=1e-6)
