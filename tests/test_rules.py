@@ -268,3 +268,32 @@ def test_attribution_finds_the_telling_word(spark):
     weights = spark.createDataFrame([("miracle", 3.0), ("report", -1.0)], "word string, weight double")
     got = models.attribute_tokens(docs, weights, top=2).orderBy("rank").collect()
     assert [r.word for r in got] == ["miracle", "report"] and got[0].weight > 0 > got[1].weight
+
+
+def test_lists_of_claims_and_evidence_are_made_once(spark, tables):
+    """An inner explode makes its list twice, once to tell empty ones: the plan of the claims had the sentence scores twice."""
+    from tracemark.operators import claims
+
+    docs = tables.read("documents").select("doc_id", "text")
+    plan = claims.rank_claims(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " . "), (4, "one two three four five. six"), (None, "a b c d e")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.claim_no, r.claim) for r in claims.rank_claims(odd).collect()) == [(0, 0, "a b c d e"), (3, 0, " . "), (4, 0, "one two three four five.")]
+
+
+@pytest.mark.parametrize("most, chunk", [(30, 15), (13, 12)])
+def test_phrases_no_claim_has_are_dropped_before_the_shuffle(spark, monkeypatch, most, chunk):
+    """Every wanted phrase stays, nearly all others go; with a table too small for the phrases more stay, none is lost."""
+    from tracemark.operators import claims
+
+    monkeypatch.setattr(claims, "LEADING_BITS", most)
+    monkeypatch.setattr(claims, "CHUNK_BITS", chunk)
+    wanted = spark.range(3000).select(F.xxhash64("id").alias("phrase"))
+    leading, bits = claims.phrase_bits(wanted)
+    assert leading == min(15, most) and len(bits) == 1 << leading - 3
+    lists = spark.range(100).select(F.lit(1).alias("tier"), F.col("id").alias("item_id"), F.when(F.col("id") != 7, F.transform(F.sequence(F.col("id") * 60, F.col("id") * 60 + 59), lambda i: F.xxhash64(i))).alias("phrases"))
+    left = [tuple(r) for r in claims.perhaps_wanted(lists, leading, spark.sparkContext.broadcast(bits)).collect()]
+    hashes = {r.phrase for r in wanted.where("id < 420 or id >= 480").collect()}
+    assert hashes <= {p for *_, p in left} and len(left) < 4500 and len(set(left)) == len(left)
+    leading, bits = claims.phrase_bits(wanted.where("false"))
+    assert not bits.any() and claims.perhaps_wanted(lists, leading, spark.sparkContext.broadcast(bits)).count() == 0
